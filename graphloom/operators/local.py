@@ -1,4 +1,4 @@
-"""Solvers inside one task: sketch of an input split, local solve of a partition, small-input solve on the driver."""
+"""Solvers inside one task: sketch of an input split, local solve of a partition, solve of a small input."""
 
 from __future__ import annotations
 
@@ -77,10 +77,22 @@ def cc_computation(edges: DataFrame, p: PartitionFn) -> DataFrame:
 
 
 def local_cc(edges: DataFrame, limit: int) -> DataFrame:
-    """Solve on the driver. Raises above ``limit`` edges, so that driver memory stays bounded."""
-    spark = edges.sparkSession
-    rows = edges.select("u", "v").limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"more than {limit} edges for a local solve")
-    out = forest(*(rows.column(c).to_numpy() for c in ("u", "v")))
-    return spark.createDataFrame(pa.Table.from_batches([out]), "u long, v long")
+    """Solve all edges in one task, for small graphs: no rounds, and nothing is collected to the driver.
+
+    The task fails above ``limit`` edges, so that its memory stays bounded.
+    """
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for batch in batches:
+                seen += batch.num_rows
+                if seen > limit:
+                    raise ValueError(f"more than {limit} edges for a local solve")
+                yield batch
+
+        return _sketch(counted())
+
+    return edges.select("u", "v").repartition(1).mapInArrow(solve, "u long, v long")

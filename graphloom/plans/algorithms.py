@@ -20,13 +20,13 @@ from graphloom.plans.scratch import Scratch
 
 #: Edges in one partition of the final local solve when the number of partitions is left open.
 EDGES_PER_PARTITION = 1_000_000
-#: A local solve on the driver holds about 100 bytes an edge.
+#: A local solve holds about 100 bytes an edge in its one task.
 MAX_LOCAL_THRESHOLD = 20_000_000
 
 
 @dataclass
 class Options:
-    """``num_partitions`` None: by the number of edges. ``local_threshold``: at most so many edges are solved on the driver."""
+    """``num_partitions`` None: by the number of edges. ``local_threshold``: at most so many edges are solved in one task."""
 
     num_partitions: int | None = None
     local_threshold: int = 100_000
@@ -36,7 +36,7 @@ class Options:
 
     def __post_init__(self) -> None:
         if self.local_threshold > MAX_LOCAL_THRESHOLD:
-            raise ValueError(f"local_threshold over {MAX_LOCAL_THRESHOLD} does not fit the driver")
+            raise ValueError(f"local_threshold over {MAX_LOCAL_THRESHOLD} does not fit a task")
 
     def partitions_for(self, edges: int) -> PartitionFn:
         return PartitionFn(self.num_partitions or max(1, math.ceil(edges / EDGES_PER_PARTITION)), self.partition_fn)
@@ -170,7 +170,7 @@ def pa_full(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
 
 
 def union_find(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
-    """Sequential solve of a small input on the driver; refuses more than ``MAX_LOCAL_THRESHOLD`` edges."""
+    """Solve of a small input in one task; refuses more than ``MAX_LOCAL_THRESHOLD`` edges."""
     return local.local_cc(drop_self_loops(edges), MAX_LOCAL_THRESHOLD).toDF("node", "component")
 
 
