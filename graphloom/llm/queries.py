@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import license_scan, mixing, url_reputation
+from graphloom.llm import language_id, license_scan, mixing, near_dup, toxicity, url_reputation, winnow
 from graphloom.llm.license_texts import LICENSES, SPELLINGS
 from graphloom.llm.mixing import Mix
 from graphloom.llm.url_reputation import Rule
@@ -139,5 +139,44 @@ SELECT docs.doc_id, docs.canonical_sha256, lic license, coalesce(n, 0) n_notices
 FROM docs LEFT JOIN known ON dg = docs.canonical_sha256 LEFT JOIN hits ON hits.doc_id IS NOT DISTINCT FROM docs.doc_id AND hits.canonical_sha256 = docs.canonical_sha256"""
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_reputation, op10_license_scan)}
-SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op10_license_scan": _license_sql()}
+
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+#: Every pair with a common shingle is counted on full sets; components by least-label propagation.
+_NEAR_SQL = """
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END sh FROM w),
+ c AS MATERIALIZED (SELECT md5(array_to_string(list_sort(sh), chr(10))) k, min(doc_id) id, any_value(sh) sh FROM s WHERE len(sh) > 0 GROUP BY 1),
+ x AS MATERIALIZED (SELECT id, len(sh) n, unnest(sh) t FROM c),
+ l AS MATERIALIZED (SELECT a.id a, b.id b FROM x a JOIN x b ON a.t = b.t AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.id, b.id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ e AS MATERIALIZED (SELECT a u, b v FROM l UNION ALL SELECT b, a FROM l),
+ cc(node, label) USING KEY (node) AS (SELECT u, least(u, min(v)) FROM e GROUP BY u
+   UNION SELECT r.node, y.l FROM (SELECT e.u node, min(cc.label) l FROM cc JOIN e ON e.v = cc.node GROUP BY e.u) y JOIN recurring.cc r ON r.node = y.node WHERE y.l < r.label)
+SELECT s.doc_id, len(s.sh)::BIGINT n_shingles, coalesce(cc.label, c.id, s.doc_id) component_id, s.doc_id = coalesce(cc.label, c.id, s.doc_id) kept
+FROM s LEFT JOIN c ON len(s.sh) > 0 AND c.k = md5(array_to_string(list_sort(s.sh), chr(10))) LEFT JOIN cc ON cc.node = c.id"""
+
+
+
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edited(_table(spark, sf_dir, "documents"))
+
+
+def learns(mod: int, held: int) -> Column:
+    """Whether a doc_id is used for training: crc32 of its text form modulo ``mod`` is not ``held``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != held
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.predict(_table(spark, sf_dir, "documents"), labels, learns(5, 0))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir, "documents"), learns(3, 1))
+
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_reputation, op4_winnow, op5_toxicity, op7_language_id, op9_near_dup, op10_license_scan)}
+SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql()}
