@@ -262,3 +262,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     placed = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns: one document of each component, and one row of a repeated doc_id.
+
+    Rows with a null doc_id all stay. The dropped ids are written, so that the planner knows their size and shuffles
+    texts only if they are too many to broadcast.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = near_duplicates(docs, shingle_words, percent)
+    dropped = scratch.table(found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("_id")).where("_id IS NOT NULL")
+    repeated = scratch.table(ids.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "repeated")
+    same = F.col("doc_id").cast("bigint") == F.col("_id")
+    kept = docs.join(dropped, same, "left_anti")
+    if not repeated.limit(1).count():
+        return kept
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

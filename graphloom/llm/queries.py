@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_id, license_scan, mixing, near_dup, toxicity, url_reputation, winnow
+from graphloom.llm import language_id, license_scan, media, mixing, near_dup, packing, pii, toxicity, url_reputation, winnow
 from graphloom.llm.license_texts import LICENSES, SPELLINGS
 from graphloom.llm.mixing import Mix
 from graphloom.llm.url_reputation import Rule
@@ -178,5 +178,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_reputation, op4_winnow, op5_toxicity, op7_language_id, op9_near_dup, op10_license_scan)}
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.payload_sequences(_table(spark, sf_dir, "documents"))
+    return rows.selectExpr("page_id AS doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, window=2048)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_id")
+
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan)}
 SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql()}

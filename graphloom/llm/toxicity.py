@@ -192,6 +192,18 @@ def predict(docs: DataFrame, labels: DataFrame, training: Column, how: Training
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def clean_ids(scored: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Documents to keep: those under ``limit``."""
-    return scored.where(F.col("score") < limit)
+def drop_toxic(docs: DataFrame, labels: DataFrame, training: Column, how: Training = Training(), limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``limit``; no text is shuffled."""
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    machine = train(plain, labels, training, how)
+    shared = docs.sparkSession.sparkContext.broadcast((machine.base, machine.linear, machine.factors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(*shared.value)
+        for batch in batches:
+            keep = np.empty(batch.num_rows, bool)
+            for first, end, terms, bounds in term_buckets(batch.column("text").cast(pa.string())):
+                keep[first:end] = machine.scores(terms, bounds) < limit
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
