@@ -42,8 +42,11 @@ class Options:
         return PartitionFn(self.num_partitions or max(1, math.ceil(edges / EDGES_PER_PARTITION)), self.partition_fn)
 
 
-_RENAMED = [F.count("*").alias("size"), F.coalesce(F.sum(F.col("ch").cast("bigint")), F.lit(0)).alias("changes")]
-_ROUTED = [*_RENAMED, *(F.coalesce(F.sum((F.col("route") == r).cast("bigint")), F.lit(0)).alias(r) for r in ("out", "in", "cc"))]
+def _counters(*routes: str) -> list:
+    def number(condition):
+        return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
+
+    return [F.count("*").alias("size"), number(F.col("ch")).alias("changes"), *(number(F.col("route") == r).alias(r) for r in routes)]
 
 
 def _step(scratch: Scratch, rows: DataFrame, name: str, counters: list) -> tuple[DataFrame, dict]:
@@ -63,9 +66,9 @@ def alternating(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
     opts.metrics.lap("init_s")
     prior = None
     for i in range(opts.max_rounds):
-        large, a = _step(scratch, stars.large_star(now), "large", _RENAMED)
+        large, a = _step(scratch, stars.large_star(now), "large", _counters())
         scratch.drop(prior)
-        small, b = _step(scratch, stars.small_star(large), "small", _RENAMED)
+        small, b = _step(scratch, stars.small_star(large), "small", _counters())
         scratch.drop(large)
         opts.metrics.rounds.append(RoundMetrics(i, lout=a["size"], sout=b["size"], lchange=a["changes"], schange=b["changes"]))
         now = prior = small
@@ -83,9 +86,9 @@ def alternating_hub(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFr
     for i in range(opts.max_rounds):
         splits = Observation()
         seen = now.observe(splits, F.coalesce(F.sum((F.col("hi") & (F.least("u", "v")["cp"] == 0) & (F.col("u.id") != F.col("v.id"))).cast("bigint")), F.lit(0)).alias("n"))
-        large, a = _step(scratch, stars.hub_large_star(seen, parts), "hub-large", _RENAMED)
+        large, a = _step(scratch, stars.hub_large_star(seen, parts), "hub-large", _counters())
         scratch.drop(prior)
-        small, b = _step(scratch, stars.hub_small_star(large), "hub-small", _RENAMED)
+        small, b = _step(scratch, stars.hub_small_star(large), "hub-small", _counters())
         scratch.drop(large)
         changes = a["changes"] + splits.get["n"]
         opts.metrics.rounds.append(RoundMetrics(i, lout=a["size"], sout=b["size"], lchange=changes, schange=b["changes"]))
@@ -106,9 +109,9 @@ def pa_base(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
         if size <= opts.local_threshold:
             now = local.local_cc(now, opts.local_threshold)
             break
-        large, a = _step(scratch, stars.pa_large_star(now, p), "pa-large", _RENAMED)
+        large, a = _step(scratch, stars.pa_large_star(now, p), "pa-large", _counters())
         scratch.drop(prior)
-        small, b = _step(scratch, stars.pa_small_star(large, p), "pa-small", _RENAMED)
+        small, b = _step(scratch, stars.pa_small_star(large, p), "pa-small", _counters())
         scratch.drop(large)
         opts.metrics.rounds.append(RoundMetrics(i, lout=a["size"], sout=b["size"], lchange=a["changes"], schange=b["changes"]))
         now, prior, size = small, small, b["size"]
@@ -128,8 +131,8 @@ def _filtered_rounds(edges: DataFrame, size: int, p: PartitionFn, opts: Options,
         if size <= opts.local_threshold:
             now = local.local_cc(now, opts.local_threshold)
             break
-        large, a = _step(scratch, stars.pa_large_star_routed(now, p), "large", _ROUTED)
-        small, b = _step(scratch, stars.pa_small_star_routed(large.where("route = 'out'"), p), "small", _ROUTED)
+        large, a = _step(scratch, stars.pa_large_star_routed(now, p), "large", _counters("out", "in", "cc"))
+        small, b = _step(scratch, stars.pa_small_star_routed(large.where("route = 'out'"), p), "small", _counters("out", "in", "cc"))
         for table, got in ((large, a), (small, b)):
             if got["in"] or got["cc"]:
                 settled.append(table.where("route <> 'out'"))

@@ -1,0 +1,134 @@
+"""All algorithms against a plain union-find, over partitions and thresholds."""
+
+import random
+
+import numpy as np
+import pytest
+
+from graphloom import RunMetrics, component_sizes, connected_components
+from graphloom.functions.partitioner import PartitionFn
+from graphloom.operators import local
+from graphloom.plans.algorithms import ALGORITHMS, NotConverged, Options
+from graphloom.streaming.incremental import maintain, merge_labels
+
+
+def union_find(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    return sorted((x, find(x)) for x in parent)
+
+
+def non_roots(edges):
+    return [(n, c) for n, c in union_find(edges) if n != c]
+
+
+def frame(spark, edges):
+    return spark.createDataFrame(edges, "u long, v long")
+
+
+def labels(df):
+    return sorted(map(tuple, df.select("node", "component").collect()))
+
+
+random.seed(3)
+GRAPHS = {
+    "empty": [],
+    "self_loop": [(4, 4)],
+    "duplicates": [(1, 2), (2, 1), (1, 2), (2, 2), (9, 8)],
+    "zigzag": [(0, 5), (5, 1), (1, 6), (6, 2), (2, 7), (7, 3), (3, 8), (8, 4), (4, 9), (9, 10)],
+    "several": [(0, 1), (2, 3), (3, 4), (4, 5), (5, 6), (7, 8), (8, 9)],
+    "negative": [(-5, 3), (3, 4), (-9, -8)],
+    "random": [(random.randrange(150), random.randrange(150)) for _ in range(110)],
+    "star": [(1000, i) for i in range(120)],
+}
+for shift in (22, 31, 32, 38, 40):
+    GRAPHS[f"shift_{shift}"] = [(2**shift + u, 2**shift + v) for u, v in GRAPHS["zigzag"]]
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_default_algorithm(spark, name):
+    edges = GRAPHS[name]
+    assert labels(connected_components(frame(spark, edges))) == non_roots(edges)
+    assert labels(connected_components(frame(spark, edges), include_roots=True)) == union_find(edges)
+
+
+@pytest.mark.parametrize("algorithm", ALGORITHMS)
+def test_algorithms_agree(spark, algorithm):
+    edges = [e for name in ("random", "zigzag", "star", "duplicates", "negative") for e in GRAPHS[name]]
+    edges += [(2**40 + u, 2**40 + v) for u, v in GRAPHS["zigzag"]]
+    assert labels(connected_components(frame(spark, edges), algorithm, num_partitions=3, local_threshold=0)) == non_roots(edges)
+
+
+@pytest.mark.parametrize("parts,threshold,kind", [(1, 0, "hash"), (16, 10_000, "mod"), (4, 20, "long_hash")])
+def test_partitions_and_thresholds(spark, parts, threshold, kind):
+    edges = GRAPHS["random"] + GRAPHS["zigzag"]
+    for algorithm in ("pa_full", "pa_base"):
+        got = connected_components(frame(spark, edges), algorithm, parts, threshold, partition_fn=kind)
+        assert labels(got) == non_roots(edges)
+
+
+def test_long_chain_needs_no_recursion():
+    n = 100_000
+    nodes, roots = local.components(np.arange(n), np.arange(1, n + 1))
+    assert len(nodes) == n + 1 and not roots.any()
+    order = np.random.default_rng(0).permutation(n + 1)
+    nodes, roots = local.components(order[:-1], order[1:])
+    assert len(nodes) == n + 1 and not roots.any()
+
+
+def test_sketch_keeps_components(spark):
+    edges = frame(spark, GRAPHS["random"] + GRAPHS["star"])
+    got = local.sketch(edges.repartition(3))
+    assert labels(connected_components(got)) == non_roots(GRAPHS["random"] + GRAPHS["star"])
+
+
+def test_local_solve_is_bounded(spark):
+    with pytest.raises(Exception, match="more than 5 edges"):
+        local.local_cc(frame(spark, GRAPHS["random"]), 5).collect()
+
+
+def test_metrics_and_limits(spark):
+    metrics = RunMetrics("", 0, 0, input="here")
+    connected_components(frame(spark, GRAPHS["zigzag"]), "alternating", metrics=metrics)
+    assert metrics.rounds[-1].lchange == metrics.rounds[-1].schange == 0 and len(metrics.rounds) <= 6
+    assert metrics.row().split("\t")[:2] == ["alternating", "here"]
+    assert metrics.rounds_df(spark).count() == len(metrics.rounds)
+    with pytest.raises(NotConverged):
+        connected_components(frame(spark, GRAPHS["zigzag"]), "alternating", max_rounds=1)
+    with pytest.raises(ValueError):
+        connected_components(frame(spark, []), "nope")
+    with pytest.raises(ValueError):
+        Options(local_threshold=10**9)
+    with pytest.raises(ValueError):
+        PartitionFn(0)
+
+
+def test_extra_columns_and_nulls(spark):
+    edges = spark.createDataFrame([(1, 2, "x"), (None, 3, "y"), (3, None, None), (2, 5, "z")], "u long, v long, node string")
+    assert labels(connected_components(edges)) == [(2, 1), (5, 1)]
+    assert sorted(map(tuple, component_sizes(connected_components(edges)).collect())) == [(1, 3)]
+
+
+def test_incremental_labels(spark, tmp_path):
+    first, second = [(1, 2), (4, 5)], [(5, 2), (7, 8)]
+    before = connected_components(frame(spark, first))
+    assert labels(merge_labels(before, frame(spark, second))) == non_roots(first + second)
+    source = tmp_path / "edges"
+    frame(spark, first).coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema("u long, v long").option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = maintain(stream, str(tmp_path / "labels"), str(tmp_path / "state"))
+    query.processAllAvailable()
+    frame(spark, second).coalesce(1).write.mode("append").parquet(str(source))
+    query.processAllAvailable()
+    query.stop()
+    versions = sorted((tmp_path / "labels").iterdir())
+    assert labels(spark.read.parquet(str(versions[-1]))) == non_roots(first + second)
