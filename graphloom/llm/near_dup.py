@@ -5,11 +5,12 @@
 2. Documents of one shingle set are one class, stood for by the least id. Only classes go on.
 3. Classes that share a band key are candidates. In each bucket one member is the pivot and the others are compared
    with it; members already known to be of one component are not compared again. After ``PIVOT_ROUNDS`` such rounds
-   every pair of members that are still in different components is compared. So no link between components is lost,
-   and a bucket of near copies costs its size, not its square.
+   the pairs still in different components are compared too, but for those that an exact prefix filter on their
+   differences from the pivot rules out (see ``rest``). So no link between components is lost, and a bucket of near
+   copies costs about its size, not its square.
 4. A pair is estimated by bit counts: with m the share of equal low bits, similarity is (m - c) / (1 - c) for the
-   chance c = 2^-BITS of equal bits. Pairs more than ``SIGMAS`` standard errors under the limit go; all others are
-   confirmed by the intersection of their full sets.
+   chance c = 2^-BITS of equal bits. Pairs more than ``SIGMAS`` standard errors under the limit go (the chance to lose
+   a link at the limit is under 3e-7); all others are confirmed by the intersection of their full sets.
 5. Components of the links, by the graph engine.
 
 The band shape keeps the chance to miss a pair at the limit under ``MISS``. Sets hold 64-bit hashes of shingles.
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.text_arrays import BLANKS, byte_values, chunks, mix, shingles, utf8, word_hashes
@@ -38,8 +39,8 @@ from graphloom.plans.scratch import Scratch
 PERMUTATIONS = 192
 BITS = 2
 MISS = 1e-6
-SIGMAS = 6.0
-PIVOT_ROUNDS = 3
+SIGMAS = 5.0
+PIVOT_ROUNDS = 2
 #: Bits of the candidate filter for a candidate, and the filter's largest size (64 MB).
 FILTER_BITS, MAX_FILTER = 32, 1 << 29
 
@@ -47,10 +48,10 @@ _PLANE = PERMUTATIONS // 64
 
 
 def band_shape(similarity: float) -> tuple[int, int]:
-    """``(rows, bands)``: the longest rows that keep the chance of a miss at ``similarity`` under ``MISS``."""
+    """``(rows, bands)``: the longest rows, and the fewest of these, that keep the chance of a miss at ``similarity`` under ``MISS``."""
     for rows in range(12, 0, -1):
-        bands = PERMUTATIONS // rows
-        if (1 - similarity**rows) ** bands <= MISS:
+        bands = math.ceil(math.log(MISS) / math.log(1 - similarity**rows))
+        if rows * bands <= PERMUTATIONS:
             return rows, bands
     raise ValueError(f"no band shape for a similarity of {similarity}")
 
@@ -178,67 +179,112 @@ class _Finder:
         # A doc_id with several texts has several sets: all of them count.
         return texts.mapInArrow(sets_of(self.size, passing), "id long, shingles array<long>")
 
+    def may_link(self, na: str, nb: str, sa: str, sb: str) -> Column:
+        """Sizes and signatures allow the pair to be a link."""
+        sizes = 100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)
+        return sizes & (estimate(F.col(sa), F.col(sb)) >= estimate_floor(self.percent / 100))
+
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the distinct ``pairs(a, b)`` that are links."""
         left = self.sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("sa"))
         right = self.sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("sb"))
-        near = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        near = near.where(estimate(F.col("sa"), F.col("sb")) >= estimate_floor(self.percent / 100)).select("a", "b", "na", "nb")
+        near = pairs.join(left, "a").join(right, "b")
+        near = near.where(self.may_link("na", "nb", "sa", "sb")).select("a", "b", "na", "nb")
         return self.scratch.table(near, f"{name}-near")
 
-    def linked(self, near: DataFrame, name: str) -> DataFrame:
-        members = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = self.scratch.table(self.full_sets(members), f"{name}-sets")
+    def linked(self, near: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
+        """Confirm ``near(a, b)`` on full sets -> links ``(u, v)``."""
+        made = sets is None
+        if made:
+            members = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            sets = self.scratch.table(self.full_sets(members), f"{name}-sets")
         right = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("tb")), "b")
         both = right.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("ta")), "a")
         shared = F.size(F.array_intersect("ta", "tb")).cast("bigint")
         union = F.size("ta") + F.size("tb") - shared
         links = self.scratch.table(both.where(100 * shared >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links")
-        self.scratch.drop(sets)
+        if made:
+            self.scratch.drop(sets)
         return links
 
+    def pivots(self, open_: DataFrame, step: int) -> DataFrame:
+        """``(key, x, cx)``: one member of each bucket, the same in buckets of mostly the same members."""
+        least = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(step)))
+        return open_.groupBy("key").agg(least.alias("p")).select("key", F.col("p.id").alias("x"), F.col("p.component").alias("cx"))
+
+    def rest(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(pairs, sets)``: all pairs of one bucket and two components that can still be links, by an exact filter.
+
+        Members are taken as differences from their bucket's pivot x: D(s) = s xor x. With
+        beta = (100 - percent) / (100 + percent), s and v are linked iff |D(s) xor D(v)| <= beta * (|s| + |v|), so iff
+        D(s) and D(v) share at least t = (|D(s)| + |D(v)| - beta * (|s| + |v|)) / 2 elements. Members linked to x are in
+        its component already, so one of the two is not, whence t > 0: with the elements of each difference in one
+        order, rarest first, the first |D| - t + 1 of both must have one in common. Near copies differ from the
+        pivot in places of their own, which no other member shares; so few pairs come out, however large the bucket.
+
+        t is at least (|D(s)| - beta * (|s| + |x|)) / (1 + beta) for a member s that is not linked to x, and more than
+        (1 - beta) * |D(v)| / 2 for its partner v, since |v| <= |x| + |D(v)|; these bound what a member has to send.
+        """
+        scratch, p, q = self.scratch, 100 + self.percent, 100 - self.percent
+        around = open_.join(self.pivots(open_, PIVOT_ROUNDS - 1), "key").select("x", "cx", "id", "component").distinct()
+        around = scratch.table(around, "around")
+        members = around.select(F.explode(F.array("x", "id")).alias("id")).distinct()
+        sets = scratch.table(self.full_sets(members), "rest-sets")
+        own = around.join(sets.withColumn("n", F.size("shingles").cast("bigint")), "id")
+        both = own.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("xs")), "x")
+        apart = F.concat(F.array_except("shingles", "xs"), F.array_except("xs", "shingles"))
+        diffs = both.select("x", "id", "component", (F.col("cx") != F.col("component")).alias("far"), "n", F.size("xs").alias("nx"), apart.alias("apart"))
+        diffs = diffs.withColumn("d", F.size("apart").cast("bigint"))
+        rows = scratch.table(diffs.select("x", "id", "component", "far", "n", "nx", "d", F.explode("apart").alias("e")), "differences")
+        shared = rows.groupBy("x", "e").agg(F.count("*").alias("df")).where("df > 1")
+        by_member = Window.partitionBy("x", "id")
+        ranked = rows.join(shared, ["x", "e"])
+        # Elements of one member only come first and meet nothing: they count, but are not sent.
+        place = F.col("d") - F.count("*").over(by_member) + F.row_number().over(by_member.orderBy("df", "e"))
+        ranked = ranked.withColumn("place", place)
+        least = F.when(F.col("far"), (p * F.col("d") - q * (F.col("n") + F.col("nx"))) / F.lit(p + q)).otherwise(F.lit((p - q) / (2 * p)) * F.col("d"))
+        sent = ranked.where(F.col("place") <= F.col("d") - F.greatest(F.lit(1), F.ceil(least - 1e-6)) + 1).select("x", "e", "id", "component", "far", "n", "d", "place")
+        sent = scratch.table(sent, "prefixes")
+        one, two = sent.alias("s"), sent.alias("v")
+        t = F.ceil((p * (F.col("s.d") + F.col("v.d")) - q * (F.col("s.n") + F.col("v.n"))) / F.lit(2 * p) - 1e-6)
+        meet = (F.col("s.x") == F.col("v.x")) & (F.col("s.e") == F.col("v.e")) & (F.col("s.component") < F.col("v.component"))
+        meet = meet & (F.col("s.place") <= F.col("s.d") - t + 1) & (F.col("v.place") <= F.col("v.d") - t + 1)
+        meet = meet & (100 * F.least("s.n", "v.n") >= self.percent * F.greatest("s.n", "v.n"))
+        return one.join(two, meet).select(F.col("s.id").alias("id"), F.col("v.id").alias("other")), sets
+
+    def join_links(self) -> DataFrame:
+        edges = self.links[0]
+        for more in self.links[1:]:
+            edges = edges.unionByName(more)
+        return connected_components(edges)
+
     def run(self) -> DataFrame:
         """Labels ``(node, component)`` of classes that are linked to another."""
         keyed = self.classes.select("id", F.explode("bands").alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         open_ = self.scratch.table(keyed.join(shared, "key").select("key", "id", F.col("id").alias("component")), "buckets")
-        tested: DataFrame | None = None
-        labels = None
+        labels = self.docs.sparkSession.createDataFrame([], "node long, component long")
         for step in range(PIVOT_ROUNDS + 1):
+            sets = None
             if step < PIVOT_ROUNDS:
-                pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(step))).alias("pivot"))
-                pairs = open_.join(pivots, "key").where("component <> pivot.component").select("id", F.col("pivot.id").alias("other"))
+                pairs = open_.join(self.pivots(open_, step), "key").where("component <> cx").select("id", F.col("x").alias("other"))
             else:
-                other = open_.select("key", F.col("id").alias("other"), F.col("component").alias("c2"))
-                pairs = open_.join(other, "key").where("component < c2").select("id", "other")
+                pairs, sets = self.rest(open_)
             pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = self.scratch.table(pairs, f"pairs-{step}")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            near = self.confirm(pairs, f"{step}")
-            found = 0
+            near = self.confirm(self.scratch.table(pairs, f"pairs-{step}"), f"{step}")
             if near.limit(1).count():
-                links = self.linked(near, f"{step}")
-                found = links.limit(1).count()
-                self.links.append(links)
-            if found:
-                edges = self.links[0]
-                for more in self.links[1:]:
-                    edges = edges.unionByName(more)
-                labels = connected_components(edges)
-                if step == PIVOT_ROUNDS:
-                    break
-                fresh = open_.select("key", "id").join(labels.withColumnsRenamed({"node": "id", "component": "c"}), "id", "left")
-                fresh = fresh.select("key", "id", F.coalesce("c", "id").alias("component"))
-            else:
-                fresh = open_
+                links = self.linked(near, f"{step}", sets)
+                if links.limit(1).count():
+                    self.links.append(links)
+                    labels = self.join_links()
+                    known = labels.withColumnsRenamed({"node": "id", "component": "c"})
+                    open_ = open_.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("c", "id").alias("component"))
             if step < PIVOT_ROUNDS:
-                split = fresh.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-                open_ = self.scratch.table(fresh.join(split, "key"), f"open-{step}")
+                split = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+                open_ = self.scratch.table(open_.join(split, "key"), f"open-{step}")
                 if not open_.limit(1).count():
                     break
-        return labels if labels is not None else self.docs.sparkSession.createDataFrame([], "node long, component long")
+        return labels
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
