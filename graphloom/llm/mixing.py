@@ -65,13 +65,17 @@ def allocate(leaves: DataFrame, mix: Mix) -> DataFrame:
     rounding, which keeps whole tokens and exact sums.
     """
     capacity = leaves.withColumn("cap", (F.col("supply") * mix.max_epochs).cast(_BIG))
-    total = capacity.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("cap"), F.coalesce(F.sum("supply"), F.lit(0)).alias("supply"))
-    wanted = F.lit(mix.budget).cast(_BIG) if mix.budget is not None else F.expr(f"(supply * {mix.percent}) div 100").cast(_BIG)
-    above = total.select(F.lit("").alias("root"), F.least(F.col("cap").cast(_BIG), wanted).alias("pool"))
+    wanted = F.lit(mix.budget).cast(_BIG) if mix.budget is not None else F.expr(f"(all_supply * {mix.percent}) div 100").cast(_BIG)
+    above = None
     for depth, level in enumerate(mix.levels):
         parents, here = ["root", *mix.levels[:depth]], ["root", *mix.levels[: depth + 1]]
-        nodes = capacity.withColumn("root", F.lit("")).groupBy(*here).agg(F.sum("cap").cast(_BIG).alias("cap"))
-        nodes = nodes.withColumn("w", _weight(mix, level)).join(above, parents)
+        nodes = capacity.withColumn("root", F.lit("")).groupBy(*here).agg(F.sum("cap").cast(_BIG).alias("cap"), F.sum("supply").alias("all_supply"))
+        if above is None:
+            top = Window.partitionBy("root")
+            nodes = nodes.withColumn("all_supply", F.sum("all_supply").over(top)).withColumn("pool", F.least(F.sum("cap").over(top).cast(_BIG), wanted))
+        else:
+            nodes = nodes.join(above, parents)
+        nodes = nodes.withColumn("w", _weight(mix, level))
         ratio = F.when(F.col("w") > 0, F.col("cap").cast("double") / F.col("w").cast("double"))
         by_ratio = Window.partitionBy(*parents).orderBy(ratio.asc_nulls_last(), level)
         before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)

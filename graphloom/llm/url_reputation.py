@@ -71,7 +71,7 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def _strength(level: DataFrame, name: str) -> DataFrame:
+def _strength(level: DataFrame) -> DataFrame:
     """One row: the prior strength at a level of units ``(n, bad)`` by moments about the pooled rate.
 
     All sums are over whole numbers but one quotient, so that their order hardly matters.
@@ -84,7 +84,7 @@ def _strength(level: DataFrame, name: str) -> DataFrame:
     rho = (spread - within * (F.col("k") - 1)) / (within * (F.col("nn") - F.col("n2") / F.col("nn") - (F.col("k") - 1)))
     safe = F.when((F.coalesce(F.col("nn"), F.lit(0)) == 0) | (within == 0) | (F.col("k") < 2), None).otherwise(rho)
     clipped = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.nanvl(safe, F.lit(0.001)), F.lit(0.001))))
-    return sums.select((1 / clipped - 1).alias(name))
+    return sums.select(1 / clipped - 1)
 
 
 def _posterior(mean: Column, strength: Column, n: Column, bad: Column) -> Column:
@@ -96,18 +96,14 @@ def reputation(hosts: DataFrame, z: float = 1.645, max_bad: float = 0.25) -> Dat
     named = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     total = lambda *keys: named.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains, suffixes, everything = total("domain", "suffix"), total("suffix"), total()
-    # Single rows of four numbers: the only rows that are joined without a key.
-    rate = F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.col("bad") / F.col("n"))
-    globals_ = everything.select(rate.alias("rate"), F.lit(1).alias("one"))
-    for name, level in (("ks", suffixes), ("kd", domains), ("kh", named)):
-        globals_ = globals_.join(_strength(level, name).withColumn("one", F.lit(1)), "one")
-    s = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(globals_), "one").drop("one")
-    s = s.select("suffix", "kd", "kh", _posterior(F.col("rate"), F.col("ks"), F.col("n"), F.col("bad")).alias("ps"))
-    d = domains.join(s, "suffix").select("domain", "kh", _posterior(F.col("ps"), F.col("kd"), F.col("n"), F.col("bad")).alias("pd"))
-    h = named.join(d, "domain")
-    weight = F.col("kh") + F.col("n")
+    # Single numbers over all rows, as scalar subqueries.
+    rate = everything.select(F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.col("bad") / F.col("n"))).scalar()
+    ks, kd, kh = (_strength(level).scalar() for level in (suffixes, domains, named))
+    s = suffixes.select("suffix", _posterior(rate, ks, F.col("n"), F.col("bad")).alias("ps"))
+    d = domains.join(s, "suffix").select("domain", _posterior(F.col("ps"), kd, F.col("n"), F.col("bad")).alias("pd"))
+    h = named.join(d, "domain").withColumn("kh", kh)
     mean = _posterior(F.col("pd"), F.col("kh"), F.col("n"), F.col("bad"))
-    lower = mean - z * F.sqrt(mean * (1 - mean) / (weight + 1))
+    lower = mean - z * F.sqrt(mean * (1 - mean) / (F.col("kh") + F.col("n") + 1))
     return h.select("host", mean.alias("posterior"), lower.alias("lower")).withColumn("blocked", F.col("lower") > max_bad)
 
 
