@@ -36,8 +36,8 @@ class Training:
     min_chi2: float = 12.0
     factors: int = 4
     epochs: int = 12
-    least_steps: int = 500
-    rate: float = 0.15
+    least_steps: int = 1500
+    rate: float = 0.5
     decay: float = 1e-4
     seed: int = 11
 
