@@ -70,6 +70,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def close_all() -> None:
-    """Delete every scratch table of this process, for long sessions between queries."""
+    """Delete every scratch table of this process, for long sessions between queries; runs at the end by itself."""
     while _OPEN:
-        _OPEN.pop().close()
+        run = _OPEN.pop()
+        if run.spark.sparkContext._jsc is not None:
+            run.close()
+
+
+atexit.register(close_all)
