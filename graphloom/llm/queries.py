@@ -180,7 +180,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.payload_sequences(_table(spark, sf_dir, "documents"))
-    return rows.selectExpr("page_id AS doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return rows.selectExpr("page_id AS doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
 
 
 def tokenizer_path() -> str:
