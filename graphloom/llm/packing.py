@@ -9,7 +9,8 @@ by hash to groups of about ``GROUP`` pieces, and each group is packed by itself;
 full, a small part of its thousand. A hot source or key has no part in the grouping.
 
 Chunks between blanks are tokenised once for each worker and kept as bytes in a table of bounded size: no rule of the
-tokenizer reaches over a blank or a line feed, which the tests compare with whole texts.
+tokenizer reaches over a blank or a line feed. Plain words with marks after them go straight to the tokenizer's model
+if a probe shows that it takes them so. The tests compare both with whole texts.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed each. Ties of length go by doc_id,
 start, then checksum. Empty tables give empty results. Other columns are ignored.
@@ -17,6 +18,7 @@ start, then checksum. Empty tables give empty results. Other columns are ignored
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,8 +29,21 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 
 GROUP = 2048
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 800_000
 _MARK = "\x01"
+#: Small Latin-1 letters, then ASCII marks but for the apostrophe and what may begin a special token.
+_WORD_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
+_PROBES = ("word", "stra\u00dfe", "\u00e9l\u00e8ve", "ni\u00f1o", "qzxkvw")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Bytes without a visible Latin-1 character are numbered from 256 on, as byte-level vocabularies write them."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class ChunkEncoder:
@@ -41,23 +56,43 @@ class ChunkEncoder:
         self.cached = cached
         self.known: dict[str, bytes] = {"": b""}
         self.mark = self._plain(_MARK)
+        # Only a tokenizer that takes such words as they are is asked word by word.
+        self.direct = all(self._plain(w + ",") == self._word(w) + self._plain(",") for w in _PROBES)
 
     def _plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of small letters, straight from the model; the other steps would leave it as it is."""
+        if (own := self.known.get(word)) is None:
+            tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            own = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return own
+
     def _learn(self, chunks: list[str]) -> None:
-        """Tokenise new chunks in joined runs; the mark's id between them tells them apart."""
+        """Words with marks after them by the model, in two parts; all else in joined runs that a mark tells apart."""
+        other = []
+        for chunk in chunks:
+            if self.direct and (parts := _WORD_MARKS.fullmatch(chunk.lower())):
+                word, marks = parts.groups()
+                if marks and marks not in self.known:
+                    self.known[marks] = self._plain(marks)
+                self.known[chunk] = self._word(word) + self.known[marks]
+            else:
+                other.append(chunk)
+        self._learn_joined(other)
+
+    def _learn_joined(self, chunks: list[str]) -> None:
         if len(self.mark) != 4:
             self.known.update((c, self._plain(c)) for c in chunks)
             return
         mark = int.from_bytes(self.mark, "little")
-        odd = [c for c in chunks if _MARK in c]
-        self.known.update((c, self._plain(c)) for c in odd)
+        self.known.update((c, self._plain(c)) for c in chunks if _MARK in c)
         plain = [c for c in chunks if _MARK not in c]
         for i in range(0, len(plain), 4096):
             run = plain[i : i + 4096]
-            ids = self.tokenizer.encode(f" {_MARK} ".join(run), add_special_tokens=False).ids
+            ids = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(run)], add_special_tokens=False)[0].ids
             at, got = 0, []
             for end in [j for j, x in enumerate(ids) if x == mark] + [len(ids)]:
                 got.append(ids[at:end])
