@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class PartitionFn:
-    """``kind``: ``hash`` (xxhash64, the default), ``mod`` (pmod of the id) or ``long_hash`` (JVM Long.hashCode)."""
+    """``kind``: ``hash`` (xxhash64, the default), ``mod`` (pmod of the id), ``long_hash`` (JVM Long.hashCode)
+    or ``tabular`` (the four 16-bit limbs hashed apart and xor-ed)."""
 
     parts: int
     kind: str = "hash"
@@ -22,7 +23,7 @@ class PartitionFn:
     def __post_init__(self) -> None:
         if self.parts < 1:
             raise ValueError("a partition function needs at least one partition")
-        if self.kind not in ("hash", "mod", "long_hash"):
+        if self.kind not in ("hash", "mod", "long_hash", "tabular"):
             raise ValueError(f"unknown partition function: {self.kind}")
 
     def __call__(self, node: Column) -> Column:
@@ -31,9 +32,21 @@ class PartitionFn:
             return F.pmod(node, parts)
         if self.kind == "long_hash":
             return F.pmod(long_hash(node), parts)
+        if self.kind == "tabular":
+            return F.pmod(tabular(node), parts)
         return F.pmod(F.xxhash64(node), parts)
 
 
+def tabular(node: Column) -> Column:
+    """Tabulation hash: a function of each limb and its place instead of a table for it."""
+    out = None
+    for place in range(4):
+        limb = F.shiftrightunsigned(node, 16 * place).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+        hashed = F.xxhash64(limb, F.lit(place))
+        out = hashed if out is None else out.bitwiseXOR(hashed)
+    return out
+
+
 def long_hash(node: Column) -> Column:
     """JVM ``Long.hashCode``: both halves xor-ed, read as a signed 32-bit value (kept as a long)."""
     low = node.bitwiseXOR(F.shiftrightunsigned(node, 32)).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))

@@ -68,7 +68,7 @@ def test_algorithms_agree(spark, algorithm):
     assert labels(connected_components(frame(spark, edges), algorithm, num_partitions=3, local_threshold=0)) == non_roots(edges)
 
 
-@pytest.mark.parametrize("parts,threshold,kind", [(1, 0, "hash"), (16, 10_000, "mod"), (4, 20, "long_hash")])
+@pytest.mark.parametrize("parts,threshold,kind", [(1, 0, "hash"), (16, 10_000, "mod"), (4, 20, "long_hash"), (4, 0, "tabular")])
 def test_partitions_and_thresholds(spark, parts, threshold, kind):
     edges = GRAPHS["random"] + GRAPHS["zigzag"]
     for algorithm in ("pa_full", "pa_base"):

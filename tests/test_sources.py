@@ -2,6 +2,7 @@
 
 import pytest
 
+from graphloom import steps
 from graphloom.cli import main
 from graphloom.functions.partitioner import PartitionFn
 from graphloom.sources.edges import read_edges_parquet, read_edges_text, read_labels_text, write_labels_parquet, write_labels_text, write_routed
@@ -54,3 +55,19 @@ def test_partition_functions(spark):
 
     got = df.select("n", PartitionFn(7, "long_hash")(df.n), PartitionFn(7, "mod")(df.n)).collect()
     assert [tuple(r) for r in got] == [(i, java_hash(i) % 7, i % 7) for i in ids]
+
+
+def test_steps_by_themselves(spark, tmp_path, capsys):
+    (tmp_path / "e").write_text("0 1\n1 2\nbad\n2 3\n5 6\n")
+    steps.main(["init", str(tmp_path / "e"), str(tmp_path / "edges")], spark)
+    assert capsys.readouterr().out == "output 4\n"
+    now = "edges"
+    for step in ("sketch-localize", "pa-large-star-routed", "pa-small-star-routed"):
+        steps.main([step, str(tmp_path / now), str(tmp_path / step), "-p", "3"], spark)
+        now = step
+    assert capsys.readouterr().out.startswith("input 4 output 4 changes 0\n")
+    steps.main(["large-star", str(tmp_path / "edges"), str(tmp_path / "l")], spark)
+    steps.main(["small-star", str(tmp_path / "l"), str(tmp_path / "s")], spark)
+    (tmp_path / "g").write_text("0 1\n1 2\n2 3\n5 6\n8 8\n")
+    steps.main(["union-find", str(tmp_path / "g"), str(tmp_path / "labels")], spark)
+    assert rows(read_labels_text(spark, str(tmp_path / "labels"))) == [(0, 0), (1, 0), (2, 0), (3, 0), (5, 5), (6, 5), (8, 8)]
