@@ -45,14 +45,29 @@ def _ends(batch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
 
 
+#: Edges gathered before they are folded into the forest, at least.
+FOLD = 1 << 20
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold batches into one forest; the state is at most the distinct nodes of the split."""
-    u = v = np.empty(0, np.int64)
+    """Fold batches into one forest; the state is at most the distinct nodes of the split.
+
+    A fold waits until as many edges are gathered as the forest has, so each edge takes part in few folds.
+    """
+    tree, waiting, size = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        parts = [tree, *waiting]
+        return _ends(forest(*(np.concatenate([part[i] for part in parts]) for i in (0, 1))))
+
     for batch in batches:
-        more_u, more_v = _ends(batch)
-        got = forest(np.concatenate([u, more_u]), np.concatenate([v, more_v]))
-        u, v = _ends(got)
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=_LABELS)
+        waiting.append(_ends(batch))
+        size += batch.num_rows
+        if size >= max(FOLD, len(tree[0])):
+            tree, waiting, size = fold(), [], 0
+    u, v = fold()
+    for i in range(0, len(u), FOLD):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + FOLD]) for x in (u, v)], schema=_LABELS)
 
 
 def sketch(edges: DataFrame) -> DataFrame:

@@ -91,6 +91,17 @@ def test_sketch_keeps_components(spark):
     assert labels(connected_components(got)) == non_roots(GRAPHS["random"] + GRAPHS["star"])
 
 
+def test_sketch_folds_in_steps(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(local, "FOLD", 7)
+    edges = GRAPHS["random"] + GRAPHS["star"]
+    batches = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in edges[i : i + 3]]) for i in range(0, len(edges), 3)]
+    got = pa.Table.from_batches(local._sketch(iter(batches)))
+    assert sorted(zip(*(c.to_pylist() for c in got.columns), strict=True)) == non_roots(edges)
+    assert list(local._sketch(iter([]))) == []
+
+
 def test_local_solve_is_bounded(spark):
     with pytest.raises(Exception, match="more than 5 edges"):
         local.local_cc(frame(spark, GRAPHS["random"]), 5).collect()
