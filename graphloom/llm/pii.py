@@ -3,9 +3,9 @@
 Base kinds are e-mail, IP and card numbers and phones. They are the seeds: the words to the left and right of a seed are
 lexical patterns. Words that look like identifiers (a digit or @ inside) and are no seed are candidate instances of
 the patterns around them. Spark scores the graph of patterns and instances in rounds: a pattern by the mean score of
-its distinct instances (seeds 1, others by the round before, ``damping`` more of score 0 in the mean), an instance
+what stands in it (seeds 1, other identifiers by the round before, all other words and ``damping`` more 0), an instance
 by 1 - product(1 - pattern) over patterns of at least ``min_pattern``, with ``min_support`` distinct seeds or found
-instances of their own. Instances of at least ``min_score`` are found identifiers, kind ``id``, wherever they stand.
+instances of their own. So "login:" can be a pattern, while "of", which mostly has other words beside it, cannot. Instances of at least ``min_score`` are found identifiers, kind ``id``, wherever they stand.
 
 Only occurrences with their contexts are shuffled, never texts. All sums are pre-aggregated; a pattern such as
 "the" may own a third of the graph.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,9 +98,14 @@ def as_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, str, str, bool]]:
-    """``(start, end, instance, left, right, seed)`` of seeds and of identifier-like words outside of them."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, str, str, bool, int, int]]:
+    """``(start, end, instance, left, right, seed, left_n, right_n)`` of seeds and of identifier-like words outside of them.
+
+    ``left_n, right_n``: how often the context stands in the text, whatever is beside it.
+    """
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    lowered = text.lower()
+    often = Counter(text[s:e].lower()[:40] for s, e in words)
     starts = np.array([w[0] for w in words])
     near = lambda i: text[slice(*words[i])].lower()[:40] if 0 <= i < len(words) else ""
     covered = np.zeros(len(words), bool)
@@ -107,23 +113,26 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int
         first, last = int(np.searchsorted(starts, start, "right")) - 1, int(np.searchsorted(starts, end, "left"))
         covered[first:last] = True
         head = text[words[first][0] : start].lower()[-40:]
-        yield start, end, text[start:end].lower(), head or near(first - 1), near(last), True
+        left, right = head or near(first - 1), near(last)
+        yield start, end, text[start:end].lower(), left, right, True, max(1, lowered.count(head) if head else often[left]), max(1, often[right])
     for i, (start, end) in enumerate(words):
         word = text[start:end]
         if covered[i] or not any(c in "0123456789@" for c in word):
             continue
-        left, keyed = near(i - 1), _KEYED.match(word)
+        left, right, keyed = near(i - 1), near(i + 1), _KEYED.match(word)
+        left_n = often[left]
         if keyed:
-            left, start, word = keyed[1].lower(), start + keyed.start(2), keyed[2]
+            left, start, word = keyed[1].lower()[-40:], start + keyed.start(2), keyed[2]
+            left_n = lowered.count(left)
         start += len(word) - len(word.lstrip(_EDGE))
         word = word.strip(_EDGE)
         if 4 <= len(word) <= 200 and any(c in "0123456789@" for c in word):
-            yield start, start + len(word), word.lower(), left, near(i + 1), False
+            yield start, start + len(word), word.lower(), left, right, False, max(1, left_n), max(1, often[right])
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])
-_SEEN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.bool_())])
-_READ = "row long, doc_id long, text_key long, base_sha256 string, base array<struct<start:int,rank:int,end:int>>, seen array<struct<start:int,end:int,instance:string,left:string,right:string,seed:boolean>>"
+_SEEN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.bool_()), ("left_n", pa.int64()), ("right_n", pa.int64())])
+_READ = "row long, doc_id long, text_key long, base_sha256 string, base array<struct<start:int,rank:int,end:int>>, seen array<struct<start:int,end:int,instance:string,left:string,right:string,seed:boolean,left_n:bigint,right_n:bigint>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +149,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 hashes[i] = hashlib.sha256(as_text(spans).encode()).hexdigest()
                 base[i] = [{"start": s, "rank": k, "end": e} for s, k, e in spans]
-            seen[i] = [dict(zip(("start", "end", "instance", "left", "right", "seed"), x, strict=True)) for x in contexts(text, spans)]
+            seen[i] = [dict(zip(("start", "end", "instance", "left", "right", "seed", "left_n", "right_n"), x, strict=True)) for x in contexts(text, spans)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id"), batch.column("text_key"), pa.array(hashes, pa.string()), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))],
             names=["row", "doc_id", "text_key", "base_sha256", "base", "seen"],
@@ -148,16 +157,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def found_instances(seen: DataFrame, how: Bootstrap, scratch: Scratch) -> DataFrame:
-    """``seen(instance, left, right, seed)`` -> ``(instance, score)`` of the identifiers found."""
-    sides = F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"))
-    edges = seen.select("instance", "seed", F.explode(sides).alias("pattern")).where("length(pattern) > 2")
-    edges = scratch.table(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    """``seen(row, instance, left, right, seed, left_n, right_n)`` -> ``(instance, score)`` of the identifiers found."""
+    sides = F.array(F.struct(F.concat(F.lit("l "), "left").alias("pattern"), F.col("left_n").alias("n")), F.struct(F.concat(F.lit("r "), "right").alias("pattern"), F.col("right_n").alias("n")))
+    sided = seen.select("row", "instance", "seed", F.inline(sides)).where("length(pattern) > 2")
+    totals = scratch.table(sided.groupBy("row", "pattern").agg(F.max("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("total")), "totals")
+    edges = scratch.table(sided.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "edges")
     # Patterns without a seed can only gain by instances found through others; those without any candidate gain nothing.
     scores = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     scores = scratch.table(scores.select("instance", "seed", F.col("seed").cast("double").alias("score")), "scores")
     for i in range(how.rounds):
         strong = (F.col("score") >= how.min_score).cast("bigint")
-        by_pattern = edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + how.damping)).alias("confidence"), F.sum(strong).alias("support"))
+        by_pattern = edges.select("pattern", "instance", "times").join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("found"), F.sum("times").alias("times"), F.sum(strong).alias("support"))
+        by_pattern = by_pattern.join(totals, "pattern").withColumn("confidence", F.col("found") / (F.greatest("total", "times") + how.damping))
         good = by_pattern.where((F.col("confidence") >= how.min_pattern) & (F.col("support") >= how.min_support)).select("pattern", "confidence")
         good = scratch.table(good, f"patterns-{i}")
         gained = edges.join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("gained"))
