@@ -226,8 +226,11 @@ class _Finder:
         (1 - beta) * |D(v)| / 2 for its partner v, since |v| <= |x| + |D(v)|; these bound what a member has to send.
         """
         scratch, p, q = self.scratch, 100 + self.percent, 100 - self.percent
-        around = open_.join(self.pivots(open_, PIVOT_ROUNDS - 1), "key").select("x", "cx", "id", "component").distinct()
+        around = open_.join(self.pivots(open_, PIVOT_ROUNDS - 1), "key").where("id <> x").select("x", "cx", "id", "component").distinct()
         around = scratch.table(around, "around")
+        # Pairs with the pivot itself are settled: only pivots around which several components stand go on.
+        several = around.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("x")
+        around = scratch.table(around.join(several, "x"), "around-several")
         members = around.select(F.explode(F.array("x", "id")).alias("id")).distinct()
         sets = scratch.table(self.full_sets(members), "rest-sets")
         own = around.join(sets.withColumn("n", F.size("shingles").cast("bigint")), "id")
