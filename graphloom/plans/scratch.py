@@ -13,15 +13,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = tempfile.mkdtemp(prefix="graphloom-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    atexit.register(_remove_local, own)
-    return f"file://{own}"
+    """The cluster's shared folder; a temporary one is made only where the session names none (tests)."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(_remove_local, _own[app])
+    return f"file://{_own[app]}"
 
 
 def _remove_local(path: str) -> None:
