@@ -4,8 +4,8 @@ Terms of a text: its distinct words (letters, digits and all non-ASCII bytes; A-
 ``PREFIXES`` bytes, hashed into ``BUCKETS``. Score: the logistic of w0 + sum w_i + sum over i < j of <v_i, v_j>, so that
 two terms together, such as an insult and a group's name, can weigh more than each alone.
 
-It learns from a bounded sample of labelled documents (about ``train_rows``, by hash of the id). Spark extracts the
-sample's terms; the driver gets term numbers only. Terms take part if their share among positives differs from that
+It learns from a bounded sample of labelled documents (about ``train_rows``, by hash of the id). Spark extracts and
+counts the sample's terms; the driver gets the counts of the buckets and, of each row, the few terms that take part. Terms take part if their share among positives differs from that
 among negatives with a chi-square of at least ``min_chi2``; in long texts other terms would add up to noise. The broadcast
 model has a fixed size.
 
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.text_arrays import NON_WORD, _powers_to, byte_values, chunks, mix, utf8
+from graphloom.plans.scratch import Scratch
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -102,6 +103,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
+def informative(seen: np.ndarray, hit: np.ndarray, n: int, positive: int, how: Training) -> np.ndarray:
+    """Which buckets take part, from the rows and the positive rows that have them."""
+    rate = positive / max(n, 1)
+    expected = seen * rate
+    chi2 = np.where(seen > 0, (hit - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - seen / max(n, 1)), 1e-9), 0.0)
+    return (chi2 >= how.min_chi2) & (seen >= 3) & (seen < n)
+
+
 def fit(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, how: Training = Training()) -> Machine:
     """AdaGrad on the log-loss, mini-batches in a seeded order."""
     n = len(labels)
@@ -113,10 +122,7 @@ def fit(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, how: Training
     of = np.repeat(np.arange(n), np.diff(bounds))
     seen = np.bincount(terms, minlength=BUCKETS).astype(float)
     hit = np.bincount(terms, labels[of].astype(float), BUCKETS)
-    rate = positive / n
-    expected = seen * rate
-    chi2 = np.where(seen > 0, (hit - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - seen / n), 1e-9), 0.0)
-    used = np.flatnonzero((chi2 >= how.min_chi2) & (seen >= 3) & (seen < n))
+    used = np.flatnonzero(informative(seen, hit, n, positive, how))
     if not len(used):
         return flat
     place = np.full(BUCKETS, -1)
@@ -163,9 +169,26 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, how: Training =
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(how.train_rows / total * (1 << 30)))
     # At most about train_rows pairs of numbers: a proven bound for the broadcast.
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
-    rows = sample.mapInArrow(_terms, "label int, terms array<int>").toArrow()
-    lists = rows.column("terms").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.table(sample.mapInArrow(_terms, "label int, terms array<int>"), "terms")
+    # Spark counts the terms; the driver sees a row a bucket, then the rows' few terms that take part.
+    counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("hit")).toArrow()
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    seen, hit, at = np.zeros(BUCKETS), np.zeros(BUCKETS), counts.column("term").to_numpy()
+    seen[at], hit[at] = counts.column("seen").to_numpy(), counts.column("hit").to_numpy()
+    used = informative(seen, hit, n, positive, how)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            terms, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            keep = used[terms]
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms[keep]))], names=["label", "terms"])
+
+    rows = rows.mapInArrow(narrow, "label int, terms array<int>").toArrow()
+    scratch.close()
+    lists = pa.concat_arrays(rows.column("terms").chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     return fit(rows.column("label").to_numpy().astype(float), lists.flatten().to_numpy().astype(np.int64), bounds, how)
 
