@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text_arrays import utf8
+from graphloom.llm.text_arrays import chunks, utf8
 from graphloom.plans.scratch import Scratch
 
 #: The kinds in their order; found identifiers come last.
@@ -139,13 +139,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         data, bounds = utf8(batch.column("text"))
-        digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])[bounds]
-        sign = np.concatenate([[0], np.cumsum(data == 64)])[bounds]
+        digits, signs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        for first, end in chunks(bounds):
+            part, at = data[bounds[first] : bounds[end]], bounds[first : end + 1] - bounds[first]
+            for out, flags in ((digits, (part >= 48) & (part <= 57)), (signs, part == 64)):
+                out[first:end] = np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
         hashes, base, seen = [nothing] * batch.num_rows, [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
         texts = batch.column("text")
-        for i in np.flatnonzero((np.diff(digit) > 0) | (np.diff(sign) > 0)).tolist():
+        for i in np.flatnonzero((digits > 0) | (signs > 0)).tolist():
             text = texts[i].as_py()
-            spans = base_spans(text, digit[i + 1] > digit[i])
+            spans = base_spans(text, bool(digits[i]))
             if spans:
                 hashes[i] = hashlib.sha256(as_text(spans).encode()).hexdigest()
                 base[i] = [{"start": s, "rank": k, "end": e} for s, k, e in spans]
