@@ -41,6 +41,8 @@ BITS = 2
 MISS = 1e-6
 SIGMAS = 5.0
 PIVOT_ROUNDS = 2
+#: Rows that one step of a Python worker signs at once.
+SLICE = 1024
 #: Bits of the candidate filter for a candidate, and the filter's largest size (64 MB).
 FILTER_BITS, MAX_FILTER = 32, 1 << 29
 
@@ -85,7 +87,7 @@ def signer(size: int, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations()
         salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(0x2545F491))
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             n_rows = batch.num_rows
             counts, digests = np.zeros(n_rows, np.int64), [b""] * n_rows
             least = np.zeros((n_rows, PERMUTATIONS), np.uint32)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
