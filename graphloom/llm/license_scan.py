@@ -1,6 +1,6 @@
 """Licence scan by canonical digest. DataFrame functions only.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, punctuation and white space to single
+A text is brought to a canonical form: lower case, copyright notices dropped, punctuation and white space to single
 blanks, equivalent spellings to one. Its SHA-256 is hash-joined to the digests of known licences, which go through
 the same columns. Lines that speak of a licence are looked up the same way, so that a notice inside another text is
 found too; the licence of the entire text is a column of its own.
@@ -22,13 +22,23 @@ from graphloom.plans.scratch import Scratch
 #: Known digests are broadcast; a larger collection is joined by shuffle.
 MAX_BROADCAST_LICENSES = 20_000
 
-_COPYRIGHT = "\\n[ \\t#*/;-]*(copyright|\\(c\\)|©)[^\\n]*"
+_MARK = "(?:copyright(?![a-z]*[ \\t]+(?:holder|owner|notice))|\\(c\\)|©)"
+_DATED = f"{_MARK}[ \\t,:-]*(?:\\(c\\)|©|copyright|[0-9]{{4}})"
+_OPENING = "permission is hereby granted|permission to use|redistribution and use"
+_REST = f"(?:(?!{_OPENING})[^\\n])"
+_MARGIN = "[ \\t\\r#*/;-]*"
+#: Notices: lines at a paragraph's head, lines with a year or a second sign, lines after such; on one line with a
+#: licence, up to its opening words. A line that only happens to begin with the word, by wrapping, is none.
+_COPYRIGHT = (
+    f"(?:\\n{_MARGIN}\\n{_MARGIN}{_MARK}{_REST}*+|\\n{_MARGIN}{_DATED}{_REST}*+)(?:\\n{_MARGIN}{_MARK}{_REST}*+)*+"
+    f"|(?<![\\p{{L}}\\p{{N}}]){_DATED}{_REST}{{0,300}}+(?={_OPENING})"
+)
 _NOTICE = "licen[cs]e|licensing"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form: blank-padded words inside, trimmed at the end."""
-    lowered = F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))))
+    lowered = F.concat(F.lit("\n\n"), F.lower(F.coalesce(text, F.lit(""))))
     words = F.regexp_replace(F.regexp_replace(lowered, _COPYRIGHT, "\n"), "[^\\p{L}\\p{N}]+", " ")
     for spelling, usual in SPELLINGS.items():
         words = F.replace(words, F.lit(spelling), F.lit(usual))
