@@ -28,8 +28,8 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Winnow:
-    k: int = 32
-    w: int = 96
+    k: int = 8
+    w: int = 16
 
 
 def code_points(text: str | None) -> np.ndarray:
