@@ -18,12 +18,12 @@ OFFSET = 1_000_000_000
 
 #: Graph -> its edges in SQL; Spark and the oracle read the same statement over the same tables.
 GRAPHS = {
-    "order_part_q50": f"SELECT l_orderkey u, {OFFSET} + l_partkey v FROM lineitem WHERE l_quantity = 50",
-    "order_part_sparse": f"SELECT l_orderkey u, {OFFSET} + l_partkey v FROM lineitem WHERE l_quantity >= 49",
+    "order_part": f"SELECT l_orderkey u, {OFFSET} + l_partkey v FROM lineitem",
     "part_supp_all": f"SELECT l_partkey u, {OFFSET} + l_suppkey v FROM lineitem",
     "cust_order_star": f"SELECT o_custkey u, {OFFSET} + o_orderkey v FROM orders",
     "order_chain": "SELECT u, v FROM (SELECT o_orderkey u, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) v FROM orders) t WHERE v IS NOT NULL",
-    "part_block100": "SELECT p_partkey u, p_partkey + 1 v FROM part WHERE p_partkey % 100 <> 99",
+    "part_chain": "SELECT p_partkey u, p_partkey + 1 v FROM part",
+    "part_block100": "SELECT p_partkey u, greatest(p_partkey - 1, p_partkey - p_partkey % 100) v FROM part",
 }
 _LOOPS = f"{GRAPHS['part_supp_all']} UNION ALL SELECT s_suppkey u, s_suppkey v FROM supplier"
 P8 = PartitionFn(8, "mod")
@@ -65,20 +65,20 @@ def _components(name: str, source: str, **options) -> None:
     _add(name, _cc_sql(GRAPHS[source], roots))(lambda spark, d: connected_components(graph(spark, d, GRAPHS[source]), **options))
 
 
-_components("cc_pa_full", "order_part_q50", algorithm="pa_full", num_partitions=8)
-_components("cc_pa_filtered", "order_part_q50", algorithm="pa_filtered", num_partitions=8, local_threshold=0)
-_components("cc_pa_base", "order_part_q50", algorithm="pa_base", num_partitions=8, local_threshold=0)
-_components("cc_alternating", "order_part_q50", algorithm="alternating")
-_components("cc_alternating_hub", "order_part_q50", algorithm="alternating_hub", num_partitions=8)
-_components("cc_union_find", "order_part_q50", algorithm="union_find")
-_components("cc_all_nodes", "order_part_q50", include_roots=True)
-_components("cc_local_gate", "order_part_q50", local_threshold=1_000_000)
-_components("cc_no_gate", "order_part_q50", num_partitions=8, local_threshold=0)
-_components("cc_sparse", "order_part_sparse")
+_components("cc_pa_full", "order_part", algorithm="pa_full", num_partitions=8)
+_components("cc_pa_filtered", "order_part", algorithm="pa_filtered", num_partitions=8, local_threshold=0)
+_components("cc_pa_base", "order_part", algorithm="pa_base", num_partitions=8, local_threshold=0)
+_components("cc_alternating", "order_part", algorithm="alternating")
+_components("cc_alternating_hub", "order_part", algorithm="alternating_hub", num_partitions=8)
+_components("cc_union_find", "order_part", algorithm="union_find")
+_components("cc_all_nodes", "order_part", include_roots=True)
+_components("cc_local_gate", "order_part", local_threshold=1_000_000)
+_components("cc_no_gate", "order_part", num_partitions=8, local_threshold=0)
+_components("cc_sparse", "order_part")
 _components("cc_single_giant", "part_supp_all")
 _components("cc_star_forest", "cust_order_star")
 _components("cc_chains", "order_chain")
-_components("cc_blocks", "part_block100")
+_components("cc_blocks", "part_chain")
 
 
 def _one_round(name: str, source: str, sql: str, step: Callable[[DataFrame], DataFrame]) -> None:
@@ -96,22 +96,22 @@ _T = "CASE WHEN m <> x THEN m ELSE mu END"
 _one_round("op_mirror", _LOOPS, "r AS (SELECT u g, v x FROM e UNION ALL SELECT v, u FROM e) SELECT * FROM r", E.mirror)
 _one_round("op_canonical_edges", _LOOPS, "r AS (SELECT DISTINCT least(u, v) u, greatest(u, v) v FROM e WHERE u <> v) SELECT * FROM r", E.canonical)
 _one_round("op_drop_self_loops", _LOOPS, "r AS (SELECT * FROM e WHERE u <> v) SELECT * FROM r", E.drop_self_loops)
-_one_round("op_large_star", "order_part_q50", f"{_NB}, {_A} SELECT x u, mu v, mu <> g ch FROM nb JOIN a USING (g) WHERE x > g", stars.large_star)
+_one_round("op_large_star", "order_part", f"{_NB}, {_A} SELECT x u, mu v, mu <> g ch FROM nb JOIN a USING (g) WHERE x > g", stars.large_star)
 _one_round(
     "op_small_star",
-    "order_part_q50",
+    "order_part",
     f"{_LARGE}, nb2 AS (SELECT DISTINCT u g, v x FROM e2), a2 AS (SELECT g, min(x) mu FROM nb2 GROUP BY g) SELECT x u, mu v, true ch FROM nb2 JOIN a2 USING (g) WHERE x <> mu UNION ALL SELECT g, mu, false FROM a2",
     lambda e: stars.small_star(stars.large_star(e)),
 )
 _one_round(
     "op_pa_large_star",
-    "order_part_q50",
+    "order_part",
     f"{_NB}, {_MCU}, {_A} SELECT x u, {_T} v, ({_T}) <> nb.g ch FROM nb JOIN a ON a.g = nb.g JOIN mcu ON mcu.g = nb.g AND mcu.q = nb.x % 8 WHERE x > nb.g",
     lambda e: stars.pa_large_star(e, P8),
 )
 _one_round(
     "op_pa_small_star",
-    "order_part_q50",
+    "order_part",
     f"e2 AS MATERIALIZED (SELECT v u, u v FROM e), {_DOWN}, {_MCU}, a AS (SELECT g, min(x) mu FROM nb GROUP BY g), y AS (SELECT g, x FROM nb UNION ALL SELECT DISTINCT g, g FROM nb) "
     f"SELECT x u, {_T} v, x <> y.g ch FROM y JOIN a ON a.g = y.g JOIN mcu ON mcu.g = y.g AND mcu.q = y.x % 8 WHERE x <> mu",
     lambda e: stars.pa_small_star(e.select(F.col("v").alias("u"), F.col("u").alias("v")), P8),
@@ -125,7 +125,7 @@ def _flagged(e: DataFrame) -> DataFrame:
 _LEAFY = "el AS MATERIALIZED (SELECT u, v, v % 3 = 0 leaf FROM e), nb AS (SELECT u g, v x, false leaf FROM el WHERE NOT leaf UNION SELECT v, u, leaf FROM el)"
 _one_round(
     "op_filter_large_routes",
-    "order_part_q50",
+    "order_part",
     f"{_LEAFY}, {_MCU}, a AS (SELECT g, least(g, min(x)) mu, bool_and(leaf) star FROM nb GROUP BY g) "
     f"SELECT x u, CASE WHEN star THEN nb.g ELSE {_T} END v, false leaf, CASE WHEN star THEN 'cc' WHEN m <> x AND leaf THEN 'in' ELSE 'out' END route, (NOT star) AND ({_T}) <> nb.g ch "
     "FROM nb JOIN a ON a.g = nb.g JOIN mcu ON mcu.g = nb.g AND mcu.q = nb.x % 8 WHERE x > nb.g",
@@ -133,7 +133,7 @@ _one_round(
 )
 _one_round(
     "op_filter_small_routes",
-    "order_part_q50",
+    "order_part",
     f"{_NB}, {_MCU}, a AS (SELECT g, least(g, min(x)) mu, max(x) <= g leaf FROM nb GROUP BY g) "
     f"SELECT x u, {_T} v, false leaf, 'out' route, true ch FROM nb JOIN a ON a.g = nb.g JOIN mcu ON mcu.g = nb.g AND mcu.q = nb.x % 8 WHERE x < nb.g AND x <> mu UNION ALL "
     "SELECT a.g, CASE WHEN m <> a.g THEN m ELSE mu END, m = a.g AND a.leaf, CASE WHEN m <> a.g AND a.leaf THEN 'in' ELSE 'out' END, false FROM a JOIN mcu ON mcu.g = a.g AND mcu.q = a.g % 8 WHERE a.g <> mu",
@@ -145,7 +145,7 @@ _one_round(
     "k AS (SELECT DISTINCT v u, u v, v % 8 q FROM e), a AS (SELECT v, q, min(u) m FROM k GROUP BY v, q) SELECT k.u, CASE WHEN k.u <> a.m THEN a.m ELSE k.v END v FROM k JOIN a ON a.v = k.v AND a.q = k.q",
     lambda e: stars.localize(e.select(F.col("v").alias("u"), F.col("u").alias("v")), P8),
 )
-_one_round("op_star_group", "order_part_q50", f"{_NB} SELECT g node, array_to_string(list_sort(list(x)), ',') neighbours FROM nb GROUP BY g", lambda e: E.star_group(e).withColumn("neighbours", F.array_join("neighbours", ",")))
+_one_round("op_star_group", "order_part", f"{_NB} SELECT g node, array_to_string(list_sort(list(x)), ',') neighbours FROM nb GROUP BY g", lambda e: E.star_group(e).withColumn("neighbours", F.array_join("neighbours", ",")))
 _one_round("op_degree", "part_supp_all", f"{_NB} SELECT g node, count(*) AS degree FROM nb GROUP BY g", E.degrees)
 _one_round("op_hub_nodes", "part_supp_all", f"{_NB} SELECT g node, count(*) AS degree FROM nb GROUP BY g HAVING count(*) > 16", lambda e: E.hubs(e, 16))
 _one_round(
@@ -174,8 +174,8 @@ _one_round(
     "r AS (SELECT u, u % 8 p_mod, u % 8 p_long_hash FROM e) SELECT DISTINCT * FROM r",
     lambda e: e.select("u", P8(F.col("u")).alias("p_mod"), PartitionFn(8, "long_hash")(F.col("u")).alias("p_long_hash")).distinct(),
 )
-_one_round("op_is_star", "order_part_q50", f"{_LEAFY} SELECT g node, bool_and(leaf) star FROM nb GROUP BY g", lambda e: E.is_star(_flagged(e)))
-_one_round("op_is_leaf", "order_part_q50", f"{_NB} SELECT g node, max(x) <= g leaf FROM nb GROUP BY g", E.is_leaf)
+_one_round("op_is_star", "order_part", f"{_LEAFY} SELECT g node, bool_and(leaf) star FROM nb GROUP BY g", lambda e: E.is_star(_flagged(e)))
+_one_round("op_is_leaf", "order_part", f"{_NB} SELECT g node, max(x) <= g leaf FROM nb GROUP BY g", E.is_leaf)
 _one_round("op_distinct_pairs", "part_supp_all", "r AS (SELECT DISTINCT u node, v component FROM e) SELECT * FROM r", lambda e: E.distinct_pairs(e.toDF("node", "component")))
 _one_round("op_union_filtered", "part_supp_all", "r AS (SELECT * FROM e WHERE u % 2 = 0 UNION ALL SELECT * FROM e WHERE u % 2 = 1) SELECT * FROM r", lambda e: E.union_edges(e.where("u % 2 = 0"), e.where("u % 2 = 1")))
 
@@ -190,7 +190,7 @@ def _hub_split(e: DataFrame) -> DataFrame:
 
 @_add("op_cc_computation", _cc_sql(GRAPHS["part_block100"]))
 def _cc_computation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 100 parts are closed under ``id div 100``, so one local solve a partition is whole."""
+    """Every part, linked to the one before it in its block of 100 (the first to itself). Blocks are closed under ``id div 100``, so one local solve a partition is whole."""
     edges = graph(spark, sf_dir, GRAPHS["part_block100"])
     return local.cc_computation(edges, BlockFn(100, 8))
 
@@ -212,18 +212,18 @@ def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_labels_text(spark, path)
 
 
-@_add("op_text_malformed", f"SELECT u::BIGINT u, v::BIGINT v FROM ({GRAPHS['order_part_q50']}) s")
+@_add("op_text_malformed", f"SELECT u::BIGINT u, v::BIGINT v FROM ({GRAPHS['order_part']}) s")
 def _text_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge lines in a loose layout, each followed by a line that is none; only the edges come back."""
     path = f"{Scratch(spark, 'text').root}/edges"
-    e = graph(spark, sf_dir, GRAPHS["order_part_q50"])
+    e = graph(spark, sf_dir, GRAPHS["order_part"])
     e.select(F.explode(F.array(F.concat(F.lit(" \t"), "u", F.lit(" \t "), "v", F.lit(" ignored\r")), F.concat(F.lit("x"), "u"))).alias("value")).write.text(path)
     return read_edges_text(spark, path, mode="DROPMALFORMED")
 
 
-@_add("agg_component_sizes", _cc_sql(GRAPHS["order_part_q50"], select="SELECT label AS component, count(*) AS size FROM cc GROUP BY label"))
+@_add("agg_component_sizes", _cc_sql(GRAPHS["order_part"], select="SELECT label AS component, count(*) AS size FROM cc GROUP BY label"))
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return component_sizes(connected_components(graph(spark, sf_dir, GRAPHS["order_part_q50"])))
+    return component_sizes(connected_components(graph(spark, sf_dir, GRAPHS["order_part"])))
 
 
 @_add("op_sketch", None)
