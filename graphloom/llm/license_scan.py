@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.license_texts import LICENSES, SPELLINGS
+from graphloom.llm.license_texts import KNOWN, SPELLINGS, WHOLE_DIGESTS
 from graphloom.plans.scratch import Scratch
 
 #: Known digests are broadcast; a larger collection is joined by shuffle.
 MAX_BROADCAST_LICENSES = 20_000
 
-_MARK = "(?:copyright(?![a-z]*[ \\t]+(?:holder|owner|notice))|\\(c\\)|©)"
+_MARK = "(?:copyright(?![a-z]*[ \\t]+(?:holder|owner|notice))|\\(c\\)(?![ \\t]+you )|©)"
 _DATED = f"{_MARK}[ \\t,:-]*(?:\\(c\\)|©|copyright|[0-9]{{4}})"
 _OPENING = "permission is hereby granted|permission to use|redistribution and use"
 _REST = f"(?:(?!{_OPENING})[^\\n])"
@@ -49,13 +49,14 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark, licenses: dict[str, tuple[str, ...]] = LICENSES) -> DataFrame:
-    """``(digest, license)`` of known texts, one row a digest."""
+def known_digests(spark, licenses: dict[str, tuple[str, ...]] = KNOWN, digests: dict[str, str] = WHOLE_DIGESTS) -> DataFrame:
+    """``(digest, license)`` of known texts, and of ``digests`` of texts that are not kept here; one row a digest."""
     rows = [(name, text) for name, texts in licenses.items() for text in texts]
     schema = T.StructType([T.StructField("license", T.StringType()), T.StructField("body", T.StringType())])
-    table = spark.createDataFrame(rows, schema).where(canonical(F.col("body")) != "")
-    table = table.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license").alias("license"))
-    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_LICENSES else table
+    table = spark.createDataFrame(rows, schema).where(canonical(F.col("body")) != "").select(digest(F.col("body")).alias("digest"), "license")
+    table = table.union(spark.createDataFrame(list(digests.items()), "digest string, license string"))
+    table = table.groupBy("digest").agg(F.min("license").alias("license"))
+    return F.broadcast(table) if len(rows) + len(digests) <= MAX_BROADCAST_LICENSES else table
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

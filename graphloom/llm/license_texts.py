@@ -60,6 +60,28 @@ LICENSES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
 }
 
+#: Licence name -> usual lines of source headers.
+HEADERS: dict[str, tuple[str, ...]] = {
+    "MIT": ("SPDX-License-Identifier: MIT",),
+    "ISC": ("SPDX-License-Identifier: ISC",),
+    "BSD-2-Clause": ("SPDX-License-Identifier: BSD-2-Clause",),
+    "BSD-3-Clause": ("SPDX-License-Identifier: BSD-3-Clause",),
+    "Apache-2.0": ("SPDX-License-Identifier: Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    "GPL-3.0": ("SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0"),
+    "CC-BY-NC-4.0": ("SPDX-License-Identifier: CC-BY-NC-4.0",),
+}
+KNOWN: dict[str, tuple[str, ...]] = {name: texts + HEADERS.get(name, ()) for name, texts in LICENSES.items()}
+
+#: Canonical SHA-256 of long whole texts, each with and without its appendix -> licence name.
+WHOLE_DIGESTS: dict[str, str] = {
+    "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543": "Apache-2.0",
+    "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40": "Apache-2.0",
+    "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f": "Apache-2.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0",
+    "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191": "GPL-3.0",
+}
+
 #: British or joined spelling -> the usual one, after punctuation has gone.
 SPELLINGS: dict[str, str] = {
     "licence": "license",
