@@ -1,7 +1,8 @@
 """Interleaved document sequences with media columns.
 
 HTML is parsed into an ordered sequence of text and media-reference structs: position, kind, text, reference, caption.
-Captions stand with their media: a figure's caption, else the alternative text. References of the form
+Captions stand with their media: a figure's caption, else the alternative text; a caption that no
+media takes is text. An open caption ends with its figure or the page. References of the form
 ``sha256:<hex>`` are resolved by a digest join against a media store; the sequence keeps its order and positions.
 
 The store keeps payloads losslessly as 8-bit grey samples (binary PGM, 64 samples a row), in Parquet binary columns
@@ -44,6 +45,9 @@ class SequenceParser(HTMLParser):
         self._text: list[str] = []
         self._silent = 0
         self._figures: list[int] = []  # index of the first item of each open figure
+        self._captions: list[list[tuple[int, str]]] = []  # place and text of the captions of each
+        self._place = 0
+        self._settled: set[int] = set()  # media of closed figures that have their caption
         self._caption: list[str] | None = None
         self._waiting = ""
 
@@ -59,9 +63,12 @@ class SequenceParser(HTMLParser):
         if tag in _BLOCKS and self._caption is None:
             self._flush()
         if tag == "figure":
+            self._end_caption()
             self._figures.append(len(self.items))
+            self._captions.append([])
         elif tag == "figcaption":
-            self._caption = []
+            self._end_caption()
+            self._caption, self._place = [], len(self.items)
         elif tag in _SOURCES:
             named = dict(attrs)
             if named.get(_SOURCES[tag]):
@@ -71,22 +78,48 @@ class SequenceParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT and self._silent:
             self._silent -= 1
-        if tag == "figcaption" and self._caption is not None:
-            caption, self._caption = " ".join("".join(self._caption).split()), None
-            for item in self.items[self._figures[-1] if self._figures else len(self.items) :]:
-                if item[0] == "media" and caption:
-                    item[3] = caption
-            self._waiting = caption  # the figure's media may still come
+        if tag == "figcaption":
+            self._end_caption()
         elif tag == "figure" and self._figures:
-            self._flush()
-            first = self._figures.pop()
-            for item in self.items[first:]:
-                if item[0] == "media" and self._waiting:
-                    item[3] = self._waiting
-            self._waiting = ""
+            self._end_figure()
         elif tag in _BLOCKS and self._caption is None:
             self._flush()
 
+    def _end_caption(self) -> None:
+        if self._caption is None:
+            return
+        caption, self._caption = " ".join("".join(self._caption).split()), None
+        if not self._figures:
+            self.items += [["text", caption, None, None]] if caption else []
+            return
+        for item in self.items[self._figures[-1] :]:
+            if item[0] == "media" and caption and id(item) not in self._settled:
+                item[3] = caption
+        self._waiting = caption  # the figure's media may still come
+        if caption:
+            self._captions[-1].append((self._place, caption))
+
+    def _end_figure(self) -> None:
+        self._end_caption()
+        self._flush()
+        first, captions = self._figures.pop(), self._captions.pop()
+        media = [item for item in self.items[first:] if item[0] == "media"]
+        for item in media:
+            if self._waiting and id(item) not in self._settled:
+                item[3] = self._waiting
+        taken = {item[3] for item in media}
+        self._settled.update(id(item) for item in media if item[3] in {caption for _, caption in captions})
+        for place, caption in reversed(captions):
+            if caption not in taken:
+                self.items.insert(place, ["text", caption, None, None])
+        self._waiting = ""
+
+    def close(self) -> None:
+        super().close()
+        self._end_caption()
+        while self._figures:
+            self._end_figure()
+
     def handle_data(self, data: str) -> None:
         if self._silent:
             return
