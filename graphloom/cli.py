@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from graphloom.functions.partitioner import KINDS
 from graphloom.plans.algorithms import ALGORITHMS
 from graphloom.plans.api import connected_components
 from graphloom.plans.metrics import RunMetrics
@@ -19,9 +20,12 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("-a", "--algorithm", choices=list(ALGORITHMS), default="pa_full")
     out.add_argument("-t", "--local-threshold", type=int, default=100_000)
     out.add_argument("-p", "--num-partitions", type=int)
+    out.add_argument("--partition-fn", choices=KINDS, default="hash")
+    out.add_argument("--max-rounds", type=int, default=60)
     out.add_argument("--include-roots", action="store_true")
     out.add_argument("--mode", choices=["FAILFAST", "DROPMALFORMED"], default="FAILFAST")
     out.add_argument("--format", choices=["text", "parquet"], default="text")
+    out.add_argument("-q", "--quiet", action="store_true", help="print no report")
     out.add_argument("-v", "--verbose", action="store_true", help="also print a line for each round")
     return out
 
@@ -31,12 +35,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Ru
     spark = spark or SparkSession.builder.appName("graphloom").getOrCreate()
     edges = read_edges_text(spark, args.input, mode=args.mode) if args.format == "text" else read_edges_parquet(spark, args.input)
     metrics = RunMetrics("", 0, 0, input=args.input)
-    labels = connected_components(edges, args.algorithm, args.num_partitions, args.local_threshold, args.include_roots, metrics=metrics)
+    labels = connected_components(edges, args.algorithm, args.num_partitions, args.local_threshold, args.include_roots, args.partition_fn, args.max_rounds, metrics)
     (write_labels_text if args.format == "text" else write_labels_parquet)(labels, args.output)
     if args.verbose:
         for r in metrics.rounds:
             print(r)
-    print(metrics.row())
+    if not args.quiet:
+        print(metrics.row())
     return metrics
 
 

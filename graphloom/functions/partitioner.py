@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+KINDS = ("hash", "mod", "long_hash", "tabular")
+
 
 @dataclass(frozen=True)
 class PartitionFn:
@@ -23,7 +25,7 @@ class PartitionFn:
     def __post_init__(self) -> None:
         if self.parts < 1:
             raise ValueError("a partition function needs at least one partition")
-        if self.kind not in ("hash", "mod", "long_hash", "tabular"):
+        if self.kind not in KINDS:
             raise ValueError(f"unknown partition function: {self.kind}")
 
     def __call__(self, node: Column) -> Column:
@@ -37,12 +39,26 @@ class PartitionFn:
         return F.pmod(F.xxhash64(node), parts)
 
 
+#: The prime modulus of the tabulation hash; squares of residues fit a long.
+TABULAR_PRIME = 2**31 - 1
+
+
+def tabular_factor(place: int) -> int:
+    """The odd multiplier of the limb at ``place``."""
+    return 1_664_525 * (2 * place + 1) + 2 * place
+
+
 def tabular(node: Column) -> Column:
-    """Tabulation hash: a function of each limb and its place instead of a table for it."""
-    out = None
+    """Tabulation hash: a function of each limb and its place instead of a table for it.
+
+    A limb's value is ``y * y + limb`` modulo the prime, for ``y`` its product with the place's factor; in plain long
+    arithmetic, so that any SQL engine can give the same partition.
+    """
+    out, prime = None, F.lit(TABULAR_PRIME).cast("bigint")
     for place in range(4):
         limb = F.shiftrightunsigned(node, 16 * place).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
-        hashed = F.xxhash64(limb, F.lit(place))
+        y = (limb + 1) * F.lit(tabular_factor(place)).cast("bigint") % prime
+        hashed = (y * y + limb) % prime
         out = hashed if out is None else out.bitwiseXOR(hashed)
     return out
 

@@ -19,11 +19,16 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return mirror(edges).distinct()
 
 
-def neighbours_by_leaf(edges: DataFrame) -> DataFrame:
-    """Distinct ``(g, x, leaf)``: a flagged edge gives only the row of its larger end, so that leaves get no group."""
+def mirror_by_leaf(edges: DataFrame) -> DataFrame:
+    """``(g, x, leaf)``: a flagged edge gives only the row of its larger end, so that leaves get no group."""
     down = F.struct(F.col("v").alias("g"), F.col("u").alias("x"), F.col("leaf"))
     up = F.struct(F.col("u").alias("g"), F.col("v").alias("x"), F.lit(False).alias("leaf"))
-    return edges.select(F.inline(F.when(F.col("leaf"), F.array(down)).otherwise(F.array(down, up)))).distinct()
+    return edges.select(F.inline(F.when(F.col("leaf"), F.array(down)).otherwise(F.array(down, up))))
+
+
+def neighbours_by_leaf(edges: DataFrame) -> DataFrame:
+    """Distinct rows of :func:`mirror_by_leaf`."""
+    return mirror_by_leaf(edges).distinct()
 
 
 def canonical(edges: DataFrame) -> DataFrame:

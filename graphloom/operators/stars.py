@@ -1,56 +1,83 @@
 """One half round each: every operator maps edges to edges and keeps connectivity.
 
-All are aggregates joined back on the node. Partial aggregation runs before the shuffle and adaptive execution
-splits a hub's rows in the join, so that a node with a third of all edges never sits in one task.
+A star needs the minima around each node beside each of its neighbours. The neighbours of ``g`` are dealt by ``(g, q)``
+with ``q`` the partition of the neighbour, so that a hub with a third of all edges falls into as many groups as there
+are partitions and never sits in one task. That one exchange serves the removal of repeats, the minimum of each group and
+the join that brings the minima back; between, at most one row a group goes by ``g`` to be compared and back: three
+exchanges in all. Filters on the neighbour are worded with the minima, since Catalyst would push a plain one into one
+of the two readers of the first exchange and so make it twice.
+
 Output columns: ``u, v`` [``leaf, route``] and ``ch``, true where the row is a change.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.partitioner import PartitionFn, hub_copy, plain_node
-from graphloom.operators.edges import group_minimum, neighbours, neighbours_by_leaf, partition_minimum
+from graphloom.operators.edges import mirror, mirror_by_leaf
 
+#: Groups that a hub falls into in the stars that know no partitions, at least; else as many as shuffles have.
+SALTS = 64
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Link each larger neighbour of a node to the least id around that node."""
-    nb = neighbours(edges)
-    return nb.join(group_minimum(nb), "g").where("x > g").select(F.col("x").alias("u"), F.col("mu").alias("v"), (F.col("mu") != F.col("g")).alias("ch"))
 
+def _salt(edges: DataFrame) -> PartitionFn:
+    return PartitionFn(max(SALTS, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the least of them; edges come larger end first."""
-    nb = edges.select(F.col("u").alias("g"), F.col("v").alias("x")).distinct()
-    least = nb.groupBy("g").agg(F.min("x").alias("mu"))
-    moved = nb.join(least, "g").where("x <> mu").select(F.col("x").alias("u"), F.col("mu").alias("v"), F.lit(True).alias("ch"))
-    return moved.unionAll(least.select(F.col("g").alias("u"), F.col("mu").alias("v"), F.lit(False).alias("ch")))
+
+def _around(rows: DataFrame, p: PartitionFn) -> DataFrame:
+    """``rows(g, x[, leaf])`` without repeats, each with the minima around it.
+
+    ``m``: least neighbour of ``g`` in x's partition; ``lo``, ``top``: least and greatest neighbour; ``own``: least
+    neighbour in g's own partition, if any; ``star`` (with ``leaf``): whether all neighbours are leaves; ``home``: x is in
+    g's own partition.
+    """
+    dealt = rows.withColumn("q", p(F.col("x"))).where("g IS NOT NULL AND x IS NOT NULL AND q IS NOT NULL").repartition("g", "q").distinct()
+    found = [F.min("x").alias("m"), F.max("x").alias("most")]
+    if "leaf" in rows.columns:
+        found.append(F.bool_and("leaf").alias("leafy"))
+    groups = dealt.groupBy("g", "q").agg(*found).withColumn("home", F.col("q") == p(F.col("g")))
+    node = Window.partitionBy("g")  # at most a row a partition
+    over = {"lo": F.min("m"), "top": F.max("most"), "own": F.min(F.when(F.col("home"), F.col("m")))}
+    if "leaf" in rows.columns:
+        over["star"] = F.bool_and("leafy")
+    minima = groups.withColumns({name: f.over(node) for name, f in over.items()}).drop("most", "leafy")
+    return dealt.join(minima, ["g", "q"])
+
+
+#: Neighbours above and below g; the second halves are always true.
+_LARGER, _SMALLER = "x > greatest(g, least(lo, g))", "x < least(g, greatest(lo, g))"
+#: Least of x's partition with g itself, where it is there; the target that prefers it; the same for g's own row.
+_LEAST = "CASE WHEN home THEN least(m, g) ELSE m END"
+_TARGET = f"CASE WHEN ({_LEAST}) <> x THEN {_LEAST} ELSE least(g, lo) END"
+_OWN_TARGET = "CASE WHEN least(own, g) <> g THEN own ELSE least(g, lo) END"
 
 
-def _with_minima(nb: DataFrame, base: DataFrame, p: PartitionFn) -> DataFrame:
-    """``base(g, ...)`` joined to ``nb(g, x)`` and to the minimum of x's partition at g."""
-    joined = nb.join(base, "g").withColumn("q", p(F.col("x")))
-    return joined.join(partition_minimum(nb, p), ["g", "q"])
+def large_star(edges: DataFrame) -> DataFrame:
+    """Link each larger neighbour of a node to the least id around that node."""
+    return _around(mirror(edges), _salt(edges)).where(_LARGER).selectExpr("x AS u", "least(g, lo) AS v", "lo < g AS ch")
+
+
+def _down(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("u").alias("g"), F.col("v").alias("x"))
 
 
-_TARGET = "CASE WHEN m <> x THEN m ELSE mu END"
+def small_star(edges: DataFrame) -> DataFrame:
+    """Link a node and its smaller neighbours to the least of them; edges come larger end first."""
+    # The least neighbour has no row of its own, so its place is taken by the node's.
+    return _around(_down(edges), _salt(edges)).selectExpr("CASE WHEN x = lo THEN g ELSE x END AS u", "lo AS v", "x <> lo AS ch")
 
 
 def pa_large_star(edges: DataFrame, p: PartitionFn) -> DataFrame:
     """Large star that prefers the least neighbour in the linked node's own partition."""
-    nb = neighbours(edges)
-    rows = _with_minima(nb, group_minimum(nb), p).where("x > g")
-    return rows.selectExpr("x AS u", f"{_TARGET} AS v", f"({_TARGET}) <> g AS ch")
+    return _around(mirror(edges), p).where(_LARGER).selectExpr("x AS u", f"{_TARGET} AS v", f"({_TARGET}) <> g AS ch")
 
 
 def pa_small_star(edges: DataFrame, p: PartitionFn) -> DataFrame:
     """Small star with the same preference; edges come larger end first."""
-    nb = edges.select(F.col("u").alias("g"), F.col("v").alias("x")).distinct()
-    least = nb.groupBy("g").agg(F.min("x").alias("mu"))
-    members = nb.unionAll(least.select("g", F.col("g").alias("x")))
-    rows = members.join(least, "g").withColumn("q", p(F.col("x"))).join(partition_minimum(nb, p), ["g", "q"]).where("x <> mu")
-    return rows.selectExpr("x AS u", f"{_TARGET} AS v", "x <> g AS ch")
+    rows = _around(_down(edges), p)
+    return rows.selectExpr("CASE WHEN x = lo THEN g ELSE x END AS u", f"CASE WHEN x = lo THEN {_OWN_TARGET} ELSE {_TARGET} END AS v", "x <> lo AS ch")
 
 
 def pa_large_star_routed(edges: DataFrame, p: PartitionFn) -> DataFrame:
@@ -59,33 +86,24 @@ def pa_large_star_routed(edges: DataFrame, p: PartitionFn) -> DataFrame:
     ``cc``: the whole component is a finished star. ``in``: a leaf that found its partition's minimum.
     ``out``: stays in the loop.
     """
-    nb = neighbours_by_leaf(edges)
-    around = nb.groupBy("g").agg(F.least("g", F.min("x")).alias("mu"), F.bool_and("leaf").alias("star"))
-    rows = _with_minima(nb, around, p).where("x > g")
-    return rows.selectExpr(
+    return _around(mirror_by_leaf(edges), p).where(_LARGER).selectExpr(
         "x AS u",
         f"CASE WHEN star THEN g ELSE {_TARGET} END AS v",
         "false AS leaf",
-        "CASE WHEN star THEN 'cc' WHEN m <> x AND leaf THEN 'in' ELSE 'out' END AS route",
+        f"CASE WHEN star THEN 'cc' WHEN ({_LEAST}) <> x AND leaf THEN 'in' ELSE 'out' END AS route",
         f"(NOT star) AND ({_TARGET}) <> g AS ch",
     )
 
 
 def pa_small_star_routed(edges: DataFrame, p: PartitionFn) -> DataFrame:
     """:func:`pa_small_star` over mirrored edges that routes settled nodes out and flags new leaves."""
-    nb = neighbours(edges)
-    around = nb.groupBy("g").agg(F.least("g", F.min("x")).alias("mu"), (F.max("x") <= F.col("g")).alias("low"))
-    smaller = _with_minima(nb, around, p).where("x < g AND x <> mu")
-    moved = smaller.selectExpr("x AS u", f"{_TARGET} AS v", "false AS leaf", "'out' AS route", "true AS ch")
-    own = around.where("g <> mu").withColumn("q", p(F.col("g"))).join(partition_minimum(nb, p), ["g", "q"])
-    kept = own.selectExpr(
-        "g AS u",
-        "CASE WHEN m <> g THEN m ELSE mu END AS v",
-        "m = g AND low AS leaf",
-        "CASE WHEN m <> g AND low THEN 'in' ELSE 'out' END AS route",
-        "false AS ch",
+    return _around(mirror(edges), p).where(_SMALLER).selectExpr(
+        "CASE WHEN x = lo THEN g ELSE x END AS u",
+        f"CASE WHEN x = lo THEN {_OWN_TARGET} ELSE {_TARGET} END AS v",
+        "x = lo AND coalesce(least(own, g), g) = g AND top <= g AS leaf",
+        "CASE WHEN x = lo AND least(own, g) <> g AND top <= g THEN 'in' ELSE 'out' END AS route",
+        "x <> lo AS ch",
     )
-    return moved.unionAll(kept)
 
 
 def to_hub_edges(edges: DataFrame) -> DataFrame:
@@ -132,7 +150,10 @@ def hub_labels(edges: DataFrame) -> DataFrame:
 
 
 def localize(parents: DataFrame, p: PartitionFn) -> DataFrame:
-    """Split each star of ``(u child, v parent)`` into one sub-star for each partition of its children."""
-    kids = parents.select("u", "v").distinct().withColumn("q", p(F.col("u")))
-    least = kids.groupBy("v", "q").agg(F.min("u").alias("m"))
-    return kids.join(least, ["v", "q"]).selectExpr("u", "CASE WHEN u <> m THEN m ELSE v END AS v")
+    """Split each star of ``(u child, v parent)`` into one sub-star for each partition of its children.
+
+    One exchange: the children of a parent in one partition, which fit in a task, come together.
+    """
+    kids = parents.select("u", "v").withColumn("q", p(F.col("u"))).repartition("v", "q").distinct()
+    least = F.min("u").over(Window.partitionBy("v", "q"))
+    return kids.withColumn("m", least).selectExpr("u", "CASE WHEN u <> m THEN m ELSE v END AS v")

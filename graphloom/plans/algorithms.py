@@ -49,6 +49,17 @@ def _counters(*routes: str) -> list:
     return [F.count("*").alias("size"), number(F.col("ch")).alias("changes"), *(number(F.col("route") == r).alias(r) for r in routes)]
 
 
+_ROUTES = ("out", "in", "cc")
+
+
+def _routed_step(scratch: Scratch, rows: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame], dict]:
+    """Write one half round apart by route: the edges that stay, tables of settled ones, and the counters."""
+    seen = Observation()
+    parts = scratch.split(rows.observe(seen, *_counters(*_ROUTES)), name, "route", lambda: {r: seen.get[r] for r in _ROUTES})
+    stay = parts.pop("out", None)
+    return stay, list(parts.values()), seen.get
+
+
 def _step(scratch: Scratch, rows: DataFrame, name: str, counters: list) -> tuple[DataFrame, dict]:
     """Write one half round; its counters come from the same job."""
     seen = Observation()
@@ -124,26 +135,33 @@ def pa_base(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
 
 
 def _filtered_rounds(edges: DataFrame, size: int, p: PartitionFn, opts: Options, scratch: Scratch) -> DataFrame:
-    """Rounds over the edges still open; settled ones wait in their scratch tables for the final solve."""
-    now = edges.select("u", "v", F.lit(False).alias("leaf"))
+    """Rounds over the edges still open. Settled ones are written apart and wait for the final solve; edges that the next
+    half round has read are deleted, so that the disk holds the settled edges and two half rounds."""
+    now, last = edges.select("u", "v", F.lit(False).alias("leaf")), edges
     settled: list[DataFrame] = []
     for i in range(opts.max_rounds):
         if size <= opts.local_threshold:
             now = local.local_cc(now, opts.local_threshold)
             break
-        large, a = _step(scratch, stars.pa_large_star_routed(now, p), "large", _counters("out", "in", "cc"))
-        small, b = _step(scratch, stars.pa_small_star_routed(large.where("route = 'out'"), p), "small", _counters("out", "in", "cc"))
-        for table, got in ((large, a), (small, b)):
-            if got["in"] or got["cc"]:
-                settled.append(table.where("route <> 'out'"))
+        large, done, a = _routed_step(scratch, stars.pa_large_star_routed(now, p), "large")
+        settled += done
+        scratch.drop(last)
+        b = dict.fromkeys((*_ROUTES, "changes"), 0)
+        now = last = None
+        if large is not None:
+            now, done, b = _routed_step(scratch, stars.pa_small_star_routed(large, p), "small")
+            settled += done
+            scratch.drop(large)
+            last, now = now, now and now.drop("ch")
         opts.metrics.rounds.append(RoundMetrics(i, a["out"], a["cc"], a["in"], b["out"], b["in"], a["changes"], b["changes"]))
-        now, size = small.where("route = 'out'").drop("route", "ch"), b["out"]
+        size = b["out"]
         if not size or not a["changes"] and not b["changes"]:
             break
     else:
         raise NotConverged(f"filtered rounds: {opts.max_rounds}")
     opts.metrics.lap("rounds_s")
-    return union_edges(now, *settled)
+    tables = [t for t in (now, *settled) if t is not None]
+    return union_edges(*tables) if tables else edges.limit(0).select("u", "v")
 
 
 def pa_filtered(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
@@ -160,16 +178,16 @@ def pa_full(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
 
     Where the sketch is within the local threshold, no round runs at all.
     """
-    trees = scratch.table(local.sketch(drop_self_loops(edges)), "sketch")
-    size = trees.count()
+    trees = scratch.table(local.sketch(drop_self_loops(edges)), "sketch", counted=True)
+    size = trees._graphloom_rows
     p = opts.partitions_for(size)
     if size <= opts.local_threshold:
         opts.metrics.lap("init_s")
         return local.local_cc(trees, opts.local_threshold).toDF("node", "component")
-    now = scratch.table(stars.localize(trees, p), "localized")
+    now = scratch.table(stars.localize(trees, p), "localized", counted=True)
     scratch.drop(trees)
     opts.metrics.lap("init_s")
-    return local.cc_computation(_filtered_rounds(now, now.count(), p, opts, scratch), p)
+    return local.cc_computation(_filtered_rounds(now, now._graphloom_rows, p, opts, scratch), p)
 
 
 def union_find(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:

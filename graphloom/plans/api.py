@@ -34,6 +34,7 @@ def connected_components(
     opts = Options(num_partitions, local_threshold, partition_fn, max_rounds, metrics)
     scratch = Scratch(spark, "cc")
     labels = scratch.table(ALGORITHMS[algorithm](clean, opts, scratch), "labels")
+    scratch.keep(labels)
     metrics.lap("compute_s")
     return with_roots(labels, clean) if include_roots else labels
 

@@ -1,7 +1,8 @@
 """Shared scratch tables: cut lineage by writing Parquet into the folder of ``spark.checkpoint.dir``.
 
-A written table survives the loss of any executor, is compressed, and gives the planner real sizes, so that
-it broadcasts a small side and shuffles a large one by itself. Nothing is written to executor-local folders.
+A written table survives the loss of any executor and is compressed. The planner compares its *compressed* bytes with the
+broadcast threshold, so each table also knows its rows: :func:`side` asks for a shuffle where these are many. Nothing is
+written to executor-local folders.
 """
 
 from __future__ import annotations
@@ -9,17 +10,25 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+#: A narrow table of more rows is never broadcast.
+BROADCAST_ROWS = 50_000
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is made only where the session names none (tests)."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
+    """The cluster's shared folder. Only a session in one process may name none and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="graphloom-")
@@ -40,29 +49,59 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
+        self._paths: list[str] = []
         _OPEN.append(self)
 
-    def table(self, df: DataFrame, name: str = "t", codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Write ``df`` and read it back; column names must differ."""
+    def table(self, df: DataFrame, name: str = "t", codec: str = "zstd", partition_by: tuple[str, ...] = (), counted: bool = False) -> DataFrame:
+        """Write ``df`` and read it back; column names must differ. ``counted``: its rows are counted by the same job."""
         self._count += 1
         path = f"{self.root}/{self._count:03d}-{name}"
-        writer = df.write.mode("overwrite").option("compression", codec)
+        seen = Observation()
+        rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df
+        writer = rows.write.mode("overwrite").option("compression", codec)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.read(path, df.schema)
+        out._graphloom_rows = seen.get["n"] if counted else None
+        return out
+
+    def read(self, path: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         out._graphloom_path = path
+        self._paths.append(path)
         return out
 
+    def split(self, df: DataFrame, name: str, by: str, counts: Callable[[], dict[str, int]]) -> dict[str, DataFrame]:
+        """Write ``df`` apart by the values of ``by``; ``counts`` tells, once written, the rows of each: value -> table without ``by``."""
+        whole = self.table(df, name, partition_by=(by,))
+        schema = df.drop(by).schema
+        return {value: self.read(f"{whole._graphloom_path}/{by}={value}", schema) for value, n in counts().items() if n}
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table that no later step reads."""
         path = getattr(df, "_graphloom_path", None)
         if path:
             _delete(self.spark, path)
 
+    def keep(self, df: DataFrame) -> None:
+        """Delete all tables of this run but one."""
+        for path in self._paths:
+            if not f"{df._graphloom_path}/".startswith(f"{path}/"):
+                _delete(self.spark, path)
+        self._paths = [df._graphloom_path]
+
     def close(self) -> None:
         """Delete all tables of this run. Lazy results that read them must have been used."""
         _delete(self.spark, self.root)
 
 
+def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A counted table as the side of a join: merged, not broadcast, where it has more than ``most`` rows."""
+    rows = getattr(df, "_graphloom_rows", None)
+    if rows is None:
+        raise ValueError("the table was written without a count")
+    return df.hint("merge") if rows > most else df
+
+
 _OPEN: list[Scratch] = []
 
 

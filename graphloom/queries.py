@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.partitioner import PartitionFn, plain_node
+from graphloom import cli, steps
+from graphloom.functions.partitioner import TABULAR_PRIME, PartitionFn, plain_node, tabular_factor
 from graphloom.operators import edges as E
 from graphloom.operators import local, stars
 from graphloom.plans.api import component_sizes, connected_components
+from graphloom.plans.metrics import RunMetrics
 from graphloom.plans.scratch import Scratch
-from graphloom.sources.edges import edges_from, read_edges_text, read_labels_text, write_labels_text
+from graphloom.sources.edges import edges_from, read_edges_parquet, read_edges_text, read_labels_text, write_labels_parquet, write_labels_text, write_routed
 
 OFFSET = 1_000_000_000
 
@@ -24,6 +26,8 @@ GRAPHS = {
     "order_chain": "SELECT u, v FROM (SELECT o_orderkey u, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) v FROM orders) t WHERE v IS NOT NULL",
     "part_chain": "SELECT p_partkey u, p_partkey + 1 v FROM part",
     "part_block100": "SELECT p_partkey u, greatest(p_partkey - 1, p_partkey - p_partkey % 100) v FROM part",
+    "supply_web": f"SELECT l_orderkey u, {OFFSET} + l_partkey v FROM lineitem UNION ALL SELECT {OFFSET} + l_partkey, {2 * OFFSET} + l_suppkey FROM lineitem",
+    "wide_ids": f"SELECT {261 << 32} + 4097 * o_orderkey u, -{261 << 32} - 3 * o_custkey v FROM orders",
 }
 _LOOPS = f"{GRAPHS['part_supp_all']} UNION ALL SELECT s_suppkey u, s_suppkey v FROM supplier"
 P8 = PartitionFn(8, "mod")
@@ -79,6 +83,12 @@ _components("cc_single_giant", "part_supp_all")
 _components("cc_star_forest", "cust_order_star")
 _components("cc_chains", "order_chain")
 _components("cc_blocks", "part_chain")
+# The whole plan, rounds and all, over every shape.
+_components("cc_rounds_web", "supply_web", num_partitions=8, local_threshold=0)
+_components("cc_rounds_stars", "cust_order_star", num_partitions=8, local_threshold=0, include_roots=True)
+_components("cc_rounds_chains", "order_chain", num_partitions=4, local_threshold=0, partition_fn="tabular")
+_components("cc_rounds_path", "part_chain", num_partitions=8, local_threshold=0, partition_fn="mod")
+_components("cc_rounds_wide", "wide_ids", algorithm="pa_filtered", num_partitions=8, local_threshold=0, partition_fn="long_hash")
 
 
 def _one_round(name: str, source: str, sql: str, step: Callable[[DataFrame], DataFrame]) -> None:
@@ -166,6 +176,17 @@ _one_round(
     "nb AS (SELECT DISTINCT v g, u x FROM e), ag AS (SELECT g, min(x) mu FROM nb GROUP BY g), y AS (SELECT g, x FROM nb UNION ALL SELECT DISTINCT g, g FROM nb) SELECT x u, mu v, false hi, x <> y.g ch FROM y JOIN ag USING (g) WHERE x <> mu",
     lambda e: stars.hub_small_star(stars.to_hub_edges(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).select(F.col("u.id").alias("u"), F.col("v.id").alias("v"), "hi", "ch"),
 )
+_one_round(
+    "op_hub_copies",
+    "part_supp_all",
+    # A plain node is id * 100, its copy k id * 100 + 10 + k: they sort as the structs do.
+    f"{_NB}, h AS (SELECT g FROM nb GROUP BY g HAVING count(*) > 16), o AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b FROM e WHERE u <> v), "
+    "s AS (SELECT a * 100 a, b * 100 b, a * 100 + 10 + b % 8 k, h.g IS NOT NULL sp FROM o LEFT JOIN h ON h.g = o.a), "
+    "nh AS (SELECT a g, b x FROM s WHERE NOT sp UNION SELECT b, a FROM s WHERE NOT sp UNION SELECT a, k FROM s WHERE sp UNION SELECT k, b FROM s WHERE sp), "
+    "ag AS (SELECT g, least(g, min(x)) mu, count(*) d FROM nh GROUP BY g) "
+    "SELECT x u, CASE WHEN g // 100 = mu // 100 THEN g ELSE mu END v, g // 100 = mu // 100 AND d > 8 AND g % 100 = 0 hi, g // 100 <> mu // 100 ch FROM nh JOIN ag USING (g) WHERE x > g",
+    lambda e: _hub_copies(e),
+)
 _one_round("op_partition_min", "cust_order_star", f"{_NB}, {_MCU} SELECT g, q, m FROM mcu", lambda e: E.partition_minimum(E.neighbours(e), P8))
 _one_round("op_group_min", "cust_order_star", f"{_NB}, {_A} SELECT g, mu FROM a", lambda e: E.group_minimum(E.neighbours(e)))
 _one_round(
@@ -174,6 +195,21 @@ _one_round(
     "r AS (SELECT u, u % 8 p_mod, u % 8 p_long_hash FROM e) SELECT DISTINCT * FROM r",
     lambda e: e.select("u", P8(F.col("u")).alias("p_mod"), PartitionFn(8, "long_hash")(F.col("u")).alias("p_long_hash")).distinct(),
 )
+_TAB = " ".join(f"t{i} AS (SELECT *, ((((u >> {16 * i}) & 65535) + 1) * {tabular_factor(i)}) % {TABULAR_PRIME} y{i} FROM {f't{i - 1}' if i else 'e'})," for i in range(4))
+_one_round(
+    "op_tabular_partition",
+    "cust_order_star",
+    f"{_TAB} r AS (SELECT DISTINCT u, xor(xor((y0 * y0 + (u & 65535)) % {TABULAR_PRIME}, (y1 * y1 + ((u >> 16) & 65535)) % {TABULAR_PRIME}), "
+    f"xor((y2 * y2 + ((u >> 32) & 65535)) % {TABULAR_PRIME}, (y3 * y3 + ((u >> 48) & 65535)) % {TABULAR_PRIME})) % 8 p FROM t3) SELECT * FROM r",
+    lambda e: e.select("u", PartitionFn(8, "tabular")(F.col("u")).alias("p")).distinct(),
+)
+_one_round(
+    "op_long_hash",
+    "wide_ids",
+    "f AS (SELECT u, xor(u, u >> 32) & 4294967295 h FROM e WHERE u >= 0), "
+    "r AS (SELECT DISTINCT u, ((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 8 + 8) % 8 p FROM f) SELECT * FROM r",
+    lambda e: e.where("u >= 0").select("u", PartitionFn(8, "long_hash")(F.col("u")).alias("p")).distinct(),
+)
 _one_round("op_is_star", "order_part", f"{_LEAFY} SELECT g node, bool_and(leaf) star FROM nb GROUP BY g", lambda e: E.is_star(_flagged(e)))
 _one_round("op_is_leaf", "order_part", f"{_NB} SELECT g node, max(x) <= g leaf FROM nb GROUP BY g", E.is_leaf)
 _one_round("op_distinct_pairs", "part_supp_all", "r AS (SELECT DISTINCT u node, v component FROM e) SELECT * FROM r", lambda e: E.distinct_pairs(e.toDF("node", "component")))
@@ -188,6 +224,15 @@ def _hub_split(e: DataFrame) -> DataFrame:
     return rows.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "sp", F.when(F.col("sp"), F.col("k.ci")).otherwise(-1).alias("ci")).distinct()
 
 
+def _hub_copies(e: DataFrame) -> DataFrame:
+    """One large star over edges whose hubs are flagged, so that copies stand in; ends as numbers."""
+    hubs = E.hubs(e, 16).select(F.col("node").alias("h"))
+    flagged = e.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).join(hubs, F.col("a") == F.col("h"), "left")
+    rows = stars.hub_large_star(flagged.select(plain_node(F.col("a")).alias("u"), plain_node(F.col("b")).alias("v"), F.col("h").isNotNull().alias("hi")), 8)
+    number = lambda c: F.col(f"{c}.id") * 100 + F.col(f"{c}.cp") * 10 + F.col(f"{c}.ci")
+    return rows.select(number("u").alias("u"), number("v").alias("v"), "hi", "ch")
+
+
 @_add("op_cc_computation", _cc_sql(GRAPHS["part_block100"]))
 def _cc_computation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part, linked to the one before it in its block of 100 (the first to itself). Blocks are closed under ``id div 100``, so one local solve a partition is whole."""
@@ -226,7 +271,102 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_sizes(connected_components(graph(spark, sf_dir, GRAPHS["order_part"])))
 
 
-@_add("op_sketch", None)
+@_add("op_sketch", _cc_sql(GRAPHS["part_supp_all"]))
 def _sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forest depends on the input's splits; the tests hold its components against the whole graph's."""
-    return local.sketch(graph(spark, sf_dir, GRAPHS["part_supp_all"]))
+    """The components of the sketch, which must be the whole graph's; the forest itself depends on the input's splits."""
+    return connected_components(local.sketch(graph(spark, sf_dir, GRAPHS["part_supp_all"])), "alternating")
+
+
+def _edges_sql(source: str, names: str = "u, v") -> str:
+    u, v = names.split(", ")
+    return f"SELECT u::BIGINT {u}, v::BIGINT {v} FROM ({GRAPHS[source]}) s"
+
+
+def _text(e: DataFrame, path: str) -> str:
+    e.select(F.concat_ws(" ", "u", "v").alias("value")).write.text(path)
+    return path
+
+
+@_add("op_text_to_parquet", _edges_sql("order_chain"))
+def _text_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "text").root
+    steps.convert_text(spark, _text(graph(spark, sf_dir, GRAPHS["order_chain"]), f"{root}/edges"), f"{root}/converted")
+    return read_edges_parquet(spark, f"{root}/converted", glob="part*")
+
+
+@_add("op_text_many_paths", f"{_edges_sql('order_chain')} UNION ALL {_edges_sql('cust_order_star')}")
+def _text_many_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "text").root
+    return read_edges_text(spark, *(_text(graph(spark, sf_dir, GRAPHS[g]), f"{root}/{g}") for g in ("order_chain", "cust_order_star")), glob="part*")
+
+
+@_add("op_part_files", _edges_sql("order_chain"))
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder in which files of other names stand beside the ``part`` files."""
+    root = Scratch(spark, "text").root
+    edges = _text(graph(spark, sf_dir, GRAPHS["order_chain"]), f"{root}/edges")
+    other = _text(graph(spark, sf_dir, GRAPHS["cust_order_star"]).coalesce(1), f"{root}/other")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, found in enumerate(files.globStatus(path(f"{other}/part*"))):
+        files.rename(found.getPath(), path(f"{edges}/side-{i}"))
+    return read_edges_text(spark, edges, glob="part*")
+
+
+@_add("op_routed_folders", SQL["op_filter_large_routes"])
+def _routed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'routes').root}/routed"
+    write_routed(QUERIES["op_filter_large_routes"](spark, sf_dir), path)
+    return spark.read.parquet(path).select("u", "v", "leaf", "route", "ch")
+
+
+@_add("op_labels_parquet", _edges_sql("part_supp_all", "node, component"))
+def _labels_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'labels').root}/labels"
+    write_labels_parquet(graph(spark, sf_dir, GRAPHS["part_supp_all"]).toDF("node", "component"), path)
+    return spark.read.parquet(path)
+
+
+@_add("op_standalone_text", _cc_sql(GRAPHS["order_chain"], roots=True))
+def _standalone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text edges to text labels of every node, roots too, solved in one task."""
+    root = Scratch(spark, "text").root
+    steps.label_text(spark, _text(graph(spark, sf_dir, GRAPHS["order_chain"]), f"{root}/edges"), f"{root}/labels")
+    return read_labels_text(spark, f"{root}/labels")
+
+
+@_add("op_command_line", _cc_sql(GRAPHS["cust_order_star"]))
+def _command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of the command line, text to text."""
+    root = Scratch(spark, "text").root
+    cli.main([_text(graph(spark, sf_dir, GRAPHS["cust_order_star"]), f"{root}/edges"), f"{root}/labels", "-a", "pa_full", "-p", "4", "-t", "0", "--partition-fn", "tabular", "-q"], spark)
+    return read_labels_text(spark, f"{root}/labels")
+
+
+_ROUND = f"""WITH e AS MATERIALIZED (SELECT u::BIGINT u, v::BIGINT v FROM ({GRAPHS["order_part"]}) s WHERE u <> v), {_NB}, {_MCU}, {_A},
+ large AS MATERIALIZED (SELECT x u, {_T} v, ({_T}) <> nb.g ch FROM nb JOIN a ON a.g = nb.g JOIN mcu ON mcu.g = nb.g AND mcu.q = nb.x % 8 WHERE x > nb.g),
+ nb2 AS MATERIALIZED (SELECT u g, v x FROM large UNION SELECT v, u FROM large), a2 AS (SELECT g, least(g, min(x)) mu, max(x) <= g low FROM nb2 GROUP BY g),
+ m2 AS (SELECT g, q, min(x) m FROM (SELECT g, x, x % 8 q FROM nb2 UNION ALL SELECT DISTINCT g, g, g % 8 FROM nb2) GROUP BY g, q),
+ small AS (SELECT 'out' route, true ch FROM nb2 JOIN a2 USING (g) WHERE x < g AND x <> mu
+   UNION ALL SELECT CASE WHEN m <> a2.g AND low THEN 'in' ELSE 'out' END, false FROM a2 JOIN m2 ON m2.g = a2.g AND m2.q = a2.g % 8 WHERE a2.g <> mu)
+SELECT 0::BIGINT round, (SELECT count(*) FROM large) lout, 0::BIGINT lcc, 0::BIGINT lin, (SELECT count(*) FROM small WHERE route = 'out') sout, (SELECT count(*) FROM small WHERE route = 'in') sin,
+ (SELECT count(*) FROM large WHERE ch) lchange, (SELECT count(*) FROM small WHERE ch) schange"""
+
+
+@_add("op_round_metrics", _ROUND)
+def _round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the first round of the filtered plan."""
+    metrics = RunMetrics("", 0, 0)
+    connected_components(graph(spark, sf_dir, GRAPHS["order_part"]), "pa_filtered", 8, 0, partition_fn="mod", metrics=metrics)
+    return metrics.rounds_df(spark).where("round = 0")
+
+
+@_add("op_run_metrics", "SELECT 'alternating' app, 'customers and orders' input, 0::BIGINT threshold, 4::BIGINT partitions, 1::BIGINT rounds, count(*)::BIGINT kept, true timed FROM orders")
+def _run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run over finished stars, which ends after one round."""
+    metrics = RunMetrics("", 0, 0, input="customers and orders")
+    connected_components(graph(spark, sf_dir, GRAPHS["cust_order_star"]), "alternating", 4, 0, metrics=metrics)
+    app, source, threshold, partitions, rounds, *seconds = metrics.row().split("\t")
+    timed = abs(sum(map(float, seconds[:3])) - float(seconds[3])) < 0.01
+    row = (app, source, int(threshold), int(partitions), int(rounds), metrics.rounds[-1].sout, timed)
+    return spark.createDataFrame([row], "app string, input string, threshold long, partitions long, rounds long, kept long, timed boolean")

@@ -24,9 +24,10 @@ def read_edges_text(spark: SparkSession, *paths: str, mode: str = "FAILFAST", gl
     return ids.select(*(F.when(F.col("u").isNull() | F.col("v").isNull(), bad).otherwise(F.col(c)).alias(c) for c in ("u", "v")))
 
 
-def read_edges_parquet(spark: SparkSession, *paths: str, u: str = "u", v: str = "v") -> DataFrame:
-    """Edge columns of Parquet tables; other columns are not read."""
-    return edges_from(spark.read.parquet(*paths), F.col(u), F.col(v))
+def read_edges_parquet(spark: SparkSession, *paths: str, u: str = "u", v: str = "v", glob: str | None = None) -> DataFrame:
+    """Edge columns of Parquet tables; other columns are not read. ``glob``: only files of such names."""
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    return edges_from(reader.parquet(*paths), F.col(u), F.col(v))
 
 
 def edges_from(df: DataFrame, u: Column | str, v: Column | str) -> DataFrame:

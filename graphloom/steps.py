@@ -1,7 +1,9 @@
 """``python -m graphloom.steps STEP INPUT OUTPUT``: one step of a plan by itself, Parquet to Parquet.
 
 Steps read edges ``(u, v)`` (routed steps also ``leaf``), write their rows, and print the rows read and written and the
-changes. ``init`` reads a text edge list, ``union-find`` reads text and writes text labels with the roots.
+changes. ``init`` reads a text edge list, ``union-find`` reads text and writes text labels with the roots, ``local-cc``
+solves Parquet edges in one task. The ``hub-`` steps work on the edges that ``hub-init`` makes of plain ones; ``hub-labels``
+makes labels of converged ones.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.partitioner import PartitionFn
+from graphloom.functions.partitioner import KINDS, PartitionFn
 from graphloom.operators import local, stars
+from graphloom.plans.algorithms import MAX_LOCAL_THRESHOLD
 from graphloom.plans.api import with_roots
 from graphloom.sources.edges import read_edges_text, write_labels_text, write_routed
 
@@ -33,6 +36,11 @@ STEPS: dict[str, Callable[[DataFrame, PartitionFn], DataFrame]] = {
     "localize": stars.localize,
     "sketch-localize": lambda e, p: stars.localize(local.sketch(e), p),
     "cc-computation": lambda e, p: local.cc_computation(e, p),
+    "local-cc": lambda e, p: local.local_cc(e.where("u <> v"), MAX_LOCAL_THRESHOLD).toDF("node", "component"),
+    "hub-init": lambda e, p: stars.to_hub_edges(e),
+    "hub-large-star": lambda e, p: stars.hub_large_star(e, p.parts),
+    "hub-small-star": lambda e, p: stars.hub_small_star(e),
+    "hub-labels": lambda e, p: stars.hub_labels(e),
 }
 
 
@@ -42,7 +50,7 @@ def convert_text(spark: SparkSession, source: str, target: str, mode: str = "DRO
     return spark.read.parquet(target).count()
 
 
-def label_text(spark: SparkSession, source: str, target: str, limit: int = 20_000_000) -> int:
+def label_text(spark: SparkSession, source: str, target: str, limit: int = MAX_LOCAL_THRESHOLD) -> int:
     """Text edges to text labels of all nodes, solved in one task; returns the number of nodes."""
     edges = read_edges_text(spark, source)
     labels = with_roots(local.local_cc(edges.where("u <> v"), limit).toDF("node", "component"), edges)
@@ -65,6 +73,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args.add_argument("input")
     args.add_argument("output")
     args.add_argument("-p", "--num-partitions", type=int, default=1)
+    args.add_argument("--partition-fn", choices=KINDS, default="hash")
     got = args.parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"graphloom {got.step}").getOrCreate()
     if got.step == "init":
@@ -72,7 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif got.step == "union-find":
         print("output", label_text(spark, got.input, got.output))
     else:
-        print(*(f"{k} {v}" for k, v in run_step(spark, got.step, got.input, got.output, PartitionFn(got.num_partitions)).items()))
+        print(*(f"{k} {v}" for k, v in run_step(spark, got.step, got.input, got.output, PartitionFn(got.num_partitions, got.partition_fn)).items()))
 
 
 if __name__ == "__main__":

@@ -1,5 +1,6 @@
 """All algorithms against a plain union-find, over partitions and thresholds."""
 
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 from graphloom import RunMetrics, component_sizes, connected_components
 from graphloom.functions.partitioner import PartitionFn
-from graphloom.operators import local
+from graphloom.operators import local, stars
 from graphloom.plans.algorithms import ALGORITHMS, NotConverged, Options
 from graphloom.streaming.incremental import maintain, merge_labels
 
@@ -68,14 +69,80 @@ def test_algorithms_agree(spark, algorithm):
     assert labels(connected_components(frame(spark, edges), algorithm, num_partitions=3, local_threshold=0)) == non_roots(edges)
 
 
-@pytest.mark.parametrize("parts,threshold,kind", [(1, 0, "hash"), (16, 10_000, "mod"), (4, 20, "long_hash"), (4, 0, "tabular")])
-def test_partitions_and_thresholds(spark, parts, threshold, kind):
+KINDS = ("hash", "mod", "long_hash", "tabular")
+
+
+@pytest.mark.parametrize("algorithm", ["pa_full", "pa_filtered", "pa_base", "alternating_hub"])
+@pytest.mark.parametrize("parts", [1, 2, 4, 8, 16])
+def test_partitions_and_thresholds(spark, algorithm, parts):
     edges = GRAPHS["random"] + GRAPHS["zigzag"]
-    for algorithm in ("pa_full", "pa_base"):
-        got = connected_components(frame(spark, edges), algorithm, parts, threshold, partition_fn=kind)
+    # The hub form has no threshold.
+    for i, threshold in enumerate((0, 100, 10_000) if algorithm != "alternating_hub" else (0,)):
+        got = connected_components(frame(spark, edges), algorithm, parts, threshold, partition_fn=KINDS[(parts.bit_length() + i) % 4])
         assert labels(got) == non_roots(edges)
 
 
+def tree_like(n):
+    """Several thousand nodes in components of all sizes, both directions, loops and repeats."""
+    rng = random.Random(11)
+    edges = [(a, b) for _ in range(3 * n) for a in [rng.randrange(n)] for b in [rng.randrange(max(0, a - 9), a + 1)] if a % 17]
+    return [*edges, *((b, a) for a, b in edges), *((n + i, n + i) for i in range(12))]
+
+
+def test_larger_graph(spark):
+    edges = tree_like(5000)
+    for algorithm in ("pa_full", "alternating"):
+        assert labels(connected_components(frame(spark, edges).repartition(4), algorithm, 4, 0)) == non_roots(edges)
+
+
+#: (algorithm, graph) -> rounds and edges that stars emit into the loop, by a plain model of the operators with p = id mod 4.
+VOLUMES = {
+    ("alternating", "several"): (3, 42),
+    ("pa_base", "several"): (3, 42),
+    ("pa_filtered", "several"): (3, 20),
+    ("alternating", "line"): (5, 90),
+    ("pa_base", "line"): (4, 72),
+    ("pa_filtered", "line"): (3, 34),
+    ("pa_filtered", "path"): (10, 15_003),
+}
+
+
+@pytest.mark.parametrize("algorithm,name", VOLUMES)
+def test_rounds_and_volumes(spark, algorithm, name):
+    edges = {"several": GRAPHS["several"], "line": [(i, i + 1) for i in range(9)], "path": [(i, i + 1) for i in range(1000)]}[name]
+    metrics = RunMetrics("", 0, 0)
+    connected_components(frame(spark, edges), algorithm, 4, 0, partition_fn="mod", metrics=metrics)
+    assert (len(metrics.rounds), sum(r.lout + r.sout for r in metrics.rounds)) == VOLUMES[algorithm, name]
+
+
+def exchanges(df):
+    """Of the plan that ran, without the reused ones."""
+    ran = df._jdf.queryExecution()
+    ran.toRdd().count()
+    plan = ran.executedPlan().toString().split("Initial Plan")[0]
+    return plan.count(" Exchange ") - plan.count("ReusedExchange")
+
+
+def test_stars_need_three_exchanges(spark, tmp_path):
+    """With broadcasts off, as between large sides."""
+    frame(spark, tree_like(400)).selectExpr("greatest(u, v) AS u", "least(u, v) AS v", "u % 3 = 0 AS leaf").where("u <> v").write.parquet(str(tmp_path / "e"))
+    edges, p = spark.read.parquet(str(tmp_path / "e")), PartitionFn(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = [stars.large_star(edges), stars.small_star(edges), stars.pa_large_star(edges, p), stars.pa_small_star(edges, p), stars.pa_large_star_routed(edges, p), stars.pa_small_star_routed(edges, p)]
+        assert [exchanges(df) for df in made] == [3] * 6
+        assert exchanges(stars.localize(edges, p)) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_labels_stay_on_disk(spark):
+    edges = GRAPHS["random"] + GRAPHS["star"]
+    got = connected_components(frame(spark, edges), "pa_filtered", 3, 0)
+    root = os.path.dirname(got._graphloom_path.removeprefix("file://"))
+    assert os.listdir(root) == [os.path.basename(got._graphloom_path)] and labels(got) == non_roots(edges)
+
+
 def test_long_chain_needs_no_recursion():
     n = 100_000
     nodes, roots = local.components(np.arange(n), np.arange(1, n + 1))

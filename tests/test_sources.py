@@ -5,6 +5,7 @@ import pytest
 from graphloom import steps
 from graphloom.cli import main
 from graphloom.functions.partitioner import PartitionFn
+from graphloom.plans.algorithms import NotConverged
 from graphloom.sources.edges import read_edges_parquet, read_edges_text, read_labels_text, write_labels_parquet, write_labels_text, write_routed
 
 
@@ -16,6 +17,9 @@ def test_layouts(spark, tmp_path):
     (tmp_path / "part-0").write_bytes(b"0 1\n2\t3\r\n  4   5 six\n\x0c7 \t 8\n")
     (tmp_path / "other").write_text("not an edge\n")
     assert rows(read_edges_text(spark, str(tmp_path), glob="part*")) == [(0, 1), (2, 3), (4, 5), (7, 8)]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "part-1").write_text("9 9\n")
+    assert rows(read_edges_text(spark, str(tmp_path / "part-0"), str(tmp_path / "more"))) == [(0, 1), (2, 3), (4, 5), (7, 8), (9, 9)]
 
 
 def test_malformed(spark, tmp_path):
@@ -36,13 +40,21 @@ def test_label_files(spark, tmp_path):
     assert rows(read_edges_parquet(spark, str(tmp_path / "p"), u="node", v="component")) == rows(labels)
     write_routed(spark.createDataFrame([(1, 2, False, "in")], "u long, v long, leaf boolean, route string"), str(tmp_path / "r"))
     assert (tmp_path / "r" / "route=in").is_dir()
+    assert rows(spark.read.parquet(str(tmp_path / "r"))) == [(1, 2, False, "in")]
 
 
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "e").write_text("0 1\n1 2\n2 3\n3 4\n4 5\n5 6\n7 8\n8 9\n9 10\n0 2\n1 3\n7 9\n8 10\n")
     main([str(tmp_path / "e"), str(tmp_path / "out"), "-a", "pa_full", "-p", "2", "-t", "1000", "-v"], spark)
     assert rows(read_labels_text(spark, str(tmp_path / "out"))) == [*((i, 0) for i in range(1, 7)), (8, 7), (9, 7), (10, 7)]
-    assert capsys.readouterr().out.startswith("pa_full\t")
+    said = capsys.readouterr().out
+    assert said.startswith("pa_full\t")
+    main([str(tmp_path / "e"), str(tmp_path / "out"), "-a", "pa_base", "-p", "3", "-t", "0", "--partition-fn", "tabular", "--include-roots", "-v"], spark)
+    assert rows(read_labels_text(spark, str(tmp_path / "out"))) == [*((i, 0) for i in range(7)), *((i, 7) for i in range(7, 11))]
+    said = capsys.readouterr().out
+    assert said.startswith("RoundMetrics(round=0, lout=") and said.splitlines()[-1].startswith("pa_base\t")
+    with pytest.raises(NotConverged):
+        main([str(tmp_path / "e"), str(tmp_path / "out"), "-a", "alternating", "--max-rounds", "1", "-q"], spark)
 
 
 def test_partition_functions(spark):
@@ -68,6 +80,14 @@ def test_steps_by_themselves(spark, tmp_path, capsys):
     assert capsys.readouterr().out.startswith("input 4 output 4 changes 0\n")
     steps.main(["large-star", str(tmp_path / "edges"), str(tmp_path / "l")], spark)
     steps.main(["small-star", str(tmp_path / "l"), str(tmp_path / "s")], spark)
+    steps.main(["hub-init", str(tmp_path / "edges"), str(tmp_path / "h0")], spark)
+    for i in range(4):
+        steps.main(["hub-large-star", str(tmp_path / f"h{2 * i}"), str(tmp_path / f"h{2 * i + 1}"), "-p", "2"], spark)
+        steps.main(["hub-small-star", str(tmp_path / f"h{2 * i + 1}"), str(tmp_path / f"h{2 * i + 2}")], spark)
+    steps.main(["hub-labels", str(tmp_path / "h8"), str(tmp_path / "hl")], spark)
+    steps.main(["local-cc", str(tmp_path / "edges"), str(tmp_path / "ll")], spark)
+    want = [(1, 0), (2, 0), (3, 0), (6, 5)]
+    assert rows(spark.read.parquet(str(tmp_path / "hl"))) == rows(spark.read.parquet(str(tmp_path / "ll"))) == want
     (tmp_path / "g").write_text("0 1\n1 2\n2 3\n5 6\n8 8\n")
     steps.main(["union-find", str(tmp_path / "g"), str(tmp_path / "labels")], spark)
     assert rows(read_labels_text(spark, str(tmp_path / "labels"))) == [(0, 0), (1, 0), (2, 0), (3, 0), (5, 5), (6, 5), (8, 8)]
