@@ -2,7 +2,7 @@
 
 1. One pass over the texts: distinct word shingles, ``PERMUTATIONS`` minima. Of the minima, ``rows`` at a time make the
    band keys, and the low ``BITS`` bits of each make the packed signature. No text is shuffled.
-2. Documents of one shingle set are one class, stood for by the least id. Only classes go on.
+2. Documents of one shingle set are one class, a node of its own with a number of its own. Only classes go on.
 3. Classes that share a band key are candidates. In each bucket one member is the pivot and the others are compared
    with it; members already known to be of one component are not compared again. After ``PIVOT_ROUNDS`` such rounds
    the pairs still in different components are compared too, but for those that an exact prefix filter on their
@@ -13,11 +13,14 @@
    a link at the limit is under 3e-7); all others are confirmed by the intersection of their full sets.
 5. Components of the links, by the graph engine.
 
+A bucket or group may hold a third of all rows, so what is joined on its key is counted or picked first, written, and only
+then joined: a small table is broadcast, and between two tables adaptive execution splits the hot key.
+
 The band shape keeps the chance to miss a pair at the limit under ``MISS``. Sets hold 64-bit hashes of shingles.
 
 Defined results: null and empty texts, and texts of blanks, have no shingles and link with nothing; a text of fewer
-words than a shingle is one shingle. Rows that repeat a doc_id are placed each by its own text; where one doc_id stands for
-several classes, these count as one node. Rows with a null doc_id are their own, ``component_id`` null and kept. Empty tables give
+words than a shingle is one shingle. Rows that repeat a doc_id are placed each by its own text; the texts of one doc_id are
+linked only if they are near. Rows with a null doc_id are their own, ``component_id`` null and kept. Empty tables give
 empty results. Other columns are ignored.
 """
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.text_arrays import BLANKS, byte_values, chunks, mix, shingles, utf8, word_hashes
 from graphloom.plans.api import connected_components
-from graphloom.plans.scratch import Scratch
+from graphloom.plans.scratch import Scratch, side
 
 PERMUTATIONS = 192
 BITS = 2
@@ -107,18 +110,18 @@ def signer(size: int, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatc
                 return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, table.shape[1], dtype=np.int32)), pa.array(flat))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts), pa.array(digests, pa.binary()), lists(keys), lists(np.concatenate(planes, axis=1))],
-                names=["doc_id", "n_shingles", "digest", "bands", "bits"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(counts), pa.array(digests, pa.binary()), lists(keys), lists(np.concatenate(planes, axis=1))],
+                names=["doc_id", "text_key", "n_shingles", "digest", "bands", "bits"],
             )
 
     return run
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+_SIGNED = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 
 def sets_of(size: int, passing: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(id, shingles)`` of the rows whose filter position passes."""
+    """``(first, text_key, shingles)`` of the rows whose filter position passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +130,7 @@ def sets_of(size: int, passing: Callable[[np.ndarray], np.ndarray]) -> Callable[
                 part = batch.slice(i, 512)
                 sets = [s.view(np.int64) for _, s in _row_sets(part, size)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["first", "text_key", "shingles"])
 
     return run
 
@@ -152,22 +155,24 @@ def estimate_floor(similarity: float) -> float:
     return similarity - SIGMAS * math.sqrt(equal * (1 - equal) / PERMUTATIONS) / (1 - chance)
 
 
+_EMPTY_LABELS = "node long, component long"
+
+
 class _Finder:
-    """The candidate rounds over classes of one corpus."""
+    """The candidate rounds over classes of one corpus. ``classes``: ``id, first, text_key, n_shingles, bits, bands``."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch):
-        self.docs, self.classes, self.size, self.percent, self.scratch = docs, classes, size, percent, scratch
-        self.sizes = classes.select("id", "n_shingles", "bits")
-        self.sets: DataFrame | None = None
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch, repeated: bool):
+        self.docs, self.classes, self.size, self.percent, self.scratch, self.repeated = docs, classes, size, percent, scratch, repeated
+        self.sizes = classes.select("id", "first", "text_key", "n_shingles", "bits")
         self.links: list[DataFrame] = []
 
     def full_sets(self, members: DataFrame) -> DataFrame:
-        """Full sets of (at least) the given ids, in one pass over the texts; a bitmap of bounded size leaves out the rest."""
+        """``(first, text_key, shingles)`` of (at least) the given texts, in one pass over all; a bitmap of bounded size leaves out the rest."""
         spark = self.docs.sparkSession
         count = members.count()
         bits = min(MAX_FILTER, max(1 << 20, 1 << (count * FILTER_BITS).bit_length()))
-        position = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("bigint"))
-        places = members.select(position("id").alias("p")).groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("map"))
+        position = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits).cast("bigint"))
+        places = members.select(position("first", "text_key").alias("p")).groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("map"))
         flags = np.zeros(bits // 8 + 8192, np.uint8)
         for row in places.toLocalIterator():
             flags[(row["n"] - 1) * 4096 : row["n"] * 4096] = np.frombuffer(row["map"], np.uint8)
@@ -177,9 +182,9 @@ class _Finder:
             # Position p is bit (p mod 32768) of bucket p div 32768 + 1, each bucket 4096 bytes.
             return (shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
 
-        texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", position("doc_id").alias("position"))
-        # A doc_id with several texts has several sets: all of them count.
-        return texts.mapInArrow(sets_of(self.size, passing), "id long, shingles array<long>")
+        texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text", position("doc_id", "text_key").alias("position"))
+        sets = texts.mapInArrow(sets_of(self.size, passing), "first long, text_key long, shingles array<long>")
+        return sets.dropDuplicates(["first", "text_key"]) if self.repeated else sets
 
     def may_link(self, na: str, nb: str, sa: str, sb: str) -> Column:
         """Sizes and signatures allow the pair to be a link."""
@@ -187,24 +192,24 @@ class _Finder:
         return sizes & (estimate(F.col(sa), F.col(sb)) >= estimate_floor(self.percent / 100))
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the distinct ``pairs(a, b)`` that are links."""
-        left = self.sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("sa"))
-        right = self.sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("sb"))
+        """Those of the distinct ``pairs(a, b)`` that may be links, with the keys of their texts."""
+        left = self.sizes.toDF("a", "fa", "ka", "na", "sa")
+        right = self.sizes.toDF("b", "fb", "kb", "nb", "sb")
         near = pairs.join(left, "a").join(right, "b")
-        near = near.where(self.may_link("na", "nb", "sa", "sb")).select("a", "b", "na", "nb")
-        return self.scratch.table(near, f"{name}-near")
+        near = near.where(self.may_link("na", "nb", "sa", "sb")).select("a", "b", "fa", "ka", "fb", "kb")
+        return self.scratch.table(near, f"{name}-near", counted=True)
 
     def linked(self, near: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
-        """Confirm ``near(a, b)`` on full sets -> links ``(u, v)``."""
+        """Confirm ``near`` on full sets -> links ``(u, v)``."""
         made = sets is None
         if made:
-            members = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            members = near.select(F.inline(F.array(*(F.struct(F.col(f"f{x}").alias("first"), F.col(f"k{x}").alias("text_key")) for x in "ab")))).distinct()
             sets = self.scratch.table(self.full_sets(members), f"{name}-sets")
-        right = near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("tb")), "b")
-        both = right.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("ta")), "a")
+        right = near.join(sets.toDF("fb", "kb", "tb"), ["fb", "kb"])
+        both = right.join(sets.toDF("fa", "ka", "ta"), ["fa", "ka"])
         shared = F.size(F.array_intersect("ta", "tb")).cast("bigint")
         union = F.size("ta") + F.size("tb") - shared
-        links = self.scratch.table(both.where(100 * shared >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links")
+        links = self.scratch.table(both.where(100 * shared >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links", counted=True)
         if made:
             self.scratch.drop(sets)
         return links
@@ -212,7 +217,12 @@ class _Finder:
     def pivots(self, open_: DataFrame, step: int) -> DataFrame:
         """``(key, x, cx)``: one member of each bucket, the same in buckets of mostly the same members."""
         least = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(step)))
-        return open_.groupBy("key").agg(least.alias("p")).select("key", F.col("p.id").alias("x"), F.col("p.component").alias("cx"))
+        picked = open_.groupBy("key").agg(least.alias("p")).select("key", F.col("p.id").alias("x"), F.col("p.component").alias("cx"))
+        return side(self.scratch.table(picked, f"pivots-{step}", counted=True))
+
+    def only(self, rows: DataFrame, key: str, picked: DataFrame, name: str) -> DataFrame:
+        """``rows`` whose ``key`` is among the ``picked`` ones, which come out of ``rows`` by an aggregate of their own."""
+        return rows.join(side(self.scratch.table(picked.select(key), name, counted=True)), key)
 
     def rest(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``(pairs, sets)``: all pairs of one bucket and two components that can still be links, by an exact filter.
@@ -231,19 +241,21 @@ class _Finder:
         around = open_.join(self.pivots(open_, PIVOT_ROUNDS - 1), "key").where("id <> x").select("x", "cx", "id", "component").distinct()
         around = scratch.table(around, "around")
         # Pairs with the pivot itself are settled: only pivots around which several components stand go on.
-        several = around.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("x")
-        around = scratch.table(around.join(several, "x"), "around-several")
-        members = around.select(F.explode(F.array("x", "id")).alias("id")).distinct()
+        several = around.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        around = scratch.table(self.only(around, "x", several, "several"), "around-several")
+        keys = self.sizes.select("id", "first", "text_key")
+        members = around.select(F.explode(F.array("x", "id")).alias("id")).distinct().join(keys, "id").select("first", "text_key")
         sets = scratch.table(self.full_sets(members), "rest-sets")
-        own = around.join(sets.withColumn("n", F.size("shingles").cast("bigint")), "id")
-        both = own.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("xs")), "x")
+        named = around.join(keys, "id").join(keys.toDF("x", "fx", "kx"), "x")
+        own = named.join(sets.withColumn("n", F.size("shingles").cast("bigint")), ["first", "text_key"])
+        both = own.join(sets.toDF("fx", "kx", "xs"), ["fx", "kx"])
         apart = F.concat(F.array_except("shingles", "xs"), F.array_except("xs", "shingles"))
         diffs = both.select("x", "id", "component", (F.col("cx") != F.col("component")).alias("far"), "n", F.size("xs").alias("nx"), apart.alias("apart"))
         diffs = diffs.withColumn("d", F.size("apart").cast("bigint"))
         rows = scratch.table(diffs.select("x", "id", "component", "far", "n", "nx", "d", F.explode("apart").alias("e")), "differences")
-        shared = rows.groupBy("x", "e").agg(F.count("*").alias("df")).where("df > 1")
+        shared = scratch.table(rows.groupBy("x", "e").agg(F.count("*").alias("df")).where("df > 1"), "shared", counted=True)
         by_member = Window.partitionBy("x", "id")
-        ranked = rows.join(shared, ["x", "e"])
+        ranked = rows.join(side(shared), ["x", "e"])
         # Elements of one member only come first and meet nothing: they count, but are not sent.
         place = F.col("d") - F.count("*").over(by_member) + F.row_number().over(by_member.orderBy("df", "e"))
         ranked = ranked.withColumn("place", place)
@@ -266,9 +278,9 @@ class _Finder:
     def run(self) -> DataFrame:
         """Labels ``(node, component)`` of classes that are linked to another."""
         keyed = self.classes.select("id", F.explode("bands").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        open_ = self.scratch.table(keyed.join(shared, "key").select("key", "id", F.col("id").alias("component")), "buckets")
-        labels = self.docs.sparkSession.createDataFrame([], "node long, component long")
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        open_ = self.scratch.table(self.only(keyed, "key", shared, "keys").select("key", "id", F.col("id").alias("component")), "buckets")
+        labels = self.docs.sparkSession.createDataFrame([], _EMPTY_LABELS)
         for step in range(PIVOT_ROUNDS + 1):
             sets = None
             if step < PIVOT_ROUNDS:
@@ -277,57 +289,74 @@ class _Finder:
                 pairs, sets = self.rest(open_)
             pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
             near = self.confirm(self.scratch.table(pairs, f"pairs-{step}"), f"{step}")
-            if near.limit(1).count():
+            if near._graphloom_rows:
                 links = self.linked(near, f"{step}", sets)
-                if links.limit(1).count():
+                if links._graphloom_rows:
                     self.links.append(links)
                     labels = self.join_links()
                     known = labels.withColumnsRenamed({"node": "id", "component": "c"})
                     open_ = open_.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("c", "id").alias("component"))
             if step < PIVOT_ROUNDS:
-                split = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-                open_ = self.scratch.table(open_.join(split, "key"), f"open-{step}")
-                if not open_.limit(1).count():
+                open_ = self.scratch.table(open_, f"labelled-{step}") if self.links else open_
+                split = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+                open_ = self.scratch.table(self.only(open_, "key", split, f"split-{step}"), f"open-{step}", counted=True)
+                if not open_._graphloom_rows:
                     break
         return labels
 
 
+def _placed(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """A row a document: ``doc_id, text_key, n_shingles, component_id, rep_key``; the component's document of least id has the text ``rep_key``."""
+    scratch = Scratch(docs.sparkSession, "near")
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("text_key"))
+    rows, bands = band_shape(percent / 100)
+    # The number of a row stands in the written table: it is the same for all later readers.
+    signed = scratch.table(docs.mapInArrow(signer(shingle_words, rows, bands), _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
+    real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    firsts = real.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "text_key")).alias("f"))
+    firsts = scratch.table(firsts.select("digest", F.col("f.doc_id").alias("first"), F.col("f.row").alias("node"), F.col("f.text_key").alias("first_key")), "firsts")
+    classes = real.join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
+    classes = scratch.table(classes.select(F.col("row").alias("id"), F.col("doc_id").alias("first"), "text_key", "n_shingles", "bits", "bands"), "classes")
+    repeated = bool(real.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    labels = _Finder(docs, classes, shingle_words, percent, scratch, repeated).run()
+    roots = labels.select(F.col("component").alias("node"), "component").distinct()
+    tops = labels.select("node", "component").unionByName(roots).join(firsts, "node").groupBy("component").agg(F.min(F.struct("first", "first_key")).alias("top"))
+    tops = scratch.table(tops.select(F.col("component").alias("c"), F.col("top.first").alias("top"), F.col("top.first_key").alias("top_key")), "tops", counted=True)
+    of = firsts.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).join(side(tops), "c", "left")
+    of = of.select("digest", F.coalesce("top", "first").alias("component_id"), F.coalesce("top_key", "first_key").alias("rep_key"))
+    placed = signed.select("doc_id", "text_key", "n_shingles", "digest").join(of, "digest", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return placed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "rep_key")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_shingles, component_id, kept``, one row a document.
 
     Linked: 100 * intersection >= percent * union over the distinct shingles. ``component_id``: least doc_id reachable.
     """
-    scratch = Scratch(docs.sparkSession, "near")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, bands = band_shape(percent / 100)
-    signed = scratch.table(docs.mapInArrow(signer(shingle_words, rows, bands), _SIGNED), "signed")
-    real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    firsts = real.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    firsts = scratch.table(firsts, "firsts")
-    classes = real.join(firsts.select("digest", F.col("first").alias("doc_id")), ["doc_id", "digest"], "left_semi").withColumnRenamed("doc_id", "id")
-    classes = scratch.table(classes.select("id", "digest", "n_shingles", "bits", "bands"), "classes")
-    labels = _Finder(docs, classes, shingle_words, percent, scratch).run()
-    slim = signed.select("doc_id", "n_shingles", "digest")
-    by_class = firsts.join(labels.withColumnsRenamed({"node": "first", "component": "c"}), "first", "left").select("digest", F.coalesce("c", "first").alias("component_id"))
-    placed = slim.join(by_class, "digest", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    placed = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    placed = _placed(docs, shingle_words, percent).select("doc_id", "n_shingles", "component_id")
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns: one document of each component, and one row of a repeated doc_id.
+    """The rows of ``docs``, all columns: of each component the document of the least doc_id, once.
 
-    Rows with a null doc_id all stay. The dropped ids are written, so that the planner knows their size and shuffles
-    texts only if they are too many to broadcast.
+    Rows with a null doc_id all stay. Of rows that repeat a doc_id and its text one stays, whichever; a doc_id that stands
+    on texts of several components stays with each of them that it is the least of. Texts without a shingle link with
+    nothing.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    found = near_duplicates(docs, shingle_words, percent)
-    dropped = scratch.table(found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("_id")).where("_id IS NOT NULL")
-    repeated = scratch.table(ids.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "repeated")
-    same = F.col("doc_id").cast("bigint") == F.col("_id")
-    kept = docs.join(dropped, same, "left_anti")
-    if not repeated.limit(1).count():
+    placed = _placed(docs, shingle_words, percent).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_shingles", "component_id", "rep_key")
+    stays = (F.col("n_shingles") == 0) | ((F.col("_id") == F.col("component_id")) & (F.col("_key") == F.col("rep_key")))
+    decided = placed.groupBy("_id", "_key").agg(F.count("*").alias("n"), F.bool_and(stays).alias("stays"))
+    decided = scratch.table(decided.where("NOT stays OR n > 1"), "decided", counted=True)
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = (F.col("doc_id").cast("bigint") == F.col("_id")) & (key == F.col("_key"))
+    dropped = scratch.table(decided.where("NOT stays").select("_id", "_key"), "dropped", counted=True)
+    kept = docs.join(side(dropped), same, "left_anti")
+    repeated = scratch.table(decided.where("stays").select("_id", "_key"), "repeated", counted=True)
+    if not repeated._graphloom_rows:
         return kept
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    twice = kept.join(side(repeated), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept.join(side(repeated), same, "left_anti").unionByName(twice)

@@ -72,6 +72,30 @@ def test_keep_one(spark, make_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([4, None, 7], key=str)
 
 
+def test_one_id_on_several_texts(spark, make_docs, prose):
+    """Each text is placed by itself: a clean text does not go because another of its id is a copy."""
+    a, b, c = (prose(60, s) for s in (1, 2, 3))
+    near = a.replace(a.split()[30], "changed", 1)
+    docs = make_docs([(1, a), (7, near), (7, b), (7, b), (8, c), (8, c + " x"), (9, ""), (9, None), (None, a), (None, a)])
+    got = sorted(((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs, 2, 80).collect()), key=str)
+    assert got == sorted([(1, 1), (7, 1), (7, 7), (7, 7), (8, 8), (8, 8), (9, 9), (9, 9), (None, None), (None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in near_dup.keep_one(docs, 2, 80).collect()), key=str)
+    texts = [(d, t) for d, t in kept if d != 9 and d != 8]
+    assert texts == sorted([(1, a), (7, b), (None, a), (None, a)], key=str)
+    assert [d for d, _ in kept].count(8) == 1 and [d for d, _ in kept].count(9) == 1
+
+
+def test_hot_group_of_copies(spark, make_docs, prose):
+    """A third of all rows is one repeated row, another part one group of near copies."""
+    rng = random.Random(9)
+    base = prose(80, 4)
+    rows = [(5, base)] * 150 + [(100 + i, edited(base, 0.01, rng)) for i in range(100)] + [(1000 + i, prose(70, 50 + i)) for i in range(100)]
+    docs = make_docs(rows)
+    found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 2, 80).collect()}
+    assert found == {i: c for i, _, c, _ in brute(list(dict(rows).items()), 2)}
+    assert sorted(r.doc_id for r in near_dup.keep_one(docs, 2, 80).collect()) == sorted(i for i, c in found.items() if i == c)
+
+
 def test_estimate_follows_similarity(spark):
     a, b = near_dup._permutations()
     rng = np.random.default_rng(0)
