@@ -94,9 +94,9 @@ class Scratch:
         _delete(self.spark, self.root)
 
 
-def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def side(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """A counted table as the side of a join: merged, not broadcast, where it has more than ``most`` rows."""
-    rows = getattr(df, "_graphloom_rows", None)
+    rows = getattr(df, "_graphloom_rows", None) if rows is None else rows
     if rows is None:
         raise ValueError("the table was written without a count")
     return df.hint("merge") if rows > most else df
