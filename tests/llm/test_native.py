@@ -92,6 +92,26 @@ def test_urls(spark):
         url_reputation.rule_of(F.lit("h"), F.lit("p"), [Rule("a/", "block")] * (url_reputation.MAX_RULES + 1))
 
 
+def test_sites(spark):
+    hosts = ["10.0.0.1", "192.168.0.1:80", "example.com:8080", "example.com.", "me:pw@a.example.com", "[::1]:90", "x.co.uk", "a.b.co.uk:1", "localhost", "", "1.2.3"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("site", url_reputation.site_of(F.col("host")))
+    got = [tuple(r) for r in df.select(url_reputation.domain_of(F.col("site")), url_reputation.suffix_of(F.col("site"))).collect()]
+    assert got == [("10.0.0.1",) * 2, ("192.168.0.1",) * 2, ("example.com", "com"), ("example.com", "com"), ("example.com", "com"), ("[::1]",) * 2, ("x.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("localhost",) * 2, ("", ""), ("2.3", "3")]
+    assert df.select(url_reputation.suffix_of(F.lit("a.b.zz"), ("b.zz",))).first()[0] == "b.zz"
+
+
+def test_few_labels(spark):
+    """One bad label blocks nothing but what rules say; repeated pages and labels; null outcomes; addresses apart; no pages."""
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (2, "http://b.org/"), (3, None), (4, "http://9.9.9.1/"), (5, "http://8.8.9.1/"), (None, "http://a.net/")], "page_id long, url string")
+    outcome = lambda rows: spark.createDataFrame(rows, "page_id long, bad int")
+    got = url_reputation.judge(pages, outcome([(1, 1), (1, 0), (2, None), (None, 1)]), queries.RULES).collect()
+    assert len(got) == 7 and all(r.verdict == "allow" for r in got if r.host != "a.net") and all(0 < r.posterior < 1 for r in got)
+    many = pages.unionByName(spark.createDataFrame([(100 + i, "http://9.9.9.1/") for i in range(60)], "page_id long, url string"))
+    got = {r.page_id: r.verdict for r in url_reputation.judge(many, outcome([(100 + i, 1) for i in range(60)] + [(5, 0), (2, 0)]), []).collect()}
+    assert got[4] == "block" and got[5] == "allow"
+    assert url_reputation.judge(pages.limit(0), outcome([]), queries.RULES).count() == 0
+
+
 def test_reputation_shrinks_towards_domain(spark):
     rows = [("bad.a.com", 400, 395), ("new.a.com", 0, 0), ("one.a.com", 1, 1), ("good.b.com", 400, 2), ("one.b.com", 1, 1), ("x.c.co.uk", 50, 5), ("y.c.co.uk", 50, 4)]
     got = {r.host: r for r in url_reputation.reputation(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
