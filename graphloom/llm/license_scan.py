@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.license_texts import KNOWN, SPELLINGS, WHOLE_DIGESTS
-from graphloom.plans.scratch import Scratch
+from graphloom.plans.scratch import Scratch, side
 
 #: Known digests are broadcast; a larger collection is joined by shuffle.
 MAX_BROADCAST_LICENSES = 20_000
@@ -63,17 +63,18 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, canonical_sha256, license, n_notices, notices``.
 
     ``license``: of the entire text, or null. ``n_notices``: lines that are a known text; ``notices``: their distinct
-    names in order, comma-joined.
+    names in order, comma-joined. Each row is answered by its own lines, also where ids repeat.
+
+    One pass over the texts leaves a digest and the few lines that speak of a licence; all else reads that table.
     """
-    read = docs.select("doc_id", "text")
-    whole = read.select("doc_id", digest(F.col("text")).alias("canonical_sha256"))
-    lines = F.filter(F.split(F.lower("text"), "\\n", -1), lambda line: line.rlike(_NOTICE))
-    speaking = read.where(F.lower("text").rlike(_NOTICE)).select("doc_id", digest(F.col("text")).alias("canonical_sha256"), lines.alias("lines")).distinct()
-    found = speaking.select("doc_id", "canonical_sha256", F.explode("lines").alias("line"))
-    found = found.select("doc_id", "canonical_sha256", digest(F.col("line")).alias("digest")).join(known, "digest")
+    scratch = Scratch(docs.sparkSession, "license")
+    lowered = F.lower("text")
+    lines = F.filter(F.split(lowered, "\\n", -1), lambda line: line.rlike(_NOTICE))
+    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("canonical_sha256"), F.when(lowered.rlike(_NOTICE), lines).alias("lines"))
+    read = scratch.table(read, "read")
+    found = read.where("lines IS NOT NULL").select("row", F.explode("lines").alias("line"))
+    found = found.select("row", digest(F.col("line")).alias("digest")).join(known, "digest")
     names = F.array_join(F.sort_array(F.collect_set("license")), ",")
-    hits = found.groupBy(F.col("doc_id").alias("d"), F.col("canonical_sha256").alias("c")).agg(F.count("*").alias("n_notices"), names.alias("notices"))
-    hits = Scratch(docs.sparkSession, "license").table(hits, "notices")
-    out = whole.join(known.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
-    out = out.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("canonical_sha256") == F.col("c")), "left")
+    hits = scratch.table(found.groupBy("row").agg(F.count("*").alias("n_notices"), names.alias("notices")), "notices", counted=True)
+    out = read.drop("lines").join(known.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left").join(side(hits), "row", "left")
     return out.select("doc_id", "canonical_sha256", "license", F.coalesce("n_notices", F.lit(0).cast("bigint")).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))

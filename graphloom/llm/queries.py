@@ -90,7 +90,9 @@ def _url_sql() -> str:
         return f"CASE {' '.join(out)} ELSE {otherwise} END"
 
     two = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
-    last = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+    last = lambda n: f"array_to_string(string_split(site, '.')[-{n}:], '.')"
+    own = f"regexp_matches(site, '{url_reputation.IPV4}') OR starts_with(site, '[')"
+    prior_bad, prior_good = url_reputation.PRIOR
 
     def strength(name: str, table: str) -> str:
         return f"""{name} AS (SELECT 1 / greatest(0.001, least(0.5, coalesce(CASE WHEN coalesce(nn, 0) = 0 OR k < 2 OR m * (1 - m) = 0 THEN NULL
@@ -101,11 +103,13 @@ def _url_sql() -> str:
 WITH seen AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path FROM pages),
  worst AS (SELECT doc_id, max(1 - quality)::BIGINT bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
- hs AS (SELECT host, count(bad) n, coalesce(sum(bad), 0)::BIGINT bad, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END suffix,
-   CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END dom FROM seen LEFT JOIN worst ON page_id = doc_id GROUP BY host),
+ hn AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') site, count(bad) n, coalesce(sum(bad), 0)::BIGINT bad
+   FROM seen LEFT JOIN worst ON page_id = doc_id GROUP BY host),
+ hs AS (SELECT host, n, bad, CASE WHEN {own} THEN site WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END suffix,
+   CASE WHEN {own} THEN site WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END dom FROM hn),
  ds AS (SELECT dom, suffix, sum(n)::BIGINT n, sum(bad)::BIGINT bad FROM hs GROUP BY ALL),
  ss AS (SELECT suffix, sum(n)::BIGINT n, sum(bad)::BIGINT bad FROM hs GROUP BY ALL),
- gs AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad)::BIGINT::DOUBLE / sum(n)::BIGINT ELSE 0.0 END rate FROM hs),
+ gs AS (SELECT (coalesce(sum(bad), 0)::BIGINT + {prior_bad}::DOUBLE) / (coalesce(sum(n), 0)::BIGINT + {prior_bad + prior_good}::DOUBLE) rate FROM hs),
  {strength("ks", "ss")}, {strength("kd", "ds")}, {strength("kh", "hs")},
  ps AS (SELECT suffix, (ks.v * rate + bad) / (ks.v + n) p FROM ss, gs, ks),
  pd AS (SELECT dom, (kd.v * p + bad) / (kd.v + n) p FROM ds JOIN ps USING (suffix), kd),
@@ -131,13 +135,12 @@ def _license_sql() -> str:
     rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in LICENSES.items() for text in texts)
     return f"""
 WITH known AS (SELECT sha256({canonical("body")}) dg, min(name) lic FROM (VALUES {rows}) t(name, body) GROUP BY 1),
- docs AS (SELECT doc_id, sha256({canonical("text")}) canonical_sha256, text FROM documents),
- ln AS (SELECT doc_id, canonical_sha256, unnest(string_split(lower(text), chr(10))) ln FROM (SELECT DISTINCT * FROM docs)),
- hits AS (SELECT doc_id, canonical_sha256, count(*) n, array_to_string(list_sort(list(DISTINCT lic)), ',') names FROM ln JOIN known ON dg = sha256({canonical("ln")})
-   WHERE regexp_matches(ln, 'licen[cs]e|licensing') GROUP BY ALL)
+ docs AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, sha256({canonical("text")}) canonical_sha256, text FROM documents),
+ ln AS (SELECT r, unnest(string_split(lower(text), chr(10))) ln FROM docs),
+ hits AS (SELECT r, count(*) n, array_to_string(list_sort(list(DISTINCT lic)), ',') names FROM ln JOIN known ON dg = sha256({canonical("ln")})
+   WHERE regexp_matches(ln, 'licen[cs]e|licensing') GROUP BY r)
 SELECT docs.doc_id, docs.canonical_sha256, lic license, coalesce(n, 0) n_notices, coalesce(names, '') notices
-FROM docs LEFT JOIN known ON dg = docs.canonical_sha256 LEFT JOIN hits ON hits.doc_id IS NOT DISTINCT FROM docs.doc_id AND hits.canonical_sha256 = docs.canonical_sha256"""
-
+FROM docs LEFT JOIN known ON dg = docs.canonical_sha256 LEFT JOIN hits USING (r)"""
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +186,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("page_id AS doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interleaved sequence of every page, with the document of its id as a figure."""
+    rows = media.illustrated_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+    return rows.select("page_id", "position", "kind", "text", "reference", "caption", "n_bytes", "payload_sha256")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -199,5 +208,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan, media_pages)}
 SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql()}
