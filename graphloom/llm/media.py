@@ -10,8 +10,9 @@ that are written to the shared folder and read back before anything is computed
 bytes 0 to a positive multiple of 64; the unpadded length stands in the image's comment line.
 
 Defined results: null HTML is an empty sequence; null payloads are empty. Media references that the store lacks stay, with null
-payload columns. Equal media are one store entry however often they are stored or referenced. Text in scripts and
-styles is no text. Empty tables give empty results. Other columns are ignored.
+payload columns. Equal media are one store entry however often they are stored or referenced. Text in scripts,
+styles and templates is no text; one that is left open ends with its parent. A reference is the element's source, else the
+first of its sizes. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,9 +33,21 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 
 ROW = 64
-_SOURCES = {"img": "src", "video": "src", "audio": "src", "source": "src", "embed": "src", "object": "data"}
+_SOURCES = {"img": ("src", "data-src", "srcset", "data-srcset"), "video": ("src", "data-src"), "audio": ("src", "data-src"), "source": ("src", "data-src", "srcset", "data-srcset"), "embed": ("src",), "object": ("data",)}
 _BLOCKS = {"p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "nav", "header", "footer", "br", "figure", "figcaption", "title", "blockquote", "pre", "body", "main"}
 _SILENT = {"script", "style", "template", "noscript"}
+_EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+
+
+def reference_of(tag: str, attrs: dict[str, str | None]) -> str | None:
+    """The first reference among the element's attributes; of a list of sizes the first."""
+    for name in _SOURCES[tag]:
+        value = (attrs.get(name) or "").strip()
+        if value and name.endswith("srcset"):
+            value = value.split()[0].rstrip(",")
+        if value:
+            return value
+    return None
 
 
 class SequenceParser(HTMLParser):
@@ -43,7 +57,9 @@ class SequenceParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self._text: list[str] = []
-        self._silent = 0
+        self._open: list[str] = []  # elements that are open
+        self._counts: Counter[str] = Counter()
+        self._silent: list[int] = []  # depths of the silent ones among them
         self._figures: list[int] = []  # index of the first item of each open figure
         self._captions: list[list[tuple[int, str]]] = []  # place and text of the captions of each
         self._place = 0
@@ -59,7 +75,12 @@ class SequenceParser(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SILENT:
-            self._silent += 1
+            self._silent.append(len(self._open))
+        if tag not in _EMPTY:
+            self._open.append(tag)
+            self._counts[tag] += 1
+        if self._silent:
+            return
         if tag in _BLOCKS and self._caption is None:
             self._flush()
         if tag == "figure":
@@ -71,13 +92,23 @@ class SequenceParser(HTMLParser):
             self._caption, self._place = [], len(self.items)
         elif tag in _SOURCES:
             named = dict(attrs)
-            if named.get(_SOURCES[tag]):
+            if reference := reference_of(tag, named):
                 self._flush()
-                self.items.append(["media", None, named[_SOURCES[tag]], named.get("alt") or None])
+                self.items.append(["media", None, reference, named.get("alt") or None])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SILENT and self._silent:
-            self._silent -= 1
+        hidden = bool(self._silent)
+        if self._counts[tag]:
+            # Ends what was left open inside, silent elements too: an open template ends with its parent.
+            while True:
+                ended = self._open.pop()
+                self._counts[ended] -= 1
+                if ended == tag:
+                    break
+            while self._silent and self._silent[-1] >= len(self._open):
+                self._silent.pop()
+        if hidden and (self._silent or tag in _SILENT):
+            return
         if tag == "figcaption":
             self._end_caption()
         elif tag == "figure" and self._figures:
@@ -241,3 +272,19 @@ def payload_sequences(docs: DataFrame) -> DataFrame:
     html = F.format_string(payload_page("%1$s", "%2$s"), label, F.col("reference"))
     items = sequences(stored.select(F.col("id").alias("page_id"), html.alias("html"))).where("kind = 'media'")
     return resolve(items, scratch.table(read_back(stored), "features"))
+
+
+def illustrated_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pages(page_id, html)`` with the stored text of the document of the page's id as a captioned figure at the article's end.
+
+    -> ``page_id, position, kind, text, reference, caption`` and the features of resolved payloads: the whole sequence of
+    every page, texts and media in order. Pages without such a document have texts only.
+    """
+    scratch = Scratch(pages.sparkSession, "media")
+    payload = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    stored = store_payloads(docs.select(F.col("doc_id").cast("bigint").alias("id"), payload.alias("payload")), scratch)
+    shown = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).join(stored.select(F.col("id").alias("page_id"), F.col("reference").alias("shown")), "page_id", "left")
+    figure = F.concat(F.lit('<figure><img src="'), "shown", F.lit('" alt="payload"><figcaption>Payload of document '), F.col("page_id").cast("string"), F.lit("</figcaption></figure>"))
+    head = F.substring_index("html", "</article>", 1)
+    html = F.when(F.col("shown").isNull(), F.col("html")).otherwise(F.concat(head, figure, F.expr("substring(html, length(substring_index(html, '</article>', 1)) + 1)")))
+    return resolve(sequences(shown.select("page_id", html.alias("html"))), scratch.table(read_back(stored), "features"))
