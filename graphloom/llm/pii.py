@@ -1,18 +1,26 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Base kinds are e-mail, IP and card numbers and phones. They are the seeds: the words to the left and right of a seed are
-lexical patterns. Words that look like identifiers (a digit or @ inside) and are no seed are candidate instances of
-the patterns around them. Spark scores the graph of patterns and instances in rounds: a pattern by the mean score of
-what stands in it (seeds 1, other identifiers by the round before, all other words and ``damping`` more 0), an instance
-by 1 - product(1 - pattern) over patterns of at least ``min_pattern``, with ``min_support`` distinct seeds or found
-instances of their own. So "login:" can be a pattern, while "of", which mostly has other words beside it, cannot. Instances of at least ``min_score`` are found identifiers, kind ``id``, wherever they stand.
+lexical patterns. Strings in the shape of a secret (32 hexadecimal digits or more) count nearly as seeds, but are found only
+where a pattern confirms them. Candidate instances of the patterns around them are runs of words with a digit or @ that
+are no seed, the first word of each, and whatever word follows a label such as "login:" or "key=". Spark scores the graph of patterns and
+instances in rounds: a pattern by the mean score of what stands in it (seeds 1, others by the round before, all other words
+and ``damping`` more 0), an instance by 1 - product(1 - pattern) over patterns of at least ``min_pattern``, with
+``min_support`` distinct seeds or found instances of their own. So "login:" can be a pattern, while "of", which mostly has
+other words beside it, cannot. Instances that patterns give at least ``min_score`` are found identifiers, kind ``id``, wherever
+they stand; those of letters only, or shorter than ``SURE`` characters, only behind a good pattern.
+
+A pattern is the whole word beside, in lower case; a word without letters and digits takes the one before it along, up to
+``REACH`` words ("token ="). Long words and instances are told apart by digest, never cut. All work on a text is linear in
+its length.
 
 Only occurrences with their contexts are shuffled, never texts. All sums are pre-aggregated; a pattern such as
 "the" may own a third of the graph.
 
 Defined results: a null text is an empty one; it has no spans. Base spans are found by kind, leftmost and not
 overlapping; kinds may overlap each other. Found identifiers that overlap a base span are none. Repeated rows are each
-answered; distinct instances count once. Empty tables give empty results. Other columns are ignored.
+answered; distinct instances count once. Scores at a limit count as reaching it. Empty tables give empty results. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.text_arrays import chunks, utf8
-from graphloom.plans.scratch import Scratch
+from graphloom.plans.scratch import Scratch, side
 
 #: The kinds in their order; found identifiers come last.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -41,8 +49,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"\S+")
-_KEYED = re.compile(r"([A-Za-z_]+[=:])(\S+)")
+_LABEL = re.compile(r"[a-z_]+[=:]")
+_SECRET = re.compile(r"[0-9a-f]{32,}")
+_ALNUM = re.compile(r"[^\W_]")
+_LIKE = re.compile(r"[0-9@]")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#%&$"
+_ENDS = tuple(".,;:!?)|")
+#: Characters of a word or instance that are kept as they are; longer ones become a digest.
+KEPT = 64
+#: Words of one pattern, at most; shortest instance that is found wherever it stands; what the shape of a secret counts.
+REACH, SURE, SHAPE = 3, 4, 0.8
 
 
 @dataclass(frozen=True)
@@ -51,7 +67,7 @@ class Bootstrap:
     damping: int = 2
     min_pattern: float = 0.5
     min_support: int = 3
-    min_score: float = 0.6
+    min_score: float = 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -98,51 +114,99 @@ def as_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, str, str, bool, int, int]]:
-    """``(start, end, instance, left, right, seed, left_n, right_n)`` of seeds and of identifier-like words outside of them.
+def whole(text: str) -> str:
+    """``text`` in lower case, or the start and digest of a long one: equal for equal texts, whatever their length."""
+    text = text.lower()
+    if len(text) <= KEPT:
+        return text
+    return f"{text[:24]}#{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
-    ``left_n, right_n``: how often the context stands in the text, whatever is beside it.
+
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, str, str, bool, float, bool, int, int]]:
+    """``(start, end, instance, left, right, seed, prior, sure, left_n, right_n)`` of seeds and of candidates outside of them.
+
+    ``left_n, right_n``: how often the context stands in the text, whatever is beside it. ``sure``: may be found by its
+    instance alone.
     """
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    lowered = text.lower()
-    often = Counter(text[s:e].lower()[:40] for s, e in words)
-    starts = np.array([w[0] for w in words])
-    near = lambda i: text[slice(*words[i])].lower()[:40] if 0 <= i < len(words) else ""
-    covered = np.zeros(len(words), bool)
-    for start, _, end in spans:
-        first, last = int(np.searchsorted(starts, start, "right")) - 1, int(np.searchsorted(starts, end, "left"))
-        covered[first:last] = True
-        head = text[words[first][0] : start].lower()[-40:]
-        left, right = head or near(first - 1), near(last)
-        yield start, end, text[start:end].lower(), left, right, True, max(1, lowered.count(head) if head else often[left]), max(1, often[right])
-    for i, (start, end) in enumerate(words):
-        word = text[start:end]
-        if covered[i] or not any(c in "0123456789@" for c in word):
+    places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    names = [whole(text[s:e]) for s, e in places]
+    labels = [m[0] if (m := _LABEL.match(name)) else "" for name in names]
+    before = [""]  # the context to the left of each word, and of the end
+    for i in range(1, len(names) + 1):
+        if _ALNUM.search(names[i - 1]):
+            before.append(names[i - 1])
+            continue
+        first = i - 1
+        while first > 0 and i - first < REACH and not _ALNUM.search(names[first]):
+            first -= 1
+        before.append(whole(" ".join(names[max(first, 0) : i])))
+    left_often, often, label_often = Counter(before), Counter(names), Counter(labels)
+
+    def left_n(context: str) -> int:
+        return max(1, label_often[context] if context in label_often else left_often[context])
+
+    covered = [False] * len(names)
+    first, done = 0, 0
+    heads: list[tuple] = []
+    for start, _, end in spans:  # in order, so that words are passed once; kinds may overlap
+        while first < len(places) and places[first][1] <= start:
+            first += 1
+        last = first
+        while last < len(places) and places[last][0] < end:
+            covered[last] = True
+            last += 1
+        head = whole(text[max(places[first][0], min(done, start)) : start].lstrip(_EDGE))
+        done = max(done, end)
+        heads.append((start, end, head, before[first], names[last] if last < len(names) else ""))
+    head_often = Counter(h for _, _, h, _, _ in heads)
+    for start, end, head, left, right in heads:
+        n = max(head_often[head], label_often.get(head, 0)) if head else left_n(left)
+        yield start, end, whole(text[start:end]), head or left, right, True, 1.0, True, max(1, n), max(1, often[right])
+
+    i = 0
+    while i < len(places):
+        at, (start, end) = i, places[i]
+        i += 1
+        if covered[at]:
             continue
-        left, right, keyed = near(i - 1), near(i + 1), _KEYED.match(word)
-        left_n = often[left]
-        if keyed:
-            left, start, word = keyed[1].lower()[-40:], start + keyed.start(2), keyed[2]
-            left_n = lowered.count(left)
-        start += len(word) - len(word.lstrip(_EDGE))
-        word = word.strip(_EDGE)
-        if 4 <= len(word) <= 200 and any(c in "0123456789@" for c in word):
-            yield start, start + len(word), word.lower(), left, right, False, max(1, left_n), max(1, often[right])
+        left, label = before[at], labels[at]
+        if label and end - start > len(label):
+            left, start = label, start + len(label)
+        elif not (_LIKE.search(names[at]) or left.endswith((":", "="))):
+            continue
+        elif _LIKE.search(names[at]):
+            while i < len(places) and not covered[i] and not labels[i] and _LIKE.search(names[i]) and not text[places[i - 1][0] : places[i - 1][1]].endswith(_ENDS) and "\n" not in text[places[i - 1][1] : places[i][0]]:
+                i += 1
+            end = places[i - 1][1]
+        right = names[i] if i < len(names) else ""
+        ends = {end, places[at][1]}  # of a run also its first word alone
+        for end in sorted(ends):
+            word = text[start:end]
+            first = start + len(word) - len(word.lstrip(_EDGE))
+            word = word.strip(_EDGE)
+            if not _ALNUM.search(word):
+                continue
+            name, last = whole(word), right if end == max(ends) else names[at + 1]
+            sure = len(word) >= SURE and bool(_LIKE.search(word))
+            yield first, first + len(word), name, left, last, False, SHAPE if _SECRET.fullmatch(word.lower()) else 0.0, sure, left_n(left), max(1, often[last])
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])
-_SEEN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.bool_()), ("left_n", pa.int64()), ("right_n", pa.int64())])
-_READ = "row long, doc_id long, text_key long, base_sha256 string, base array<struct<start:int,rank:int,end:int>>, seen array<struct<start:int,end:int,instance:string,left:string,right:string,seed:boolean,left_n:bigint,right_n:bigint>>"
+_COLUMNS = ("start", "end", "instance", "left", "right", "seed", "prior", "sure", "left_n", "right_n")
+_SEEN = pa.struct(list(zip(_COLUMNS, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)))
+_SEEN_SQL = "start:int,end:int,instance:string,left:string,right:string,seed:boolean,prior:double,sure:boolean,left_n:bigint,right_n:bigint"
+_READ = f"row long, doc_id long, text_key long, base_sha256 string, base array<struct<start:int,rank:int,end:int>>, seen array<struct<{_SEEN_SQL}>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in batches:
         data, bounds = utf8(batch.column("text"))
+        # Texts without a digit, an @ and the end of a label have neither spans nor candidates.
         digits, signs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for first, end in chunks(bounds):
             part, at = data[bounds[first] : bounds[end]], bounds[first : end + 1] - bounds[first]
-            for out, flags in ((digits, (part >= 48) & (part <= 57)), (signs, part == 64)):
+            for out, flags in ((digits, (part >= 48) & (part <= 57)), (signs, (part == 64) | (part == 58) | (part == 61))):
                 out[first:end] = np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
         hashes, base, seen = [nothing] * batch.num_rows, [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
         texts = batch.column("text")
@@ -152,32 +216,37 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 hashes[i] = hashlib.sha256(as_text(spans).encode()).hexdigest()
                 base[i] = [{"start": s, "rank": k, "end": e} for s, k, e in spans]
-            seen[i] = [dict(zip(("start", "end", "instance", "left", "right", "seed", "left_n", "right_n"), x, strict=True)) for x in contexts(text, spans)]
+            seen[i] = [dict(zip(_COLUMNS, x, strict=True)) for x in contexts(text, spans)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id"), batch.column("text_key"), pa.array(hashes, pa.string()), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))],
             names=["row", "doc_id", "text_key", "base_sha256", "base", "seen"],
         )
 
 
-def found_instances(seen: DataFrame, how: Bootstrap, scratch: Scratch) -> DataFrame:
-    """``seen(row, instance, left, right, seed, left_n, right_n)`` -> ``(instance, score)`` of the identifiers found."""
+def found_instances(seen: DataFrame, how: Bootstrap, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``seen(row, instance, left, right, seed, prior, left_n, right_n)`` -> ``(instance, score)`` of the identifiers found, ``(pattern, confidence)`` of good patterns."""
     sides = F.array(F.struct(F.concat(F.lit("l "), "left").alias("pattern"), F.col("left_n").alias("n")), F.struct(F.concat(F.lit("r "), "right").alias("pattern"), F.col("right_n").alias("n")))
-    sided = seen.select("row", "instance", "seed", F.inline(sides)).where("length(pattern) > 2")
-    totals = scratch.table(sided.groupBy("row", "pattern").agg(F.max("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("total")), "totals")
-    edges = scratch.table(sided.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "edges")
-    # Patterns without a seed can only gain by instances found through others; those without any candidate gain nothing.
-    scores = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
-    scores = scratch.table(scores.select("instance", "seed", F.col("seed").cast("double").alias("score")), "scores")
+    sided = seen.select("row", "instance", "seed", "prior", F.inline(sides)).where("length(pattern) > 2")
+    totals = sided.groupBy("row", "pattern").agg(F.max("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("total"))
+    totals = scratch.table(totals, "totals", counted=True)
+    edges = scratch.table(sided.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("prior").alias("prior"), F.count("*").alias("times")), "edges")
+    scores = edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("prior").alias("prior"))
+    scores = scratch.table(scores.select("instance", "seed", "prior", F.col("prior").alias("score"), F.lit(0.0).alias("gained")), "scores", counted=True)
+    good = None
     for i in range(how.rounds):
         strong = (F.col("score") >= how.min_score).cast("bigint")
-        by_pattern = edges.select("pattern", "instance", "times").join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("found"), F.sum("times").alias("times"), F.sum(strong).alias("support"))
-        by_pattern = by_pattern.join(totals, "pattern").withColumn("confidence", F.col("found") / (F.greatest("total", "times") + how.damping))
-        good = by_pattern.where((F.col("confidence") >= how.min_pattern) & (F.col("support") >= how.min_support)).select("pattern", "confidence")
-        good = scratch.table(good, f"patterns-{i}")
-        gained = edges.join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("gained"))
-        fresh = scores.join(gained, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("gained", F.lit(0.0))).alias("score"))
-        scores = scratch.table(fresh, f"scores-{i}")
-    return scores.where((~F.col("seed")) & (F.col("score") >= how.min_score)).select("instance", "score")
+        by_pattern = edges.select("pattern", "instance", "times").join(side(scores.select("instance", "score"), rows=scores._graphloom_rows), "instance")
+        by_pattern = by_pattern.groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("found"), F.sum("times").alias("times"), F.sum(strong).alias("support"))
+        # Most patterns have too little support: they need no total.
+        by_pattern = by_pattern.where(F.col("support") >= how.min_support).join(side(totals), "pattern").withColumn("confidence", F.col("found") / (F.greatest("total", "times") + how.damping))
+        good = scratch.table(by_pattern.where(F.col("confidence") >= how.min_pattern).select("pattern", "confidence"), f"patterns-{i}", counted=True)
+        gained = edges.join(side(good), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("gained"))
+        gained = scratch.table(gained, f"gained-{i}", counted=True)
+        fresh = scores.select("instance", "seed", "prior").join(side(gained), "instance", "left").withColumn("gained", F.coalesce("gained", F.lit(0.0)))
+        fresh = fresh.select("instance", "seed", "prior", F.when(F.col("seed"), 1.0).otherwise(F.greatest("prior", "gained")).alias("score"), "gained")
+        scores = scratch.table(fresh, f"scores-{i}", counted=True)
+    found = scores.where((~F.col("seed")) & (F.col("gained") >= how.min_score)).select("instance", F.col("gained").alias("score"))
+    return scratch.table(found, "found", counted=True), good
 
 
 def spans_text(spans: Column) -> Column:
@@ -197,33 +266,47 @@ def find(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     read = scratch.table(texts.mapInArrow(_read, _READ), "read")
     seen = read.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    found = scratch.table(found_instances(seen, how, scratch), "found")
+    found, good = found_instances(seen, how, scratch)
+    hits = seen.where("NOT seed").join(side(found), "instance").select("row", "sure", "start", "end", F.concat(F.lit("l "), "left").alias("pattern"))
+    hits = scratch.table(hits, "hits")
+    unsure = hits.where("NOT sure").join(side(good), "pattern").select("row", "start", "end")
+    # Of a run and its first word the run.
+    extra = hits.where("sure").select("row", "start", "end").unionByName(unsure).groupBy("row", "start").agg(F.max("end").alias("end"))
     span = F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), "end")
-    extra = seen.where("NOT seed").join(found, "instance").groupBy("row").agg(F.collect_list(span).alias("extra"))
-    extra = scratch.table(extra, "extra")
-    out = read.select("row", "doc_id", "text_key", "base_sha256", "base").join(extra, "row", "left")
+    extra = extra.groupBy("row").agg(F.collect_list(span).alias("extra"))
+    extra = scratch.table(extra, "extra", counted=True)
+    out = read.select("row", "doc_id", "text_key", "base_sha256", "base").join(side(extra), "row", "left")
     out = out.withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce("extra", F.filter("base", lambda s: F.lit(False))))))
     count = lambda rank: F.size(F.filter("all_spans", lambda s: s["rank"] == rank)).cast("bigint")
     return out.select("doc_id", *(count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)), "base_sha256", spans_text(F.col("all_spans")).alias("spans"), "all_spans", "text_key")
 
 
-def redacted(text: Column, spans: Column) -> Column:
+def redacted(text: str, spans: list[dict]) -> str:
     """``text`` with every span replaced by its kind in brackets; overlapping spans become the first one's."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        upto = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["rank"]))
-        return F.when(s["start"] >= acc["at"], F.struct(upto.alias("done"), s["end"].alias("at"))).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at")))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out, at = [], 0
+    for span in spans:
+        if span["start"] >= at:
+            out += (text[at : span["start"]], f"[{KINDS[span['rank']].upper()}]")
+        at = max(at, span["end"])
+    return "".join([*out, text[at:]])
 
 
 def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """All rows and columns of ``docs``, texts without what :func:`find` finds. Null texts stay null."""
-    found = find(docs, how).where(F.size("all_spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("all_spans").alias("_spans"))
-    # Written, so that the planner knows its size: texts are shuffled only if it is too large to broadcast.
-    found = Scratch(docs.sparkSession, "pii").table(found.dropDuplicates(["_id", "_key"]), "redactions")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_key"))
-    text = F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return docs.join(found, same, "left").withColumn("text", text).drop("_id", "_key", "_spans")
+    found = find(docs, how).where(F.size("all_spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("all_spans").alias("_pii_spans"))
+    # Counted, so that texts are shuffled only if the spans are too many to broadcast.
+    found = Scratch(docs.sparkSession, "pii").table(found.dropDuplicates(["_pii_id", "_pii_key"]), "redactions", counted=True)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_pii_key"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, columns = batch.column(batch.num_columns - 1), batch.columns[:-1]
+            if spans.null_count < len(spans):
+                texts = columns[at].to_pylist()
+                for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    texts[i] = texts[i] and redacted(texts[i], spans[i].as_py())
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return docs.join(side(found), same, "left").select(*docs.columns, "_pii_spans").mapInArrow(run, docs.schema)
