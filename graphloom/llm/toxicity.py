@@ -5,13 +5,16 @@ Terms of a text: its distinct words (letters, digits and all non-ASCII bytes; A-
 two terms together, such as an insult and a group's name, can weigh more than each alone.
 
 It learns from a bounded sample of labelled documents (about ``train_rows``, by hash of the id). Spark extracts and
-counts the sample's terms; the driver gets the counts of the buckets and, of each row, the few terms that take part. Terms take part if their share among positives differs from that
-among negatives with a chi-square of at least ``min_chi2``; in long texts other terms would add up to noise. The broadcast
-model has a fixed size.
+counts the sample's terms; the driver gets the counts of the buckets and, of each row, the few terms that may take part. Terms
+take part if their share among positives differs from that among negatives with a chi-square of at least ``min_chi2``; in
+long texts other terms would add up to noise. So do both terms of a pair, among the ``pair_terms`` most frequent ones, whose
+rate of positives differs with a chi-square of at least ``min_pair_chi2`` from what the two rates make by themselves: terms
+that tell nothing alone, but much together. The broadcast model has a fixed size.
 
 Defined results: null and empty texts have no terms and score the logistic of w0. Without labels, or with labels of one
-class only, every text scores that class's smoothed share. Several labels of a document: the greatest. Null labels do
-not train. Repeated rows count as often as they occur. Empty tables give empty results. Other columns are ignored.
+class only, every text scores that class's smoothed share. Several labels of a document: the greatest. Null labels and null
+doc_ids do not train; a null doc_id is held out. Repeated rows are all scored and train once. Scores at a limit count as
+reaching it. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ PREFIXES = (4, 5, 6)
 class Training:
     train_rows: int = 20_000
     min_chi2: float = 12.0
+    min_pair_chi2: float = 80.0
+    pair_terms: int = 512
+    pair_rows: int = 20
     factors: int = 4
     epochs: int = 12
     least_steps: int = 1500
@@ -79,7 +85,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, terms, bounds in term_buckets(batch.column("text")):
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(terms.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, end - first), lists], names=["label", "terms"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in ("label", "key")), lists], names=["label", "key", "terms"])
 
 
 @dataclass
@@ -111,6 +117,38 @@ def informative(seen: np.ndarray, hit: np.ndarray, n: int, positive: int, how: T
     return (chi2 >= how.min_chi2) & (seen >= 3) & (seen < n)
 
 
+def frequent(seen: np.ndarray, n: int, how: Training) -> np.ndarray:
+    """The buckets whose pairs are looked at: the most frequent, but for those of most rows."""
+    usable = np.flatnonzero((seen >= how.pair_rows) & (seen <= 0.6 * n))
+    return usable[np.lexsort((usable, -seen[usable]))[: how.pair_terms]]
+
+
+def telling_pairs(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, seen: np.ndarray, hit: np.ndarray, how: Training) -> np.ndarray:
+    """Buckets that are in a pair whose rate of positives their own rates do not explain."""
+    n, few = len(labels), frequent(seen, len(labels), how)
+    if not len(few):
+        return few
+    place = np.full(BUCKETS, -1)
+    place[few] = np.arange(len(few))
+    both, hits = np.zeros((len(few), len(few)), np.float32), np.zeros((len(few), len(few)), np.float32)
+    for i in range(0, n, 2048):
+        end = min(n, i + 2048)
+        at = place[terms[bounds[i] : bounds[end]]]
+        rows = np.repeat(np.arange(end - i), np.diff(bounds[i : end + 1]))
+        has = np.zeros((end - i, len(few)), np.float32)
+        has[rows[at >= 0], at[at >= 0]] = 1
+        both += has.T @ has
+        bad = has[labels[i:end] > 0]
+        hits += bad.T @ bad
+    odds = lambda r: np.log(r / (1 - r))
+    base, own = odds((labels.sum() + 0.5) / (n + 1)), odds((hit[few] + 0.5) / (seen[few] + 1))
+    rate = 1 / (1 + np.exp(-np.clip(own[:, None] + own[None, :] - base, -30, 30)))
+    chi2 = (hits - both * rate) ** 2 / np.maximum(both * rate * (1 - rate), 1e-9)
+    telling = (both >= how.pair_rows) & (chi2 >= how.min_pair_chi2)
+    np.fill_diagonal(telling, False)
+    return few[telling.any(axis=1)]
+
+
 def fit(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, how: Training = Training()) -> Machine:
     """AdaGrad on the log-loss, mini-batches in a seeded order."""
     n = len(labels)
@@ -122,7 +160,7 @@ def fit(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, how: Training
     of = np.repeat(np.arange(n), np.diff(bounds))
     seen = np.bincount(terms, minlength=BUCKETS).astype(float)
     hit = np.bincount(terms, labels[of].astype(float), BUCKETS)
-    used = np.flatnonzero(informative(seen, hit, n, positive, how))
+    used = np.union1d(np.flatnonzero(informative(seen, hit, n, positive, how)), telling_pairs(labels, terms, bounds, seen, hit, how))
     if not len(used):
         return flat
     place = np.full(BUCKETS, -1)
@@ -168,15 +206,22 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, how: Training =
     if total > how.train_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(how.train_rows / total * (1 << 30)))
     # At most about train_rows pairs of numbers: a proven bound for the broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("key"), "text")
     scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.table(sample.mapInArrow(_terms, "label int, terms array<int>"), "terms")
-    # Spark counts the terms; the driver sees a row a bucket, then the rows' few terms that take part.
+    rows = scratch.table(sample.mapInArrow(_terms, "label int, key long, terms array<int>"), "terms", counted=True)
+    # One id may stand on any number of rows: equal ones train once, and what is still too much is thinned out by hash.
+    distinct = rows.agg(F.count_distinct("key")).first()[0]
+    if distinct < rows._graphloom_rows:
+        share = min(1.0, 1.2 * how.train_rows / max(1, distinct))
+        rows = scratch.table(rows.where(F.pmod("key", F.lit(1 << 30)) <= int(share * (1 << 30))).dropDuplicates(["key"]), "distinct")
+    rows = rows.select("label", "terms")
+    # Spark counts the terms; the driver sees a row a bucket, then the rows' few terms that may take part.
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("hit")).toArrow()
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     seen, hit, at = np.zeros(BUCKETS), np.zeros(BUCKETS), counts.column("term").to_numpy()
     seen[at], hit[at] = counts.column("seen").to_numpy(), counts.column("hit").to_numpy()
     used = informative(seen, hit, n, positive, how)
+    used[frequent(seen, n, how)] = True
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +255,7 @@ def predict(docs: DataFrame, labels: DataFrame, training: Column, how: Training
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     machine = train(docs, labels, training, how)
     shared = docs.sparkSession.sparkContext.broadcast((machine.base, machine.linear, machine.factors))
-    rows = docs.select("doc_id", (~F.coalesce(training, F.lit(True))).alias("held_out"), "text")
+    rows = docs.select("doc_id", (~F.coalesce(training, F.lit(False))).alias("held_out"), "text")
     scored = rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
