@@ -5,10 +5,11 @@ piece. Pieces are packed, longest first, into the open window of the least remai
 by a segment tree over remaining capacities.
 
 Tokens are made once, in one pass without a shuffle, and only numbers go on: doc_id, start, length, checksum. These go
-by hash to groups of about ``GROUP`` pieces, and each group is packed by itself; a group leaves a window or two less
-full, a small part of its thousand. A hot source or key has no part in the grouping.
+by hash of their row's number to groups of about ``GROUP`` pieces, and each group is packed by itself; a group leaves a
+window or two less full, a small part of its thousand. Neither a hot source nor repeated rows have a part in the grouping.
 
-Chunks between blanks are tokenised once for each worker and kept as bytes in a table of bounded size: no rule of the
+Chunks between blanks are tokenised once for each worker and kept as bytes in a table of at most ``CACHED_BYTES``; chunks
+over ``CACHED_CHARS`` are never kept. Very long texts go in parts. No rule of the
 tokenizer reaches over a blank or a line feed. Plain words with marks after them go straight to the tokenizer's model
 if a probe shows that it takes them so. The tests compare both with whole texts.
 
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 
 GROUP = 2048
-CACHED_CHUNKS = 800_000
+#: Bound of a worker's table; what an entry costs beside its characters and ids; longest chunk that is kept.
+CACHED_BYTES, ENTRY_BYTES, CACHED_CHARS = 256 << 20, 200, 64
+#: Characters of the texts that are taken apart at once.
+PART_CHARS = 1 << 20
 _MARK = "\x01"
 #: Small Latin-1 letters, then ASCII marks but for the apostrophe and what may begin a special token.
 _WORD_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
@@ -49,15 +53,16 @@ _BYTE_LETTERS = _byte_letters()
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by a Hugging Face tokenizer file."""
 
-    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
         self.known: dict[str, bytes] = {"": b""}
+        self.size = 0
         self.mark = self._plain(_MARK)
-        # Only a tokenizer that takes such words as they are is asked word by word.
-        self.direct = all(self._plain(w + ",") == self._word(w) + self._plain(",") for w in _PROBES)
+        # Only a tokenizer that takes such words as they are, in any case of their letters, is asked word by word.
+        self.direct = all(self._plain(shown + ",") == self._word(w) + self._plain(",") for w in _PROBES for shown in {w, w.capitalize(), w.upper()} if shown.lower() == w)
 
     def _plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -67,29 +72,44 @@ class ChunkEncoder:
         """Ids of a word of small letters, straight from the model; the other steps would leave it as it is."""
         if (own := self.known.get(word)) is None:
             tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS))
-            own = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            own = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            if len(word) <= CACHED_CHARS:
+                self._keep(word, own)
         return own
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Words with marks after them by the model, in two parts; all else in joined runs that a mark tells apart."""
-        other = []
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        self.size += ENTRY_BYTES + 2 * len(chunk) + len(ids)
+        self.known[chunk] = ids
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Words with marks after them by the model, in two parts; all else in joined runs that a mark tells apart.
+
+        Short chunks are kept; returns the ids of the long ones, for this once.
+        """
+        other, once = [], {}
         for chunk in chunks:
             if self.direct and (parts := _WORD_MARKS.fullmatch(chunk.lower())):
                 word, marks = parts.groups()
-                if marks and marks not in self.known:
-                    self.known[marks] = self._plain(marks)
-                self.known[chunk] = self._word(word) + self.known[marks]
+                if marks not in self.known and len(marks) <= CACHED_CHARS:
+                    self._keep(marks, self._plain(marks))
+                ids = self._word(word) + (self.known[marks] if marks in self.known else self._plain(marks))
+                if len(chunk) <= CACHED_CHARS:
+                    self._keep(chunk, ids)
+                else:
+                    once[chunk] = ids
+            elif len(chunk) > CACHED_CHARS:
+                once[chunk] = self._plain(chunk)
             else:
                 other.append(chunk)
         self._learn_joined(other)
+        return once
 
     def _learn_joined(self, chunks: list[str]) -> None:
-        if len(self.mark) != 4:
-            self.known.update((c, self._plain(c)) for c in chunks)
-            return
         mark = int.from_bytes(self.mark, "little")
-        self.known.update((c, self._plain(c)) for c in chunks if _MARK in c)
-        plain = [c for c in chunks if _MARK not in c]
+        alone = (lambda c: True) if len(self.mark) != 4 else (lambda c: _MARK in c)
+        for chunk in filter(alone, chunks):
+            self._keep(chunk, self._plain(chunk))
+        plain = [c for c in chunks if not alone(c)]
         for i in range(0, len(plain), 4096):
             run = plain[i : i + 4096]
             ids = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(run)], add_special_tokens=False)[0].ids
@@ -98,24 +118,52 @@ class ChunkEncoder:
                 got.append(ids[at:end])
                 at = end + 1
             if len(got) != len(run):
-                self.known.update((c, self._plain(c)) for c in run)
+                for chunk in run:
+                    self._keep(chunk, self._plain(chunk))
                 continue
             for chunk, own in zip(run, got, strict=True):
-                self.known[chunk] = b"".join([x.to_bytes(4, "little") for x in own])
+                self._keep(chunk, b"".join([x.to_bytes(4, "little") for x in own]))
+
+    def _parts(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each part; the table of chunks is emptied when it is full."""
+        if self.size > self.cached:
+            self.known, self.size = {"": b""}, 0
+        split = [t.replace("\n", " ").split(" ") for t in parts]
+        known = self.known
+        new = set().union(*split).difference(known)
+        once = self._learn(list(new)) if new else {}
+        find = (lambda c: known[c] if c in known else once[c]) if once else known.__getitem__
+        for chunks in split:
+            yield b"".join(map(find, chunks))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text; the table of chunks is emptied when it is full."""
-        for i in range(0, len(texts), 64):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 64]]
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > self.cached:
-                self.known = {"": b""}
-                new = set().union(*split)
-                new.discard("")
-            if new:
-                self._learn(list(new))
-            for chunks in split:
-                yield b"".join(map(self.known.__getitem__, chunks))
+        """The ids of each text."""
+        run: list[str] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if run and size + len(text) > PART_CHARS:
+                yield from self._parts(run)
+                run, size = [], 0
+            if len(text) <= PART_CHARS:
+                run.append(text)
+                size += len(text)
+                if len(run) == 64:
+                    yield from self._parts(run)
+                    run, size = [], 0
+                continue
+            pieces, at = [], 0
+            while at < len(text):
+                # A part ends at the last blank of its reach, or else at the first after it.
+                end = len(text) if len(text) - at <= PART_CHARS else max(text.rfind(" ", at, at + PART_CHARS), text.rfind("\n", at, at + PART_CHARS))
+                if end < at:
+                    after = [x for x in (text.find(" ", at), text.find("\n", at)) if x >= 0]
+                    end = min(after, default=len(text))
+                pieces += self._parts([text[at:end]])
+                at = end + 1
+            yield b"".join(pieces)
+        if run:
+            yield from self._parts(run)
 
 
 class CapacityTree:
@@ -194,8 +242,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) -> D
 
 def pack(cut: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame:
     """``pieces`` with ``sequence_id, offset``. A sequence id is its group's number times 2^32 and the window's there."""
-    cut = Scratch(cut.sparkSession, "pack").table(cut, "pieces")
-    groups = max(1, -(-cut.count() // group))
+    # The number of a row stands in the written table, so repeated rows part and a lost task deals as before.
+    cut = Scratch(cut.sparkSession, "pack").table(cut.withColumn("nr", F.monotonically_increasing_id()), "pieces", counted=True)
+    groups = max(1, -(-cut._graphloom_rows // group))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -205,7 +254,7 @@ def pack(cut: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame:
         out = out.append_column("sequence_id", pa.array([base + n for n, _ in placed], pa.int64()))
         return out.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
-    keyed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups).cast("bigint")))
+    keyed = cut.withColumn("part", F.pmod(F.xxhash64("nr"), F.lit(groups).cast("bigint"))).drop("nr")
     return keyed.groupBy("part").applyInArrow(run, f"{_PIECES}, sequence_id long, offset long")
 
 
