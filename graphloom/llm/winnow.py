@@ -106,18 +106,32 @@ def _edit_row(doc_id, text: str, own: np.ndarray, codes: np.ndarray, next_text:
     return doc_id, len(codes), digest, as_text(own), as_text(chosen), likeness(own, chosen), likeness(own, next_own)
 
 
+#: Bytes of input, as stored, for a range.
+RANGE_BYTES = 128 << 20
+
+
+def ranges_for(docs: DataFrame) -> int:
+    """Ranges of about ``RANGE_BYTES``, and at least as many as shuffles have; the planner knows the size of a table, else it is summed up."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known >= 1 << 60:  # the planner's word for unknown
+        known = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(least, -(-known // RANGE_BYTES))
+
+
 def compare_edited(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
     """Fingerprints of every text, of its edit (last quarter from the next document's start) and their likeness.
 
     The next document is the next row by doc_id, then text; after the last comes the first. One shuffle carries every
     text once: rows go to ranges of doc_id, and the first document of each range also goes, as a guest, to the range
-    before it. A task streams through its sorted range and holds two texts. Null doc_ids sort first.
+    before it. The number of ranges follows the size of the input, and range i is partition i. A task streams through its
+    sorted range and holds two texts. Null doc_ids sort first.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)
+    parts = ranges_for(docs)
+    quantiles = F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], max(10_000, min(10 * parts, 200_000)))
     found = docs.agg(F.min(key).alias("least"), quantiles.alias("q")).first()
     bounds = np.array(sorted({found["least"], *found["q"]} if found["least"] is not None else {0}), np.int64)
     count = len(bounds)
@@ -131,7 +145,7 @@ def compare_edited(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
         return pd.Series([[a, (a - 1) % count] if first else [a] for a, first in zip(at.tolist(), opens.tolist(), strict=True)])
 
     placed = docs.withColumn("key", key).withColumn("to", ranges("key")).select("doc_id", "text", "key", F.posexplode("to").alias("guest", "range"))
-    dealt = placed.repartition(count, "range").sortWithinPartitions("range", "guest", "key", "text").select("doc_id", "text", "range", "guest")
+    dealt = placed.repartitionById(count, F.col("range")).sortWithinPartitions("range", "guest", "key", "text").select("doc_id", "text", "range", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, out, size = None, None, [], 0
