@@ -94,12 +94,17 @@ class Scratch:
         _delete(self.spark, self.root)
 
 
-def side(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
-    """A counted table as the side of a join: merged, not broadcast, where it has more than ``most`` rows."""
+def side(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None, fixed: bool = False) -> DataFrame:
+    """A counted table as the side of a join: merged, not broadcast, where it has more than ``most`` rows.
+
+    ``fixed``: its rows are a few numbers each, so up to ``most`` rows it is broadcast whatever its files weigh.
+    """
     rows = getattr(df, "_graphloom_rows", None) if rows is None else rows
     if rows is None:
         raise ValueError("the table was written without a count")
-    return df.hint("merge") if rows > most else df
+    if rows > most:
+        return df.hint("merge")
+    return F.broadcast(df) if fixed else df
 
 
 _OPEN: list[Scratch] = []
