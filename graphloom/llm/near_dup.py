@@ -354,9 +354,9 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     same = (F.col("doc_id").cast("bigint") == F.col("_id")) & (key == F.col("_key"))
     dropped = scratch.table(decided.where("NOT stays").select("_id", "_key"), "dropped", counted=True)
-    kept = docs.join(side(dropped), same, "left_anti")
+    kept = docs.join(side(dropped, fixed=True), same, "left_anti")
     repeated = scratch.table(decided.where("stays").select("_id", "_key"), "repeated", counted=True)
     if not repeated._graphloom_rows:
         return kept
-    twice = kept.join(side(repeated), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return kept.join(side(repeated), same, "left_anti").unionByName(twice)
+    twice = kept.join(side(repeated, fixed=True), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept.join(side(repeated, fixed=True), same, "left_anti").unionByName(twice)

@@ -72,6 +72,16 @@ def test_keep_one(spark, make_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([4, None, 7], key=str)
 
 
+def test_few_decisions_shuffle_no_texts(spark, make_docs):
+    docs = make_docs([(5, "a b c d e f"), (4, "a b c d e f"), (7, "x y z")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_dup.keep_one(docs, 2, 80)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_one_id_on_several_texts(spark, make_docs, prose):
     """Each text is placed by itself: a clean text does not go because another of its id is a copy."""
     a, b, c = (prose(60, s) for s in (1, 2, 3))
