@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of the stage before; its result is written as Parquet
 to the shared folder and read again, so a lost executor never costs more than one stage. All stages but the last keep
 the columns of ``documents``; ``n_chars`` follows the text.
+
+Defined results: null and empty texts pass the first three stages, hold no tokens for the mix and end there; null
+doc_ids are rows like others, which the near-duplicate stage never drops; rows that repeat a doc_id are judged each by its
+own text, and equal ones become one; extra columns keep their values. Empty tables give empty results.
 """
 
 from __future__ import annotations
