@@ -31,6 +31,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,6 +159,26 @@ def estimate_floor(similarity: float) -> float:
 _EMPTY_LABELS = "node long, component long"
 
 
+def key_filter(keys: DataFrame, count: int, *columns: str) -> tuple[Callable[..., Column], Callable[[np.ndarray], np.ndarray]]:
+    """A broadcast bitmap of ``count`` distinct keys, at most ``MAX_FILTER`` bits: the position of a key, and which positions are set.
+
+    All given keys are set, and few others as long as the size suffices; beyond it more of the others are.
+    """
+    bits = min(MAX_FILTER, max(1 << 20, 1 << (count * FILTER_BITS).bit_length()))
+    position = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits).cast("bigint"))
+    places = keys.select(position(*columns).alias("p")).groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("map"))
+    flags = np.zeros(bits // 8 + 8192, np.uint8)
+    for row in places.toLocalIterator():
+        flags[(row["n"] - 1) * 4096 : row["n"] * 4096] = np.frombuffer(row["map"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(flags)
+
+    def passing(p: np.ndarray) -> np.ndarray:
+        # Position p is bit (p mod 32768) of bucket p div 32768 + 1, each bucket 4096 bytes.
+        return (shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+    return position, passing
+
+
 class _Finder:
     """The candidate rounds over classes of one corpus. ``classes``: ``id, first, text_key, n_shingles, bits, bands``."""
 
@@ -168,20 +189,7 @@ class _Finder:
 
     def full_sets(self, members: DataFrame) -> DataFrame:
         """``(first, text_key, shingles)`` of (at least) the given texts, in one pass over all; a bitmap of bounded size leaves out the rest."""
-        spark = self.docs.sparkSession
-        count = members.count()
-        bits = min(MAX_FILTER, max(1 << 20, 1 << (count * FILTER_BITS).bit_length()))
-        position = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits).cast("bigint"))
-        places = members.select(position("first", "text_key").alias("p")).groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("map"))
-        flags = np.zeros(bits // 8 + 8192, np.uint8)
-        for row in places.toLocalIterator():
-            flags[(row["n"] - 1) * 4096 : row["n"] * 4096] = np.frombuffer(row["map"], np.uint8)
-        shared = spark.sparkContext.broadcast(flags)
-
-        def passing(p: np.ndarray) -> np.ndarray:
-            # Position p is bit (p mod 32768) of bucket p div 32768 + 1, each bucket 4096 bytes.
-            return (shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-
+        position, passing = key_filter(members, members.count(), "first", "text_key")
         texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text", position("doc_id", "text_key").alias("position"))
         sets = texts.mapInArrow(sets_of(self.size, passing), "first long, text_key long, shingles array<long>")
         return sets.dropDuplicates(["first", "text_key"]) if self.repeated else sets
@@ -354,7 +362,10 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     same = (F.col("doc_id").cast("bigint") == F.col("_id")) & (key == F.col("_key"))
     dropped = scratch.table(decided.where("NOT stays").select("_id", "_key"), "dropped", counted=True)
-    kept = docs.join(side(dropped, fixed=True), same, "left_anti")
+    position, passing = key_filter(dropped, dropped._graphloom_rows, "_id", "_key")
+    hit = F.pandas_udf(lambda p: pd.Series(passing(p.to_numpy())), "boolean")(position(F.col("doc_id").cast("bigint"), key))
+    # Where the decisions are too many to broadcast, only texts that the bitmap takes for dropped ones are shuffled.
+    kept = docs.where(~hit).unionByName(docs.where(hit).join(side(dropped, fixed=True), same, "left_anti"))
     repeated = scratch.table(decided.where("stays").select("_id", "_key"), "repeated", counted=True)
     if not repeated._graphloom_rows:
         return kept

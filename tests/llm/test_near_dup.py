@@ -82,6 +82,28 @@ def test_few_decisions_shuffle_no_texts(spark, make_docs):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+def test_many_decisions_shuffle_only_hits(spark, make_docs, monkeypatch):
+    """Without a broadcast of the decisions the result is the same; null ids, null texts and repeats included."""
+    rows = [(5, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (7, None)]
+    rows += [(100 + i, f"w{i} x{i} y{i} z{i}") for i in range(200)]
+    docs = make_docs(rows)
+    few = near_dup.keep_one(docs, 2, 80).collect()
+    monkeypatch.setattr(near_dup, "side", lambda df, **_: df.hint("merge"))
+    many = near_dup.keep_one(docs, 2, 80)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few)) and len(few) == 203
+
+
+def test_key_filter(spark):
+    keys = spark.range(0, 20000, 2).selectExpr("id a", "id * 7 b")
+    position, passing = near_dup.key_filter(keys, keys.count(), "a", "b")
+    at = spark.range(20000).selectExpr("id a", "id * 7 b").select("a", position("a", "b").alias("p")).toPandas()
+    set_ = passing(at["p"].to_numpy())
+    assert set_[at["a"] % 2 == 0].all() and set_[at["a"] % 2 == 1].mean() < 0.05
+    empty, none = near_dup.key_filter(keys.limit(0), 0, "a", "b")
+    assert not none(spark.range(1000).select(empty("id").alias("p")).toPandas()["p"].to_numpy()).any()
+
+
 def test_one_id_on_several_texts(spark, make_docs, prose):
     """Each text is placed by itself: a clean text does not go because another of its id is a copy."""
     a, b, c = (prose(60, s) for s in (1, 2, 3))
