@@ -49,6 +49,8 @@ PIVOT_ROUNDS = 2
 SLICE = 1024
 #: Bits of the candidate filter for a candidate, and the filter's largest size (64 MB).
 FILTER_BITS, MAX_FILTER = 32, 1 << 29
+#: Decisions up to this number are broadcast; of more, those texts that meet the bitmap are shuffled.
+FEW = 1_000
 
 _PLANE = PERMUTATIONS // 64
 
@@ -360,14 +362,16 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
     decided = placed.groupBy("_id", "_key").agg(F.count("*").alias("n"), F.bool_and(stays).alias("stays"))
     decided = scratch.table(decided.where("NOT stays OR n > 1"), "decided", counted=True)
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = (F.col("doc_id").cast("bigint") == F.col("_id")) & (key == F.col("_key"))
-    dropped = scratch.table(decided.where("NOT stays").select("_id", "_key"), "dropped", counted=True)
-    position, passing = key_filter(dropped, dropped._graphloom_rows, "_id", "_key")
+    name = "_" * (1 + max(map(len, docs.columns)))
+    said = decided.select(F.struct(*decided.columns).alias(name))
+    same = (F.col("doc_id").cast("bigint") == F.col(f"{name}._id")) & (key == F.col(f"{name}._key"))
+    position, passing = key_filter(decided, decided._graphloom_rows, "_id", "_key")
     hit = F.pandas_udf(lambda p: pd.Series(passing(p.to_numpy())), "boolean")(position(F.col("doc_id").cast("bigint"), key))
-    # Where the decisions are too many to broadcast, only texts that the bitmap takes for dropped ones are shuffled.
-    kept = docs.where(~hit).unionByName(docs.where(hit).join(side(dropped, fixed=True), same, "left_anti"))
-    repeated = scratch.table(decided.where("stays").select("_id", "_key"), "repeated", counted=True)
-    if not repeated._graphloom_rows:
-        return kept
-    twice = kept.join(side(repeated, fixed=True), same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return kept.join(side(repeated, fixed=True), same, "left_anti").unionByName(twice)
+    # Only texts that the bitmap takes for decided ones are joined.
+    met = docs.where(hit).join(side(said, most=FEW, rows=decided._graphloom_rows, fixed=True), same, "left")
+    met = met.where(F.coalesce(f"{name}.stays", F.lit(True)))
+    clear = docs.where(~hit)
+    if not decided.where("stays").limit(1).count():
+        return clear.unionByName(met.drop(name))
+    twice = met.where(F.col(name).isNotNull()).dropDuplicates([name])
+    return clear.unionByName(met.where(F.col(name).isNull()).unionByName(twice).drop(name))
