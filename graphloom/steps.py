@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.partitioner import KINDS, PartitionFn
 from graphloom.operators import local, stars
-from graphloom.plans.algorithms import MAX_LOCAL_THRESHOLD
-from graphloom.plans.api import with_roots
+from graphloom.plans.algorithms import MAX_LOCAL_THRESHOLD, ONE_TASK
+from graphloom.plans.api import connected_components
 from graphloom.sources.edges import read_edges_text, write_labels_text, write_routed
 
 
@@ -50,10 +50,9 @@ def convert_text(spark: SparkSession, source: str, target: str, mode: str = "DRO
     return spark.read.parquet(target).count()
 
 
-def label_text(spark: SparkSession, source: str, target: str, limit: int = MAX_LOCAL_THRESHOLD) -> int:
-    """Text edges to text labels of all nodes, solved in one task; returns the number of nodes."""
-    edges = read_edges_text(spark, source)
-    labels = with_roots(local.local_cc(edges.where("u <> v"), limit).toDF("node", "component"), edges)
+def label_text(spark: SparkSession, source: str, target: str, limit: int = ONE_TASK) -> int:
+    """Text edges to text labels of all nodes, solved in one task where a sketch has at most ``limit`` edges; returns the number of nodes."""
+    labels = connected_components(read_edges_text(spark, source), local_threshold=limit, include_roots=True)
     write_labels_text(labels, target)
     return labels.count()
 

@@ -6,10 +6,12 @@ import random
 import numpy as np
 import pytest
 
-from graphloom import RunMetrics, component_sizes, connected_components
+from graphloom import RunMetrics, component_sizes, connected_components, steps
 from graphloom.functions.partitioner import PartitionFn
 from graphloom.operators import local, stars
+from graphloom.plans import algorithms
 from graphloom.plans.algorithms import ALGORITHMS, NotConverged, Options
+from graphloom.sources.edges import read_labels_text
 from graphloom.streaming.incremental import maintain, merge_labels
 
 
@@ -173,6 +175,18 @@ def test_local_solve_is_bounded(spark):
         local.local_cc(frame(spark, GRAPHS["random"]), 5).collect()
 
 
+def test_union_find_of_more_than_one_task(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(algorithms, "MAX_LOCAL_THRESHOLD", 5)
+    monkeypatch.setattr(algorithms, "ONE_TASK", 5, raising=False)
+    edges = GRAPHS["random"] + GRAPHS["star"] + GRAPHS["negative"]
+    metrics = RunMetrics("", 0, 0)
+    assert labels(connected_components(frame(spark, edges), "union_find", local_threshold=0, metrics=metrics)) == non_roots(edges)
+    assert metrics.rounds
+    (tmp_path / "edges").write_text("".join(f"{u} {v}\n" for u, v in [*edges, (5000, 5000)]))
+    assert steps.label_text(spark, str(tmp_path / "edges"), str(tmp_path / "labels"), limit=5) == len(union_find([*edges, (5000, 5000)]))
+    assert labels(read_labels_text(spark, str(tmp_path / "labels"))) == union_find([*edges, (5000, 5000)])
+
+
 def test_metrics_and_limits(spark):
     metrics = RunMetrics("", 0, 0, input="here")
     connected_components(frame(spark, GRAPHS["zigzag"]), "alternating", metrics=metrics)
