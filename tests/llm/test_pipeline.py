@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -39,3 +40,23 @@ def test_empty(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_go_in_small_batches(spark, make_docs):
+    docs = make_docs([(i, "word " * 400) for i in range(6000)]).select("doc_id", "text").coalesce(1)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    try:
+        corpus_pipeline.pack_tokens(spark, docs, "")
+        got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 4_500_000
+        spark.conf.set(bound, "1m")
+        corpus_pipeline._small_batches(spark)
+        assert spark.conf.get(bound) == "1m"
+    finally:
+        spark.conf.set(bound, before)
