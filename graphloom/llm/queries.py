@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_id, license_scan, media, mixing, near_dup, packing, pii, toxicity, url_reputation, winnow
+from graphloom.llm import importance, language_id, license_scan, media, mixing, near_dup, packing, pii, toxicity, url_reputation, winnow
 from graphloom.llm.license_texts import LICENSES, SPELLINGS
 from graphloom.llm.mixing import Mix
 from graphloom.llm.url_reputation import Rule
@@ -207,6 +207,27 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_id")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan, media_pages)}
-SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql()}
+
+def _importance_sql() -> str:
+    """Each different feature's checksum goes byte by byte through the table of the polynomial 0xEDB88320."""
+    grams = "SELECT {id} id, unnest(CASE WHEN len(w) > 1 THEN list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END) g FROM {t}"
+    split = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, {split} w FROM documents), b AS MATERIALIZED (SELECT {split} w FROM benchmark),
+ tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) tb),
+ dg AS MATERIALIZED ({grams.format(id="r", t="d")}), bg AS MATERIALIZED ({grams.format(id="0", t="b")}),
+ u AS MATERIALIZED (SELECT g, hex(encode(g)) x FROM (SELECT g FROM dg UNION SELECT g FROM bg)),
+ k AS MATERIALIZED (SELECT g, xor(list_reduce(list_concat([4294967295], list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, y: xor(c // 256, tb[xor(c % 256, y) + 1])), 4294967295) % 10000 bucket FROM u, tab),
+ s AS (SELECT bucket, count(*) s FROM dg JOIN k USING (g) GROUP BY bucket), t AS (SELECT bucket, count(*) t FROM bg JOIN k USING (g) GROUP BY bucket),
+ gn AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dg) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bg) + 10000)::DOUBLE)))::BIGINT gain FROM s LEFT JOIN t USING (bucket)),
+ dw AS (SELECT id, count(*) n, sum(gain)::BIGINT z FROM dg JOIN k USING (g) JOIN gn USING (bucket) GROUP BY id),
+ sc AS (SELECT r, doc_id, len(w) nw, coalesce(n, 0)::BIGINT n_features, coalesce((z - ((z % n) + n) % n) // n, 0)::BIGINT weight, floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT gu FROM d LEFT JOIN dw ON id = r),
+ rk AS (SELECT r, row_number() OVER (ORDER BY weight + gu DESC, doc_id, r) k FROM sc WHERE nw >= 20)
+SELECT doc_id, n_features, weight, weight + gu score, CASE WHEN k <= 25 * (SELECT count(*) FROM sc WHERE nw >= 20) // 100 THEN k END "rank" FROM sc LEFT JOIN rk USING (r)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan, op12_importance, media_pages)}
+SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql(), "op12_importance": _importance_sql()}

@@ -18,9 +18,10 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    want, have = con.execute(queries.SQL[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
+    want, have = con.execute(queries.SQL[name]).df(), queries.QUERIES[name](spark, SF).toPandas().convert_dtypes()
+    want = want.convert_dtypes()
     assert sorted(want.columns) == sorted(have.columns)
     text = lambda df: sorted(df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).astype(str).itertuples(index=False, name=None))
     assert text(want) == text(have)
