@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.bitmaps import bits_for, set_positions
 from graphloom.llm.text_arrays import BLANKS, byte_values, chunks, mix, shingles, utf8, word_hashes
 from graphloom.plans.api import connected_components
 from graphloom.plans.scratch import Scratch, side
@@ -47,8 +48,6 @@ SIGMAS = 5.0
 PIVOT_ROUNDS = 2
 #: Rows that one step of a Python worker signs at once.
 SLICE = 1024
-#: Bits of the candidate filter for a candidate, and the filter's largest size (64 MB).
-FILTER_BITS, MAX_FILTER = 32, 1 << 29
 #: Decisions up to this number are broadcast; of more, those texts that meet the bitmap are shuffled.
 FEW = 1_000
 
@@ -162,23 +161,13 @@ _EMPTY_LABELS = "node long, component long"
 
 
 def key_filter(keys: DataFrame, count: int, *columns: str) -> tuple[Callable[..., Column], Callable[[np.ndarray], np.ndarray]]:
-    """A broadcast bitmap of ``count`` distinct keys, at most ``MAX_FILTER`` bits: the position of a key, and which positions are set.
+    """A broadcast bitmap of ``count`` distinct keys, at most ``MAX_BITS`` bits: the position of a key, and which positions are set.
 
     All given keys are set, and few others as long as the size suffices; beyond it more of the others are.
     """
-    bits = min(MAX_FILTER, max(1 << 20, 1 << (count * FILTER_BITS).bit_length()))
+    bits = bits_for(count)
     position = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits).cast("bigint"))
-    places = keys.select(position(*columns).alias("p")).groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("map"))
-    flags = np.zeros(bits // 8 + 8192, np.uint8)
-    for row in places.toLocalIterator():
-        flags[(row["n"] - 1) * 4096 : row["n"] * 4096] = np.frombuffer(row["map"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(flags)
-
-    def passing(p: np.ndarray) -> np.ndarray:
-        # Position p is bit (p mod 32768) of bucket p div 32768 + 1, each bucket 4096 bytes.
-        return (shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-
-    return position, passing
+    return position, set_positions(keys.select(position(*columns).alias("p")), bits)
 
 
 class _Finder:

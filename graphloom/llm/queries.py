@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import importance, language_id, license_scan, media, mixing, near_dup, packing, pii, toxicity, url_reputation, winnow
+from graphloom.llm import importance, language_id, license_scan, media, mixing, near_dup, packing, phrases, pii, toxicity, url_reputation, winnow
 from graphloom.llm.license_texts import LICENSES, SPELLINGS
 from graphloom.llm.mixing import Mix
 from graphloom.llm.url_reputation import Rule
@@ -228,6 +228,25 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, {split} w FROM do
  rk AS (SELECT r, row_number() OVER (ORDER BY weight + gu DESC, doc_id, r) k FROM sc WHERE nw >= 20)
 SELECT doc_id, n_features, weight, weight + gu score, CASE WHEN k <= 25 * (SELECT count(*) FROM sc WHERE nw >= 20) // 100 THEN k END "rank" FROM sc LEFT JOIN rk USING (r)"""
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, inside_percent=50)
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan, op12_importance, media_pages)}
-SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql(), "op12_importance": _importance_sql()}
+
+_PHRASE_SQL = """
+WITH p AS MATERIALIZED (SELECT coalesce(lang, 'und') lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') w
+   FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece FROM documents)),
+ g AS (SELECT lang, 1 k, unnest(w) ph FROM p UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+   UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),
+ f AS MATERIALIZED (SELECT lang, k, ph, count(*) f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT n FROM f WHERE k = 1 GROUP BY lang),
+ c AS MATERIALIZED (SELECT lang, k, ph, f a, string_split(ph, ' ') w FROM f WHERE k > 1 AND f >= 10),
+ x AS (SELECT c.lang, k, ph, a, cut, array_to_string(w[1:cut], ' ') lp, array_to_string(w[cut + 1:], ' ') rp FROM c, (VALUES (1), (2)) t(cut) WHERE cut < k),
+ s AS (SELECT x.*, b.f l, d.f r, (1000000::HUGEINT * a * a) // (b.f::HUGEINT * d.f) score FROM x JOIN f b ON b.lang = x.lang AND b.ph = lp JOIN f d ON d.lang = x.lang AND d.ph = rp),
+ best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) = 1),
+ inside AS (SELECT lang, ph, max(a) longer FROM (SELECT lang, array_to_string(w[1:2], ' ') ph, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
+ kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, ph) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) "rank" FROM kept)
+SELECT lang, "rank", ph phrase, a, l, r, n, score::BIGINT score FROM ranked JOIN n USING (lang) WHERE "rank" <= 2000"""
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan, op12_importance, op13_phrases, media_pages)}
+SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql(), "op12_importance": _importance_sql(), "op13_phrases": _PHRASE_SQL}

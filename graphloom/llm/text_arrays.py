@@ -32,10 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_values(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash value for each byte, the same for both cases of A to Z, and whether it is part of a word."""
+def byte_values(separators: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A hash value for each byte, with ``fold`` the same for both cases of A to Z, and whether it is part of a word."""
     codes = np.arange(256, dtype=np.uint64)
-    codes[65:91] += np.uint64(32)
+    if fold:
+        codes[65:91] += np.uint64(32)
     part = np.ones(256, bool)
     part[list(separators)] = False
     return mix(codes + np.uint64(0x51ED270B)), part
@@ -73,14 +74,12 @@ def chunks(bounds: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         row = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)``: the hash of every word in order; row i has the words ``first[i]`` to ``first[i + 1]``."""
-    at, end = int(bounds[0]), int(bounds[-1])
-    own = data[at:end]
-    bounds = bounds - at
-    if not len(own):
-        return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
-    up, down = _powers_to(len(own))
+def word_spans(own: np.ndarray, bounds: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, first)``: the bytes of every word in order; row i has the words ``first[i]`` to ``first[i + 1]``.
+
+    ``own`` holds the bytes of the rows from ``bounds[0]`` to ``bounds[-1]``, and the places count from there.
+    """
+    bounds = bounds - int(bounds[0])
     inside = part[own]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -91,10 +90,32 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray, part:
     last = bounds[1:][bounds[1:] > 0] - 1
     closes[last] = inside[last]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return starts, ends, np.searchsorted(starts, bounds)
+
+
+def span_hashes(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, whatever its place."""
+    up, down = _powers_to(len(own))
     sums = np.zeros(len(own) + 1, np.uint64)
     np.cumsum(values[own] * up[: len(own)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, bounds)
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, first)``: the hash of every word in order; row i has the words ``first[i]`` to ``first[i + 1]``."""
+    own = data[int(bounds[0]) : int(bounds[-1])]
+    if not len(own):
+        return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
+    starts, ends, first = word_spans(own, bounds, part)
+    return span_hashes(own, starts, ends, values), first
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, and the bounds of each."""
+    lengths = ends - starts
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=bounds[1:])
+    return data[np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
