@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits for a key, and the largest bitmap (64 MB).
 BITS_A_KEY, MAX_BITS = 32, 1 << 29
+#: Rows to be merged with texts up to this number are broadcast; of more, those texts that meet the bitmap are shuffled.
+FEW = 1_000
 #: Bits of a block of Spark's bitmap functions.
 _BLOCK = 32_768
 
@@ -38,3 +41,17 @@ def set_positions(places: DataFrame, bits: int) -> Passing:
     """The test for the bitmap of the positions ``places(p)``, each at least 0 and under ``bits``."""
     blocks = places.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("map"))
     return shared(places.sparkSession, (((row["n"] - 1) * (_BLOCK // 8), row["map"]) for row in blocks.toLocalIterator()), bits)
+
+
+def key_filter(keys: DataFrame, count: int, *columns: str) -> tuple[Callable[..., Column], Passing]:
+    """The bitmap of ``count`` distinct keys: the position of a key, and which positions are set."""
+    bits = bits_for(count)
+    position = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits).cast("bigint"))
+    return position, set_positions(keys.select(position(*columns).alias("p")), bits)
+
+
+def parted(rows: DataFrame, own: list, keys: DataFrame, count: int, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key ``own`` may be among ``keys``, and those whose key is not. Only a number a row goes to Python, never its texts."""
+    position, passing = key_filter(keys, count, *columns)
+    hit = F.pandas_udf(lambda p: pd.Series(passing(p.to_numpy())), "boolean")(position(*own))
+    return rows.where(hit), rows.where(~hit)

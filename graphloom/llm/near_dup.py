@@ -31,12 +31,11 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bitmaps import bits_for, set_positions
+from graphloom.llm.bitmaps import FEW, parted
 from graphloom.llm.text_arrays import BLANKS, byte_values, chunks, mix, shingles, utf8, word_hashes
 from graphloom.plans.api import connected_components
 from graphloom.plans.scratch import Scratch, side
@@ -48,9 +47,6 @@ SIGMAS = 5.0
 PIVOT_ROUNDS = 2
 #: Rows that one step of a Python worker signs at once.
 SLICE = 1024
-#: Decisions up to this number are broadcast; of more, those texts that meet the bitmap are shuffled.
-FEW = 1_000
-
 _PLANE = PERMUTATIONS // 64
 
 
@@ -122,12 +118,11 @@ def signer(size: int, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatc
 _SIGNED = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
 
-def sets_of(size: int, passing: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(first, text_key, shingles)`` of the rows whose filter position passes."""
+def sets_of(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(first, text_key, shingles)`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(passing(batch.column("position").to_numpy())))
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 sets = [s.view(np.int64) for _, s in _row_sets(part, size)]
@@ -160,16 +155,6 @@ def estimate_floor(similarity: float) -> float:
 _EMPTY_LABELS = "node long, component long"
 
 
-def key_filter(keys: DataFrame, count: int, *columns: str) -> tuple[Callable[..., Column], Callable[[np.ndarray], np.ndarray]]:
-    """A broadcast bitmap of ``count`` distinct keys, at most ``MAX_BITS`` bits: the position of a key, and which positions are set.
-
-    All given keys are set, and few others as long as the size suffices; beyond it more of the others are.
-    """
-    bits = bits_for(count)
-    position = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits).cast("bigint"))
-    return position, set_positions(keys.select(position(*columns).alias("p")), bits)
-
-
 class _Finder:
     """The candidate rounds over classes of one corpus. ``classes``: ``id, first, text_key, n_shingles, bits, bands``."""
 
@@ -180,9 +165,8 @@ class _Finder:
 
     def full_sets(self, members: DataFrame) -> DataFrame:
         """``(first, text_key, shingles)`` of (at least) the given texts, in one pass over all; a bitmap of bounded size leaves out the rest."""
-        position, passing = key_filter(members, members.count(), "first", "text_key")
-        texts = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text", position("doc_id", "text_key").alias("position"))
-        sets = texts.mapInArrow(sets_of(self.size, passing), "first long, text_key long, shingles array<long>")
+        texts, _ = parted(self.docs.where("doc_id IS NOT NULL"), ["doc_id", "text_key"], members, members.count(), "first", "text_key")
+        sets = texts.select("doc_id", "text_key", "text").mapInArrow(sets_of(self.size), "first long, text_key long, shingles array<long>")
         return sets.dropDuplicates(["first", "text_key"]) if self.repeated else sets
 
     def may_link(self, na: str, nb: str, sa: str, sb: str) -> Column:
@@ -354,12 +338,10 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
     name = "_" * (1 + max(map(len, docs.columns)))
     said = decided.select(F.struct(*decided.columns).alias(name))
     same = (F.col("doc_id").cast("bigint") == F.col(f"{name}._id")) & (key == F.col(f"{name}._key"))
-    position, passing = key_filter(decided, decided._graphloom_rows, "_id", "_key")
-    hit = F.pandas_udf(lambda p: pd.Series(passing(p.to_numpy())), "boolean")(position(F.col("doc_id").cast("bigint"), key))
     # Only texts that the bitmap takes for decided ones are joined.
-    met = docs.where(hit).join(side(said, most=FEW, rows=decided._graphloom_rows, fixed=True), same, "left")
+    hits, clear = parted(docs, [F.col("doc_id").cast("bigint"), key], decided, decided._graphloom_rows, "_id", "_key")
+    met = hits.join(side(said, most=FEW, rows=decided._graphloom_rows, fixed=True), same, "left")
     met = met.where(F.coalesce(f"{name}.stays", F.lit(True)))
-    clear = docs.where(~hit)
     if not decided.where("stays").limit(1).count():
         return clear.unionByName(met.drop(name))
     twice = met.where(F.col(name).isNotNull()).dropDuplicates([name])

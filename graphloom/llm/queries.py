@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import importance, language_id, license_scan, media, mixing, near_dup, packing, phrases, pii, toxicity, url_reputation, winnow
+from graphloom.llm import importance, language_id, license_scan, media, mixing, near_dup, packing, phrases, pii, substring_dedup, toxicity, url_reputation, winnow
 from graphloom.llm.license_texts import LICENSES, SPELLINGS
 from graphloom.llm.mixing import Mix
 from graphloom.llm.url_reputation import Rule
@@ -207,6 +207,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), span=50)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_REPEATS_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+ p AS MATERIALIZED (SELECT r, doc_id, i, w[i] word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) i FROM d)),
+ f AS MATERIALIZED (SELECT h, min(doc_id) least FROM p WHERE h IS NOT NULL GROUP BY h),
+ c AS (SELECT r, i, word, max(CASE WHEN least < doc_id THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL gone FROM p LEFT JOIN f USING (h)),
+ k AS (SELECT r, count(*) FILTER (gone) n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_removed, 0)::BIGINT n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -248,5 +262,5 @@ WITH p AS MATERIALIZED (SELECT coalesce(lang, 'und') lang, list_filter(regexp_sp
 SELECT lang, "rank", ph phrase, a, l, r, n, score::BIGINT score FROM ranked JOIN n USING (lang) WHERE "rank" <= 2000"""
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan, op12_importance, op13_phrases, media_pages)}
-SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql(), "op12_importance": _importance_sql(), "op13_phrases": _PHRASE_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_url_reputation, op4_winnow, op5_toxicity, op6_packing, op7_language_id, op8_pii, op9_near_dup, op10_license_scan, op11_substring_dedup, op12_importance, op13_phrases, media_pages)}
+SQL = {"op1_mixing": _mix_sql(), "op3_url_reputation": _url_sql(), "op9_near_dup": _NEAR_SQL, "op10_license_scan": _license_sql(), "op11_substring_dedup": _REPEATS_SQL, "op12_importance": _importance_sql(), "op13_phrases": _PHRASE_SQL}

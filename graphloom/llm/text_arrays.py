@@ -45,7 +45,7 @@ def byte_values(separators: bytes, fold: bool = True) -> tuple[np.ndarray, np.nd
 _powers: dict[str, np.ndarray] = {}
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i for i up to n."""
     if len(_powers.get("up", ())) < n + 1:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -95,7 +95,7 @@ def word_spans(own: np.ndarray, bounds: np.ndarray, part: np.ndarray) -> tuple[n
 
 def span_hashes(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span, whatever its place."""
-    up, down = _powers_to(len(own))
+    up, down = powers_to(len(own))
     sums = np.zeros(len(own) + 1, np.uint64)
     np.cumsum(values[own] * up[: len(own)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text_arrays import NON_WORD, _powers_to, byte_values, chunks, mix, utf8
+from graphloom.llm.text_arrays import NON_WORD, byte_values, chunks, mix, powers_to, utf8
 from graphloom.plans.scratch import Scratch
 
 BUCKETS = 1 << 18
@@ -60,7 +60,7 @@ def term_buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         if not len(own):
             yield first, end, np.empty(0, np.int64), np.zeros(n + 1, np.int64)
             continue
-        up, down = _powers_to(len(own))
+        up, down = powers_to(len(own))
         inside = part[own]
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]

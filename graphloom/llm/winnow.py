@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text_arrays import _powers_to, mix
+from graphloom.llm.text_arrays import mix, powers_to
 
 _NONE = np.empty(0, np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -42,7 +42,7 @@ def kgram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return _NONE
     k = min(k, n)
-    up, down = _powers_to(n)
+    up, down = powers_to(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(0x1F123BB5)) * up[:n], out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1]) >> np.uint64(32)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from graphloom.llm import near_dup, text_arrays
+from graphloom.llm import bitmaps, near_dup, text_arrays
 
 
 def shingle_set(text, size):
@@ -96,11 +96,11 @@ def test_many_decisions_shuffle_only_hits(spark, make_docs, monkeypatch):
 
 def test_key_filter(spark):
     keys = spark.range(0, 20000, 2).selectExpr("id a", "id * 7 b")
-    position, passing = near_dup.key_filter(keys, keys.count(), "a", "b")
+    position, passing = bitmaps.key_filter(keys, keys.count(), "a", "b")
     at = spark.range(20000).selectExpr("id a", "id * 7 b").select("a", position("a", "b").alias("p")).toPandas()
     set_ = passing(at["p"].to_numpy())
     assert set_[at["a"] % 2 == 0].all() and set_[at["a"] % 2 == 1].mean() < 0.05
-    empty, none = near_dup.key_filter(keys.limit(0), 0, "a", "b")
+    empty, none = bitmaps.key_filter(keys.limit(0), 0, "a", "b")
     assert not none(spark.range(1000).select(empty("id").alias("p")).toPandas()["p"].to_numpy()).any()
 
 
