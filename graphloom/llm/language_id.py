@@ -6,7 +6,8 @@ in Spark; what is broadcast is one float32 row of log-probabilities a bucket, of
 corpus. Scoring gathers the rows of a chunk's n-grams and sums them by document in numpy.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any training row so is every
-text. Ties go to the first language in order. Rows with a null lang do not train. Repeated rows count as often as they
+text. The ``MAX_LANGUAGES`` languages of most labelled rows are learned, of equal ones the first by name; rarer ones are never
+predicted, so a lang column of any content is fine. Ties go to the first language in order. Rows with a null lang do not train. Repeated rows count as often as they
 occur. Empty tables give empty results. Other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 ORDERS = (2, 3)
 BUCKETS = 1 << 16
-#: Languages the broadcast table has room for: 256 KB each.
+#: Languages that are learned at most: the broadcast table has 256 KB for each.
 MAX_LANGUAGES = 256
 CHUNK_CHARS = 500_000
 UNKNOWN = "und"
@@ -88,8 +89,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, starts, _ = ngram_buckets(texts)
             own = langs[first : first + len(texts)]
             names = sorted(set(own))
-            if len(sums.keys() | set(names)) > MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
             of = np.repeat(np.array([names.index(x) for x in own]), np.diff(np.append(starts, len(rows))))
             flat = (rows.astype(np.int64) + of[:, None] * (BUCKETS + 1)).reshape(-1)
             counts = np.bincount(flat, minlength=len(names) * (BUCKETS + 1)).reshape(len(names), BUCKETS + 1)
@@ -102,16 +101,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "bucket", "n"])
 
 
-def train(docs: DataFrame, train_rows: int = 50_000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _common(labelled: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The rows of the ``most`` languages of most rows (of equal ones the first by name), and their number."""
+    by_lang = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most + 1).collect()
+    total = sum(r["n"] for r in by_lang[:most])
+    if len(by_lang) <= most:
+        return labelled, total
+    learned = labelled.sparkSession.createDataFrame([(r["lang"],) for r in by_lang[:most]], "lang string")
+    return labelled.join(F.broadcast(learned), "lang", "left_semi"), total
+
+
+def train(docs: DataFrame, train_rows: int = 50_000, smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """``docs(doc_id, text, lang)`` -> languages, log-probabilities (bucket x language), log-priors."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    total = labelled.select("doc_id").count()
+    labelled, total = _common(labelled, max_languages)
     if total > train_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(train_rows / total * (1 << 30)))
     counts = labelled.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     table = np.zeros((BUCKETS + 1, len(langs)))
     places = {x: i for i, x in enumerate(langs)}
     table[counts.column("bucket").to_numpy(), [places[x] for x in counts.column("lang").to_pylist()]] = counts.column("n").to_numpy()

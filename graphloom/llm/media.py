@@ -278,12 +278,13 @@ def illustrated_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """``pages(page_id, html)`` with the stored text of the document of the page's id as a captioned figure at the article's end.
 
     -> ``page_id, position, kind, text, reference, caption`` and the features of resolved payloads: the whole sequence of
-    every page, texts and media in order. Pages without such a document have texts only.
+    every page, texts and media in order. Pages without such a document have texts only; of several documents of one id the
+    one of the least reference is shown, so that each page stands once, its positions in a row.
     """
     scratch = Scratch(pages.sparkSession, "media")
     payload = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     stored = store_payloads(docs.select(F.col("doc_id").cast("bigint").alias("id"), payload.alias("payload")), scratch)
-    shown = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).join(stored.select(F.col("id").alias("page_id"), F.col("reference").alias("shown")), "page_id", "left")
+    shown = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).join(stored.groupBy(F.col("id").alias("page_id")).agg(F.min("reference").alias("shown")), "page_id", "left")
     figure = F.concat(F.lit('<figure><img src="'), "shown", F.lit('" alt="payload"><figcaption>Payload of document '), F.col("page_id").cast("string"), F.lit("</figcaption></figure>"))
     head = F.substring_index("html", "</article>", 1)
     html = F.when(F.col("shown").isNull(), F.col("html")).otherwise(F.concat(head, figure, F.expr("substring(html, length(substring_index(html, '</article>', 1)) + 1)")))

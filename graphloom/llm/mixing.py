@@ -151,23 +151,26 @@ def _sum_before(value: Column | str, order) -> Column:
     return F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[str, ...]]:
-    """``docs`` with columns that tell its rows apart, the same each time it is read.
+def _numbered(docs: DataFrame, scratch: Scratch, file: str, row: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with columns that tell its rows apart, of the names given, the same each time it is read.
 
     Rows of a Parquet table have their file and place; what is made by a plan is written once with numbers.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         try:
-            return docs.withColumns({"_mix_file": F.xxhash64("_metadata.file_path"), "_mix_row": F.col("_metadata.row_index")}), ("_mix_file", "_mix_row")
+            return docs.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index")}), (file, row)
         except AnalysisException:  # a format without places
             pass
-    return scratch.table(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered"), ("_mix_row",)
+    return scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), (row,)
 
 
 def mix_documents(docs: DataFrame, mix: Mix, levels: dict[str, Column]) -> DataFrame:
     """The selected documents with all their columns, a row for each epoch, texts cut to their prefix."""
-    numbered, row = _numbered(docs, Scratch(docs.sparkSession, "mix"))
-    slim = numbered.select("doc_id", *(c.alias(n) for n, c in levels.items()), tokens(F.col("text")).alias("n_tokens"), *row)
-    picked = select_prefixes(slim, mix, row).select(*row, F.col("n_tokens").alias("_mix_n"), F.col("take").alias("_mix_take"))
-    text = F.when(F.col("_mix_take") < F.col("_mix_n"), F.expr("substring_index(text, ' ', cast(_mix_take AS int))")).otherwise(F.col("text"))
+    # Names longer than any of the table's and of the plan's own.
+    long = "_" * (1 + max(map(len, [*docs.columns, *levels, "n_tokens"])))
+    file, place, n, take = (f"{long}{x}" for x in "frnt")
+    numbered, row = _numbered(docs, Scratch(docs.sparkSession, "mix"), file, place)
+    slim = numbered.select("doc_id", *(c.alias(x) for x, c in levels.items()), tokens(F.col("text")).alias("n_tokens"), *row)
+    picked = select_prefixes(slim, mix, row).select(*row, F.col("n_tokens").alias(n), F.col("take").alias(take))
+    text = F.when(F.col(take) < F.col(n), F.expr(f"substring_index(text, ' ', cast({take} AS int))")).otherwise(F.col("text"))
     return numbered.join(picked, list(row)).withColumn("text", text).select(*docs.columns)

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrow_batches import small_batches
 from graphloom.llm.bitmaps import FEW, parted
 from graphloom.llm.text_arrays import BLANKS, byte_values, chunks, mix, shingles, utf8, word_hashes
 from graphloom.plans.api import connected_components
@@ -289,6 +290,11 @@ class _Finder:
 
 
 def _placed(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return _place(docs, shingle_words, percent)
+
+
+def _place(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """A row a document: ``doc_id, text_key, n_shingles, component_id, rep_key``; the component's document of least id has the text ``rep_key``."""
     scratch = Scratch(docs.sparkSession, "near")
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrow_batches import small_batches
 from graphloom.plans.scratch import Scratch
 
 GROUP = 2048
@@ -243,7 +244,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048) -> D
 def pack(cut: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame:
     """``pieces`` with ``sequence_id, offset``. A sequence id is its group's number times 2^32 and the window's there."""
     # The number of a row stands in the written table, so repeated rows part and a lost task deals as before.
-    cut = Scratch(cut.sparkSession, "pack").table(cut.withColumn("nr", F.monotonically_increasing_id()), "pieces", counted=True)
+    with small_batches(cut.sparkSession):
+        cut = Scratch(cut.sparkSession, "pack").table(cut.withColumn("nr", F.monotonically_increasing_id()), "pieces", counted=True)
     groups = max(1, -(-cut._graphloom_rows // group))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:

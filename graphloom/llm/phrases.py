@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrow_batches import small_batches
 from graphloom.llm.bitmaps import MAX_BITS, Passing, bits_for, set_positions, shared
 from graphloom.llm.importance import ranked
 from graphloom.llm.text_arrays import byte_values, chunks, gathered, mix, span_hashes, utf8, word_spans
@@ -244,7 +245,8 @@ def mine(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, in
     hundred times as often go.
     """
     scratch = Scratch(docs.sparkSession, "phrases")
-    totals, runs = frequent_runs(docs, longest, least, scratch)
+    with small_batches(docs.sparkSession):
+        totals, runs = frequent_runs(docs, longest, least, scratch)
     words = F.split("phrase", " ")
     joined = lambda at, n: F.array_join(F.slice(words, at, n), " ")
     long = runs.where("size > 1")

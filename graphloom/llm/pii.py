@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrow_batches import small_batches
+from graphloom.llm.bitmaps import FEW, parted
 from graphloom.llm.text_arrays import chunks, utf8
 from graphloom.plans.scratch import Scratch, side
 
@@ -264,7 +266,8 @@ def find(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pii")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
-    read = scratch.table(texts.mapInArrow(_read, _READ), "read")
+    with small_batches(docs.sparkSession):
+        read = scratch.table(texts.mapInArrow(_read, _READ), "read")
     seen = read.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
     found, good = found_instances(seen, how, scratch)
     hits = seen.where("NOT seed").join(side(found), "instance").select("row", "sure", "start", "end", F.concat(F.lit("l "), "left").alias("pattern"))
@@ -293,10 +296,15 @@ def redacted(text: str, spans: list[dict]) -> str:
 
 def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """All rows and columns of ``docs``, texts without what :func:`find` finds. Null texts stay null."""
-    found = find(docs, how).where(F.size("all_spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("all_spans").alias("_pii_spans"))
-    # Counted, so that texts are shuffled only if the spans are too many to broadcast.
-    found = Scratch(docs.sparkSession, "pii").table(found.dropDuplicates(["_pii_id", "_pii_key"]), "redactions", counted=True)
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_pii_key"))
+    found = find(docs, how).where(F.size("all_spans") > 0).select("doc_id", "text_key", "all_spans")
+    found = Scratch(docs.sparkSession, "pii").table(found.dropDuplicates(["doc_id", "text_key"]), "redactions", counted=True)
+    name = "_" * (1 + max(map(len, docs.columns)))
+    said = found.select(F.struct("doc_id", "text_key", "all_spans").alias(name))
+    own = [F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
+    same = own[0].eqNullSafe(F.col(f"{name}.doc_id")) & (own[1] == F.col(f"{name}.text_key"))
+    # Only texts that the bitmap takes for ones with spans are joined and rewritten.
+    hits, clear = parted(docs, own, found, found._graphloom_rows, "doc_id", "text_key")
+    met = hits.join(side(said, most=FEW, rows=found._graphloom_rows), same, "left").withColumn(name, F.col(f"{name}.all_spans"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,4 +317,4 @@ def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return docs.join(side(found), same, "left").select(*docs.columns, "_pii_spans").mapInArrow(run, docs.schema)
+    return clear.unionByName(met.select(*(docs[c] for c in docs.columns), name).mapInArrow(run, docs.schema))

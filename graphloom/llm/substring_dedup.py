@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrow_batches import small_batches
 from graphloom.llm.bitmaps import FEW, Passing, bits_for, parted, set_positions
 from graphloom.llm.text_arrays import BLANKS, byte_values, chunks, gathered, mix, powers_to, span_hashes, utf8, word_spans
 from graphloom.plans.scratch import Scratch, side
@@ -334,9 +335,10 @@ def repeated_spans(docs: DataFrame, span: int = 50) -> DataFrame:
 
 def _spans(keyed: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     graph = _Graph(keyed.where("id IS NOT NULL"), span, scratch)
-    rows = graph.occurrences()
-    different = graph.different(rows)
-    return graph.verified(graph.whole_paths(rows, different).unionByName(graph.branch_windows(rows, different)))
+    with small_batches(keyed.sparkSession):
+        rows = graph.occurrences()
+        different = graph.different(rows)
+        return graph.verified(graph.whole_paths(rows, different).unionByName(graph.branch_windows(rows, different)))
 
 
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:

@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrow_batches import small_batches
+from graphloom.llm.bitmaps import FEW, parted
 from graphloom.llm.text_arrays import NON_WORD, byte_values, chunks, mix, powers_to, utf8
-from graphloom.plans.scratch import Scratch
+from graphloom.plans.scratch import Scratch, side
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -261,17 +263,20 @@ def predict(docs: DataFrame, labels: DataFrame, training: Column, how: Training
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training: Column, how: Training = Training(), limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score under ``limit``; no text is shuffled."""
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    machine = train(plain, labels, training, how)
-    shared = docs.sparkSession.sparkContext.broadcast((machine.base, machine.linear, machine.factors))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(*shared.value)
-        for batch in batches:
-            keep = np.empty(batch.num_rows, bool)
-            for first, end, terms, bounds in term_buckets(batch.column("text").cast(pa.string())):
-                keep[first:end] = machine.scores(terms, bounds) < limit
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs``, all columns, that score under ``limit``.
+
+    The scores are taken once; what they reject is a narrow table, and only texts that its bitmap takes for rejected ones
+    are shuffled.
+    """
+    own = [F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
+    plain = docs.select(own[0].alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(docs.sparkSession):
+        machine = train(plain, labels, training, how)
+        shared = docs.sparkSession.sparkContext.broadcast((machine.base, machine.linear, machine.factors))
+        scored = plain.select("doc_id", own[1].alias("text_key"), "text").mapInArrow(_scorer(shared), "doc_id long, text_key long, score double")
+        rejected = Scratch(docs.sparkSession, "toxicity").table(scored.where(F.col("score") >= limit).select("doc_id", "text_key").distinct(), "rejected", counted=True)
+    name = "_" * (1 + max(map(len, docs.columns)))
+    said = rejected.select(F.struct("doc_id", "text_key").alias(name))
+    same = own[0].eqNullSafe(F.col(f"{name}.doc_id")) & (own[1] == F.col(f"{name}.text_key"))
+    hits, clear = parted(docs, own, rejected, rejected._graphloom_rows, "doc_id", "text_key")
+    return clear.unionByName(hits.join(side(said, most=FEW, rows=rejected._graphloom_rows, fixed=True), same, "left_anti"))

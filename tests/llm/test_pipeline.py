@@ -5,6 +5,8 @@ import random
 import pyarrow as pa
 import pytest
 
+from graphloom.llm.arrow_batches import small_batches
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -43,6 +45,7 @@ def test_empty(spark, make_docs, tmp_path):
 
 
 def test_texts_go_in_small_batches(spark, make_docs):
+    """In what a stage runs itself; the session's setting is put back, also after an error."""
     docs = make_docs([(i, "word " * 400) for i in range(6000)]).select("doc_id", "text").coalesce(1)
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(bound)
@@ -51,12 +54,35 @@ def test_texts_go_in_small_batches(spark, make_docs):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
 
-    try:
-        corpus_pipeline.pack_tokens(spark, docs, "")
+    with small_batches(spark):
         got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
-        assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 4_500_000
+    assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 4_500_000
+    assert spark.conf.get(bound) == before
+    corpus_pipeline.pack_tokens(spark, docs, "").count()
+    assert spark.conf.get(bound) == before
+    try:
         spark.conf.set(bound, "1m")
-        corpus_pipeline._small_batches(spark)
+        with pytest.raises(KeyError), small_batches(spark):
+            assert spark.conf.get(bound) == "1m"
+            raise KeyError
         assert spark.conf.get(bound) == "1m"
     finally:
         spark.conf.set(bound, before)
+
+
+def test_stages_keep_columns_of_any_name(spark, make_docs, prose, tmp_path):
+    """Columns with names that the stages could use come out as they went in."""
+    names = ["_mix_row", "_mix_file", "_mix_n", "_mix_take", "_pii_spans", "_pii_id", "_pii_key", "text_key", "all_spans", "__________"]
+    rows = [(i, prose(40, i) + (" call +49 30 1234567890" if i % 3 else "") + (" scum moron" if i % 5 == 0 else ""), "en", "src1") for i in range(30)]
+    docs = make_docs(rows)
+    for n in names:
+        docs = docs.withColumn(n, docs.doc_id.cast("string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[n] == str(r.doc_id) for r in kept for n in names)
+    assert "[PHONE]" in " ".join(r.text for r in corpus_pipeline.redact_personal_data(spark, now, "").collect())
