@@ -21,39 +21,23 @@ from graphloom.llm.queries import MIX, learns, mix_levels, tokenizer_path
 from graphloom.plans.scratch import Scratch
 
 
-#: Texts go to Python workers in Arrow batches of about so many bytes at most. Spark's own bound of 64 MB a batch makes each of
-#: an executor's tasks hold several buffers of that size on both sides, outside of the heap, where they are hardly given back.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Lower the session's bound, which lazy results read when they run; a lower one stays."""
-    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
-    if not 0 < bound <= BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that score 0.5 or more go."""
-    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.drop_toxic(docs, labels, learns(5, 0))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group of near duplicates (five words, 0.8) the document of the least id stays."""
-    _small_batches(spark)
     return near_dup.keep_one(docs, shingle_words=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: personal data gives way to its kind in brackets."""
-    _small_batches(spark)
     return _counted(pii.redact(docs))
 
 
@@ -64,7 +48,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: token pieces in windows of 2048."""
-    _small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path(), end_id=1, window=2048)
 
 
