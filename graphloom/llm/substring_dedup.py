@@ -6,10 +6,11 @@ window by window:
 1. *Chunks.* A window's minimizer is the least hash among its runs of ``SEED`` words. Windows in a row with one minimizer are
    a chunk, some 17 windows on average. Equal windows have equal minimizers, so only chunks whose minimizer is met
    again can hold a repeat; a bitmap lets these pass (and few others), and only they are written.
-2. *Paths.* Of each different chunk the occurrences are counted and the least (doc_id, place) is kept as its source. Two
-   chunks that always follow one another, as equal counts, one successor and adjoining sources tell, are a nonbranching
-   piece of the graph: pointers to predecessors are doubled by joins until each path is one row. Where a path occurs in a
-   document after its source's, all its windows are repeats.
+2. *Paths.* Of each different chunk the occurrences are counted and the least (doc_id, place) is kept as its source. A join
+   of chunks with their successors finds the nonbranching links: two chunks that always follow one another, as equal
+   counts, one successor and adjoining sources tell. Linked chunks stand in a row in their source's text, so numbering the
+   links there makes each path one row, however long. Where a path occurs in a document after its source's, all its windows
+   are repeats.
 3. *Branches.* Chunks that share a minimizer but are not equal share some windows at most. Their windows are listed one by
    one, but only for the first document that has the chunk: all later ones are settled by step 2. The least (doc_id, place)
    of each window is its source; windows in a row with sources in a row are one span.
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow_batches import small_batches
@@ -257,45 +258,33 @@ class _Graph:
 
     def paths(self, chunks_: DataFrame) -> DataFrame:
         """Nonbranching paths of repeated chunks: the first chunk of each with the windows of all."""
-        scratch, often = self.scratch, chunks_.where("met > 1")
-        ahead = often.where("after IS NOT NULL").select(F.col("c1").alias("before"), F.col("after").alias("c1"), F.col("met").alias("met_b"), F.col("n").alias("back"), F.col("source").alias("source_b"))
-        joins = "met = met_b AND source.id = source_b.id AND source.key = source_b.key AND source.at = source_b.at + back"
-        links = scratch.table(often.join(ahead, "c1").where(joins).groupBy("c1").agg(F.min(F.struct("before", "back")).alias("p")).select("c1", "p.before", "p.back"), "links", counted=True)
-        # Each linked chunk points back over ever longer ways; a pointer to a chunk that has none itself is at the head.
-        while links._graphloom_rows:
-            seen = Observation()
-            further = links.join(side(links.toDF("before", "further", "more"), rows=links._graphloom_rows), "before", "left")
-            moved = F.coalesce(F.sum(F.col("further").isNotNull().cast("bigint")), F.lit(0)).alias("moved")
-            next_ = further.observe(seen, moved).select("c1", F.coalesce("further", "before").alias("before"), (F.col("back") + F.coalesce("more", F.lit(0))).alias("back"))
-            next_ = scratch.table(next_, "links", counted=True)
-            scratch.drop(links)
-            links = next_
-            if not seen.get["moved"]:
-                break
-        if not links._graphloom_rows:
-            return often.select("c1", "c2", "source", F.col("n").alias("windows"))
-        linked = often.join(side(links), "c1", "left")
-        tails = linked.where("before IS NOT NULL").groupBy(F.col("before").alias("c1")).agg(F.max(F.col("back") + F.col("n")).alias("windows"))
-        heads = linked.where("before IS NULL").select("c1", "c2", "source", "n").join(side(scratch.table(tails, "tails", counted=True)), "c1", "left")
-        return heads.select("c1", "c2", "source", F.coalesce("windows", "n").alias("windows"))
+        often = chunks_.where("met > 1")
+        ahead = often.where("after IS NOT NULL").select(F.col("after").alias("c1"), F.col("met").alias("met_b"), F.struct("source.id", "source.key", (F.col("source.at") + F.col("n")).alias("at")).alias("joins"))
+        ahead = side(self.scratch.table(ahead, "ahead", counted=True), fixed=True)
+        linked = often.join(ahead, "c1", "left").withColumn("linked", F.coalesce((F.col("met") == F.col("met_b")) & (F.col("source") == F.col("joins")), F.lit(False)))
+        linked = linked.groupBy("c1", "c2", "source", "n").agg(F.max("linked").alias("linked"))
+        # A path's chunks stand in a row in the text of its source, and each but the first is linked to the one before.
+        text = Window.partitionBy("source.id", "source.key").orderBy("source.at")
+        numbered = linked.withColumn("path", F.sum((~F.col("linked")).cast("bigint")).over(text))
+        return numbered.groupBy("source.id", "source.key", "path").agg(F.min_by(F.struct("c1", "c2", "source"), "source.at").alias("head"), F.sum("n").alias("windows")).select("head.*", "windows")
 
     def whole_paths(self, rows: DataFrame, chunks_: DataFrame) -> DataFrame:
         """Spans of paths that begin in an earlier document."""
         paths = self.scratch.table(self.paths(chunks_), "paths", counted=True)
-        spans = rows.select("id", "key", "at", "c1", "c2").join(side(paths), ["c1", "c2"]).where("source.id < id")
+        spans = rows.select("id", "key", "at", "c1", "c2").join(side(paths, fixed=True), ["c1", "c2"]).where("source.id < id")
         return spans.select("id", "key", "at", F.col("windows").alias("n"), "source")
 
     def branch_windows(self, rows: DataFrame, chunks_: DataFrame) -> DataFrame:
         """Spans of windows that unlike chunks share, for the first document of each chunk."""
         scratch = self.scratch
         shared = scratch.table(chunks_.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"), "branching", counted=True)
-        unlike = scratch.table(chunks_.join(side(shared), "m", "left_semi").select("c1", "c2", F.col("source.id").alias("first")), "unlike", counted=True)
-        wanted = rows.select("id", "key", "at", "n", "c1", "c2").join(side(unlike), ["c1", "c2"]).where("id = first").select("id", "key", "at", "n")
+        unlike = scratch.table(chunks_.join(side(shared, fixed=True), "m", "left_semi").select("c1", "c2", F.col("source.id").alias("first")), "unlike", counted=True)
+        wanted = rows.select("id", "key", "at", "n", "c1", "c2").join(side(unlike, fixed=True), ["c1", "c2"]).where("id = first").select("id", "key", "at", "n")
         windows = scratch.table(self.texts(wanted, "windows").mapInArrow(_window_rows(self.span), "id long, key long, at long, h1 long, h2 long"), "windows")
         place = F.struct("id", "key", "at")
         known = windows.groupBy("h1", "h2").agg(F.min(place).alias("source"), F.max("id").alias("last")).where("source.id < last").drop("last")
         known = scratch.table(known, "known", counted=True)
-        found = windows.join(side(known), ["h1", "h2"]).where("source.id < id").select("id", "key", "at", "source").distinct()
+        found = windows.join(side(known, fixed=True), ["h1", "h2"]).where("source.id < id").select("id", "key", "at", "source").distinct()
         found = found.withColumn("ahead", F.col("at") - F.col("source.at"))
         way = Window.partitionBy("id", "key", "source.id", "source.key", "ahead")
         runs = found.withColumn("run", F.col("at") - F.row_number().over(way.orderBy("at")))
@@ -316,8 +305,8 @@ class _Graph:
         digests = both.mapInArrow(_digests(self.span), "id long, key long, at long, n long, digest binary").dropDuplicates(["id", "key", "at", "n"])
         digests = self.scratch.table(digests, "digests", counted=True)
         right = digests.select(F.struct("id", "key", "at").alias("source"), "n", F.col("digest").alias("there"))
-        here = spans.join(side(digests), ["id", "key", "at", "n"])
-        return here.join(side(right, rows=digests._graphloom_rows), ["source", "n"]).where("digest = there").select("id", "key", "at", "n", "source")
+        here = spans.join(side(digests, fixed=True), ["id", "key", "at", "n"])
+        return here.join(side(right, rows=digests._graphloom_rows, fixed=True), ["source", "n"]).where("digest = there").select("id", "key", "at", "n", "source")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
