@@ -1,11 +1,10 @@
 """One half round each: every operator maps edges to edges and keeps connectivity.
 
-A star needs the minima around each node beside each of its neighbours. The neighbours of ``g`` are dealt by ``(g, q)``
-with ``q`` the partition of the neighbour, so that a hub with a third of all edges falls into as many groups as there
-are partitions and never sits in one task. That one exchange serves the removal of repeats, the minimum of each group and
-the join that brings the minima back; between, at most one row a group goes by ``g`` to be compared and back: three
-exchanges in all. Filters on the neighbour are worded with the minima, since Catalyst would push a plain one into one
-of the two readers of the first exchange and so make it twice.
+A star needs the minima around each node beside each neighbour that it links. Only these neighbours are dealt as rows, by
+``(g, q)`` with ``q`` the partition of the neighbour, so that a hub with a third of all edges falls into as many groups as
+there are partitions and never sits in one task. All other neighbours count for the minima alone: each task combines them to
+one row a group before they are sent. At most a row a group then goes by ``g`` to be compared, and back to the groups that
+have rows. Four exchanges in all, of which the first holds each edge once and the others a row a group.
 
 Output columns: ``u, v`` [``leaf, route``] and ``ch``, true where the row is a change.
 """
@@ -26,28 +25,37 @@ def _salt(edges: DataFrame) -> PartitionFn:
     return PartitionFn(max(SALTS, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _around(rows: DataFrame, p: PartitionFn) -> DataFrame:
-    """``rows(g, x[, leaf])`` without repeats, each with the minima around it.
+def _around(rows: DataFrame, p: PartitionFn, linked: str | None = None) -> DataFrame:
+    """Those ``rows(g, x[, leaf | hi])`` that are ``linked`` (None: all), without repeats, each with the minima around g over all rows.
 
     ``m``: least neighbour of ``g`` in x's partition; ``lo``, ``top``: least and greatest neighbour; ``own``: least
-    neighbour in g's own partition, if any; ``star`` (with ``leaf``): whether all neighbours are leaves; ``home``: x is in
-    g's own partition.
+    neighbour in g's own partition, if any; ``degree``: linked neighbours of g; ``home``: x is in g's own partition;
+    ``star`` (with ``leaf``): whether all neighbours are leaves; ``low_hi`` (with ``hi``): the flag of the least one.
     """
-    dealt = rows.withColumn("q", p(F.col("x"))).where("g IS NOT NULL AND x IS NOT NULL AND q IS NOT NULL").repartition("g", "q").distinct()
-    found = [F.min("x").alias("m"), F.max("x").alias("most")]
-    if "leaf" in rows.columns:
-        found.append(F.bool_and("leaf").alias("leafy"))
-    groups = dealt.groupBy("g", "q").agg(*found).withColumn("home", F.col("q") == p(F.col("g")))
+    whole = rows.withColumn("q", p(F.col("x"))).where("g IS NOT NULL AND x IS NOT NULL AND q IS NOT NULL")
+    sent = whole.where(linked) if linked else whole
+    dealt = sent.repartition("g", "q")
+    dealt = dealt.groupBy("g", "q", "x").agg(F.bool_or("hi").alias("hi")) if "hi" in rows.columns else dealt.distinct()
+    more = {"leaf": {"leafy": F.bool_and("leaf")}, "hi": {"low": F.min(F.struct("x", "hi"))}}
+    found = {"m": F.min("x"), "most": F.max("x"), "d": F.count("*")} | {k: f for c in more if c in rows.columns for k, f in more[c].items()}
+    groups = dealt.groupBy("g", "q").agg(*(f.alias(k) for k, f in found.items()))
+    if linked:
+        one = {"m": F.col("x"), "most": F.col("x"), "d": F.lit(0).cast("bigint")} | ({"leafy": F.col("leaf")} if "leaf" in rows.columns else {})
+        rest = whole.where(f"NOT ({linked})").select("g", "q", *(f.alias(k) for k, f in one.items()))
+        again = {"m": F.min("m"), "most": F.max("most"), "d": F.sum("d")} | ({"leafy": F.bool_and("leafy")} if "leaf" in rows.columns else {})
+        groups = groups.unionByName(rest).groupBy("g", "q").agg(*(f.alias(k) for k, f in again.items()))
+    groups = groups.withColumn("home", F.col("q") == p(F.col("g")))
     node = Window.partitionBy("g")  # at most a row a partition
-    over = {"lo": F.min("m"), "top": F.max("most"), "own": F.min(F.when(F.col("home"), F.col("m")))}
+    over = {"lo": F.min("m"), "top": F.max("most"), "own": F.min(F.when(F.col("home"), F.col("m"))), "degree": F.sum("d")}
     if "leaf" in rows.columns:
         over["star"] = F.bool_and("leafy")
-    minima = groups.withColumns({name: f.over(node) for name, f in over.items()}).drop("most", "leafy")
-    return dealt.join(minima, ["g", "q"])
+    if "hi" in rows.columns:
+        over["low_hi"] = F.min("low")
+    minima = groups.withColumns({name: f.over(node) for name, f in over.items()}).where("d > 0")
+    return dealt.join(minima.drop("most", "leafy", "low", "d"), ["g", "q"])
 
 
-#: Neighbours above and below g; the second halves are always true.
-_LARGER, _SMALLER = "x > greatest(g, least(lo, g))", "x < least(g, greatest(lo, g))"
+_LARGER, _SMALLER = "x > g", "x < g"
 #: Least of x's partition with g itself, where it is there; the target that prefers it; the same for g's own row.
 _LEAST = "CASE WHEN home THEN least(m, g) ELSE m END"
 _TARGET = f"CASE WHEN ({_LEAST}) <> x THEN {_LEAST} ELSE least(g, lo) END"
@@ -56,7 +64,7 @@ _OWN_TARGET = "CASE WHEN least(own, g) <> g THEN own ELSE least(g, lo) END"
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the least id around that node."""
-    return _around(mirror(edges), _salt(edges)).where(_LARGER).selectExpr("x AS u", "least(g, lo) AS v", "lo < g AS ch")
+    return _around(mirror(edges), _salt(edges), _LARGER).selectExpr("x AS u", "least(g, lo) AS v", "lo < g AS ch")
 
 
 def _down(edges: DataFrame) -> DataFrame:
@@ -71,7 +79,7 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 def pa_large_star(edges: DataFrame, p: PartitionFn) -> DataFrame:
     """Large star that prefers the least neighbour in the linked node's own partition."""
-    return _around(mirror(edges), p).where(_LARGER).selectExpr("x AS u", f"{_TARGET} AS v", f"({_TARGET}) <> g AS ch")
+    return _around(mirror(edges), p, _LARGER).selectExpr("x AS u", f"{_TARGET} AS v", f"({_TARGET}) <> g AS ch")
 
 
 def pa_small_star(edges: DataFrame, p: PartitionFn) -> DataFrame:
@@ -86,7 +94,7 @@ def pa_large_star_routed(edges: DataFrame, p: PartitionFn) -> DataFrame:
     ``cc``: the whole component is a finished star. ``in``: a leaf that found its partition's minimum.
     ``out``: stays in the loop.
     """
-    return _around(mirror_by_leaf(edges), p).where(_LARGER).selectExpr(
+    return _around(mirror_by_leaf(edges), p, _LARGER).selectExpr(
         "x AS u",
         f"CASE WHEN star THEN g ELSE {_TARGET} END AS v",
         "false AS leaf",
@@ -97,7 +105,7 @@ def pa_large_star_routed(edges: DataFrame, p: PartitionFn) -> DataFrame:
 
 def pa_small_star_routed(edges: DataFrame, p: PartitionFn) -> DataFrame:
     """:func:`pa_small_star` over mirrored edges that routes settled nodes out and flags new leaves."""
-    return _around(mirror(edges), p).where(_SMALLER).selectExpr(
+    return _around(mirror(edges), p, _SMALLER).selectExpr(
         "CASE WHEN x = lo THEN g ELSE x END AS u",
         f"CASE WHEN x = lo THEN {_OWN_TARGET} ELSE {_TARGET} END AS v",
         "x = lo AND coalesce(least(own, g), g) = g AND top <= g AS leaf",
@@ -129,19 +137,17 @@ def hub_large_star(edges: DataFrame, parts: int) -> DataFrame:
         return F.struct(F.col(g).alias("g"), F.col(x).alias("x"))
 
     links = F.when(F.col("sp"), F.array(pair("a", "k"), pair("k", "b"))).otherwise(F.array(pair("a", "b"), pair("b", "a")))
-    nb = rows.select(F.inline(links)).distinct()
-    around = nb.groupBy("g").agg(F.least("g", F.min("x")).alias("mu"), F.count("*").alias("d"))
-    return nb.join(around, "g").where("x > g").selectExpr(
-        "x AS u", "CASE WHEN g.id = mu.id THEN g ELSE mu END AS v", f"g.id = mu.id AND d > {int(parts)} AND g.cp = 0 AS hi", "g.id <> mu.id AS ch"
+    # A hub's copies and its unsplit neighbours are dealt by node and salt as in the plain stars.
+    around = _around(rows.select(F.inline(links)), _salt(edges), _LARGER)
+    return around.withColumn("mu", F.least("g", "lo")).selectExpr(
+        "x AS u", "CASE WHEN g.id = mu.id THEN g ELSE mu END AS v", f"g.id = mu.id AND degree > {int(parts)} AND g.cp = 0 AS hi", "g.id <> mu.id AS ch"
     )
 
 
 def hub_small_star(edges: DataFrame) -> DataFrame:
     """Small star over hub edges; the flag of the least end goes with it."""
-    nb = edges.groupBy(F.col("u").alias("g"), F.col("v").alias("x")).agg(F.bool_or("hi").alias("hi"))
-    least = nb.groupBy("g").agg(F.min("x").alias("mu"), F.min_by("hi", "x").alias("muh"))
-    members = nb.select("g", "x").unionAll(least.select("g", F.col("g").alias("x")))
-    return members.join(least, "g").where("x <> mu").selectExpr("x AS u", "mu AS v", "muh AS hi", "x <> g AS ch")
+    rows = edges.select(F.col("u").alias("g"), F.col("v").alias("x"), "hi")
+    return _around(rows, _salt(edges)).selectExpr("CASE WHEN x = lo THEN g ELSE x END AS u", "lo AS v", "low_hi.hi AS hi", "x <> lo AS ch")
 
 
 def hub_labels(edges: DataFrame) -> DataFrame:

@@ -124,19 +124,54 @@ def exchanges(df):
     return plan.count(" Exchange ") - plan.count("ReusedExchange")
 
 
-def test_stars_need_three_exchanges(spark, tmp_path):
-    """With broadcasts off, as between large sides."""
+def test_stars_need_few_exchanges(spark, tmp_path):
+    """With broadcasts off, as between large sides: three where every neighbour is linked, one more where others are combined."""
     frame(spark, tree_like(400)).selectExpr("greatest(u, v) AS u", "least(u, v) AS v", "u % 3 = 0 AS leaf").where("u <> v").write.parquet(str(tmp_path / "e"))
     edges, p = spark.read.parquet(str(tmp_path / "e")), PartitionFn(4)
+    hub = stars.to_hub_edges(edges)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        made = [stars.large_star(edges), stars.small_star(edges), stars.pa_large_star(edges, p), stars.pa_small_star(edges, p), stars.pa_large_star_routed(edges, p), stars.pa_small_star_routed(edges, p)]
-        assert [exchanges(df) for df in made] == [3] * 6
+        assert [exchanges(df) for df in (stars.small_star(edges), stars.pa_small_star(edges, p), stars.hub_small_star(hub))] == [3] * 3
+        made = [stars.large_star(edges), stars.pa_large_star(edges, p), stars.pa_large_star_routed(edges, p), stars.pa_small_star_routed(edges, p), stars.hub_large_star(hub, 4)]
+        assert [exchanges(df) for df in made] == [4] * 5
         assert exchanges(stars.localize(edges, p)) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def shuffled(spark, df):
+    """Rows that the exchanges of a run wrote, by the plan's own counters."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    total, todo = [], [run.executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name in ("ShuffleQueryStageExec", "ResultQueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            total.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return sorted(total)
+
+
+def test_neighbours_that_are_not_linked_are_combined(spark, tmp_path):
+    """A node of many smaller neighbours sends one row a partition and task for them, not one each."""
+    edges = [(9000, i) for i in range(4000)] + [(9001, i) for i in range(4000)]
+    frame(spark, edges).coalesce(1).write.parquet(str(tmp_path / "e"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = shuffled(spark, stars.pa_large_star(spark.read.parquet(str(tmp_path / "e")), PartitionFn(4)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The linked rows once; a group for each of 4000 nodes with a linked neighbour, and for the two hubs and four partitions.
+    assert max(got) <= 8008 and sum(got) < 8000 + 3 * 8100
+
+
 def test_only_labels_stay_on_disk(spark):
     edges = GRAPHS["random"] + GRAPHS["star"]
     got = connected_components(frame(spark, edges), "pa_filtered", 3, 0)
