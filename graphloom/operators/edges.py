@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.partitioner import PartitionFn
+from graphloom.plans.ranges import ranked
+from graphloom.plans.scratch import Scratch, side
 
 
 def mirror(edges: DataFrame) -> DataFrame:
@@ -40,12 +42,22 @@ def drop_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v")
 
 
-def star_group(edges: DataFrame) -> DataFrame:
-    """``(node, neighbours)``: the sorted neighbour set of each node as an array.
+#: Neighbours in one row of a star's group.
+GROUP_ROWS = 10_000
 
-    Only for reports over nodes of bounded degree: the algorithms never build these arrays.
+
+def star_group(edges: DataFrame, size: int = GROUP_ROWS) -> DataFrame:
+    """``(node, chunk, neighbours)``: the sorted neighbour set of each node in arrays of ``size``, numbered from 0.
+
+    Neighbours are numbered by ranges of (node, neighbour), so a hub is dealt over as many tasks as it needs and no row
+    holds more than ``size`` of its neighbours.
     """
-    return neighbours(edges).groupBy(F.col("g").alias("node")).agg(F.sort_array(F.collect_set("x")).alias("neighbours"))
+    scratch = Scratch(edges.sparkSession, "groups")
+    placed = scratch.table(ranked(neighbours(edges).where("g IS NOT NULL AND x IS NOT NULL"), [F.col("g").asc(), F.col("x").asc()], scratch), "placed")
+    starts = scratch.table(placed.groupBy("g").agg(F.min("place").alias("start")), "starts", counted=True)
+    chunk = F.floor((F.col("place") - F.col("start")) / size).cast("bigint")
+    rows = placed.join(side(starts), "g").select(F.col("g").alias("node"), chunk.alias("chunk"), "x")
+    return rows.groupBy("node", "chunk").agg(F.sort_array(F.collect_list("x")).alias("neighbours"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -79,12 +79,12 @@ def cc_computation(edges: DataFrame, p: PartitionFn) -> DataFrame:
     """``(node, component)`` of the non-roots, solved apart in each partition ``p(u)``.
 
     Right for edges in which every non-root reaches its root inside its own partition, as the partition-aware
-    plans leave them. ``p`` must have partitions enough for one to fit in a task.
+    plans leave them. Edges are folded as they stream by, so a task holds the nodes of its partition, not its edges.
     """
 
-    def solve(key: tuple, group: pa.Table) -> pa.Table:
-        out = pa.Table.from_batches([forest(*(group.column(c).to_numpy() for c in ("u", "v")))]).rename_columns(["node", "component"])
-        return out.append_column("part", pa.array(np.full(out.num_rows, key[0].as_py())))
+    def solve(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _sketch(batch.select(["u", "v"]) for batch in batches):
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, key[0].as_py(), np.int64))], names=["node", "component", "part"])
 
     solved = edges.select("u", "v").withColumn("part", p(F.col("u"))).groupBy("part").applyInArrow(solve, "node long, component long, part long")
     # Each node's own partition labels it; a parent seen from elsewhere is labelled there again and goes.

@@ -35,10 +35,18 @@ def connected_components(
     scratch = Scratch(spark, "cc")
     labels = scratch.table(ALGORITHMS[algorithm](clean, opts, scratch), "labels")
     scratch.keep(labels)
+    labels._graphloom_run = scratch
     metrics.lap("compute_s")
     return with_roots(labels, clean) if include_roots else labels
 
 
+def release(labels: DataFrame) -> None:
+    """Delete the labels that :func:`connected_components` has written, once they have been used; roots must not be included."""
+    run = getattr(labels, "_graphloom_run", None)
+    if run is not None:
+        run.close()
+
+
 def with_roots(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels of all nodes of ``edges``: what carries no label is its own root."""
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()

@@ -80,18 +80,20 @@ class Scratch:
         """Delete a table that no later step reads."""
         path = getattr(df, "_graphloom_path", None)
         if path:
-            _delete(self.spark, path)
+            remove(self.spark, path)
 
     def keep(self, df: DataFrame) -> None:
         """Delete all tables of this run but one."""
         for path in self._paths:
             if not f"{df._graphloom_path}/".startswith(f"{path}/"):
-                _delete(self.spark, path)
+                remove(self.spark, path)
         self._paths = [df._graphloom_path]
 
     def close(self) -> None:
         """Delete all tables of this run. Lazy results that read them must have been used."""
-        _delete(self.spark, self.root)
+        remove(self.spark, self.root)
+        if self in _OPEN:
+            _OPEN.remove(self)
 
 
 def side(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None, fixed: bool = False) -> DataFrame:
@@ -110,7 +112,8 @@ def side(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None, fix
 _OPEN: list[Scratch] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

@@ -78,7 +78,6 @@ _components("cc_union_find", "order_part", algorithm="union_find")
 _components("cc_all_nodes", "order_part", include_roots=True)
 _components("cc_local_gate", "order_part", local_threshold=1_000_000)
 _components("cc_no_gate", "order_part", num_partitions=8, local_threshold=0)
-_components("cc_sparse", "order_part")
 _components("cc_single_giant", "part_supp_all")
 _components("cc_star_forest", "cust_order_star")
 _components("cc_chains", "order_chain")
@@ -155,7 +154,12 @@ _one_round(
     "k AS (SELECT DISTINCT v u, u v, v % 8 q FROM e), a AS (SELECT v, q, min(u) m FROM k GROUP BY v, q) SELECT k.u, CASE WHEN k.u <> a.m THEN a.m ELSE k.v END v FROM k JOIN a ON a.v = k.v AND a.q = k.q",
     lambda e: stars.localize(e.select(F.col("v").alias("u"), F.col("u").alias("v")), P8),
 )
-_one_round("op_star_group", "order_part", f"{_NB} SELECT g node, array_to_string(list_sort(list(x)), ',') neighbours FROM nb GROUP BY g", lambda e: E.star_group(e).withColumn("neighbours", F.array_join("neighbours", ",")))
+_one_round(
+    "op_star_group",
+    "part_supp_all",
+    f"{_NB}, r AS (SELECT g, x, (row_number() OVER (PARTITION BY g ORDER BY x) - 1) // 16 chunk FROM nb) SELECT g node, chunk, array_to_string(list_sort(list(x)), ',') neighbours FROM r GROUP BY g, chunk",
+    lambda e: E.star_group(e, 16).withColumn("neighbours", F.array_join("neighbours", ",")),
+)
 _one_round("op_degree", "part_supp_all", f"{_NB} SELECT g node, count(*) AS degree FROM nb GROUP BY g", E.degrees)
 _one_round("op_hub_nodes", "part_supp_all", f"{_NB} SELECT g node, count(*) AS degree FROM nb GROUP BY g HAVING count(*) > 16", lambda e: E.hubs(e, 16))
 _one_round(
@@ -206,9 +210,9 @@ _one_round(
 _one_round(
     "op_long_hash",
     "wide_ids",
-    "f AS (SELECT u, xor(u, u >> 32) & 4294967295 h FROM e WHERE u >= 0), "
+    "f AS (SELECT u, xor(u, u >> 32) & 4294967295 h FROM e), "
     "r AS (SELECT DISTINCT u, ((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 8 + 8) % 8 p FROM f) SELECT * FROM r",
-    lambda e: e.where("u >= 0").select("u", PartitionFn(8, "long_hash")(F.col("u")).alias("p")).distinct(),
+    lambda e: e.select("u", PartitionFn(8, "long_hash")(F.col("u")).alias("p")).distinct(),
 )
 _one_round("op_is_star", "order_part", f"{_LEAFY} SELECT g node, bool_and(leaf) star FROM nb GROUP BY g", lambda e: E.is_star(_flagged(e)))
 _one_round("op_is_leaf", "order_part", f"{_NB} SELECT g node, max(x) <= g leaf FROM nb GROUP BY g", E.is_leaf)

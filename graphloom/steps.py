@@ -2,7 +2,7 @@
 
 Steps read edges ``(u, v)`` (routed steps also ``leaf``), write their rows, and print the rows read and written and the
 changes. ``init`` reads a text edge list, ``union-find`` reads text and writes text labels with the roots, ``local-cc``
-solves Parquet edges in one task. The ``hub-`` steps work on the edges that ``hub-init`` makes of plain ones; ``hub-labels``
+solves Parquet edges in one task where a sketch of them fits, by rounds above. The ``hub-`` steps work on the edges that ``hub-init`` makes of plain ones; ``hub-labels``
 makes labels of converged ones.
 """
 
@@ -11,14 +11,14 @@ from __future__ import annotations
 import argparse
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.partitioner import KINDS, PartitionFn
 from graphloom.operators import local, stars
 from graphloom.plans.algorithms import MAX_LOCAL_THRESHOLD, ONE_TASK
 from graphloom.plans.api import connected_components
-from graphloom.sources.edges import read_edges_text, write_labels_text, write_routed
+from graphloom.sources.edges import counted_edges_text, read_edges_text, write_labels_text, write_routed
 
 
 def _with_leaf(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ STEPS: dict[str, Callable[[DataFrame, PartitionFn], DataFrame]] = {
     "localize": stars.localize,
     "sketch-localize": lambda e, p: stars.localize(local.sketch(e), p),
     "cc-computation": lambda e, p: local.cc_computation(e, p),
-    "local-cc": lambda e, p: local.local_cc(e.where("u <> v"), MAX_LOCAL_THRESHOLD).toDF("node", "component"),
+    "local-cc": lambda e, p: connected_components(e, local_threshold=MAX_LOCAL_THRESHOLD),
     "hub-init": lambda e, p: stars.to_hub_edges(e),
     "hub-large-star": lambda e, p: stars.hub_large_star(e, p.parts),
     "hub-small-star": lambda e, p: stars.hub_small_star(e),
@@ -44,10 +44,15 @@ STEPS: dict[str, Callable[[DataFrame, PartitionFn], DataFrame]] = {
 }
 
 
-def convert_text(spark: SparkSession, source: str, target: str, mode: str = "DROPMALFORMED") -> int:
-    """A text edge list to Parquet; returns the number of edges."""
-    read_edges_text(spark, source, mode=mode).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target).count()
+def convert_text(spark: SparkSession, source: str, target: str, mode: str = "DROPMALFORMED") -> dict[str, int]:
+    """A text edge list to Parquet in one pass; returns the lines read, the edges kept and the malformed lines skipped."""
+    edges, seen = counted_edges_text(spark, source)
+    if mode == "FAILFAST":
+        seen = Observation()
+        edges = read_edges_text(spark, source).observe(seen, F.count("*").alias("read"), F.lit(0).cast("bigint").alias("skipped"))
+    edges.write.mode("overwrite").parquet(target)
+    found = seen.get
+    return {"input": found["read"], "output": found["read"] - found["skipped"], "skipped": found["skipped"]}
 
 
 def label_text(spark: SparkSession, source: str, target: str, limit: int = ONE_TASK) -> int:
@@ -76,7 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     got = args.parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"graphloom {got.step}").getOrCreate()
     if got.step == "init":
-        print("output", convert_text(spark, got.input, got.output))
+        print(*(f"{k} {v}" for k, v in convert_text(spark, got.input, got.output).items()))
     elif got.step == "union-find":
         print("output", label_text(spark, got.input, got.output))
     else:

@@ -9,8 +9,10 @@ import pytest
 from graphloom import RunMetrics, component_sizes, connected_components, steps
 from graphloom.functions.partitioner import PartitionFn
 from graphloom.operators import local, stars
-from graphloom.plans import algorithms
+from graphloom.operators.edges import star_group
+from graphloom.plans import algorithms, scratch
 from graphloom.plans.algorithms import ALGORITHMS, NotConverged, Options
+from graphloom.plans.api import release
 from graphloom.sources.edges import read_labels_text
 from graphloom.streaming.incremental import maintain, merge_labels
 
@@ -244,10 +246,47 @@ def test_extra_columns_and_nulls(spark):
     assert sorted(map(tuple, component_sizes(connected_components(edges)).collect())) == [(1, 3)]
 
 
+def test_partition_solve_folds_as_edges_stream(spark, monkeypatch):
+    """One partition of many batches: folds hold nodes, and the labels are the same."""
+    monkeypatch.setattr(local, "FOLD", 50)
+    edges = [(v, u) for u, v in non_roots(tree_like(400)) for _ in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = labels(local.cc_computation(frame(spark, [(b, a) for a, b in edges]), PartitionFn(1)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == non_roots(edges)
+
+
+def test_hub_groups_come_in_chunks(spark):
+    edges = [(0, i) for i in range(1, 501)] + [(7, 8), (8, 7)]
+    got = star_group(frame(spark, edges).repartition(3), 64).orderBy("node", "chunk").collect()
+    hub = [r for r in got if r.node == 0]
+    assert [r.chunk for r in hub] == list(range(8)) and sum((r.neighbours for r in hub), []) == list(range(1, 501))
+    assert {(r.node, tuple(r.neighbours)) for r in got if r.node in (7, 8)} == {(7, (0, 8)), (8, (0, 7))}
+    assert star_group(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("roots", [False, True])
+def test_merge_solves_only_what_a_batch_touches(spark, roots):
+    rng, so_far, now = random.Random(6), [], None
+    for size in (60, 1, 25, 40):
+        batch = [(rng.randrange(120), rng.randrange(120)) for _ in range(size)] + [(500, 500)]
+        so_far += batch
+        now = merge_labels(now, frame(spark, batch), include_roots=roots)
+        assert labels(now) == (union_find(so_far) if roots else non_roots(so_far))
+    metrics = RunMetrics("", 0, 0)
+    chain = connected_components(frame(spark, [(i, i + 1) for i in range(300)]))
+    merge_labels(chain, frame(spark, [(200, 1000), (7, 9)]), algorithm="alternating", metrics=metrics)
+    assert max(r.lout for r in metrics.rounds) <= 2
+
+
 def test_incremental_labels(spark, tmp_path):
     first, second = [(1, 2), (4, 5)], [(5, 2), (7, 8)]
     before = connected_components(frame(spark, first))
-    assert labels(merge_labels(before, frame(spark, second))) == non_roots(first + second)
+    before_runs = {run.root for run in scratch._OPEN}
+    assert labels(one := merge_labels(before, frame(spark, second))) == non_roots(first + second)
+    release(one)
     source = tmp_path / "edges"
     frame(spark, first).coalesce(1).write.parquet(str(source))
     stream = spark.readStream.schema("u long, v long").option("maxFilesPerTrigger", 1).parquet(str(source))
@@ -256,5 +295,12 @@ def test_incremental_labels(spark, tmp_path):
     frame(spark, second).coalesce(1).write.mode("append").parquet(str(source))
     query.processAllAvailable()
     query.stop()
+    frame(spark, [(7, 4)]).coalesce(1).write.mode("append").parquet(str(source))
+    query = maintain(stream, str(tmp_path / "labels"), str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    second = [*second, (7, 4)]
     versions = sorted((tmp_path / "labels").iterdir())
+    assert [v.name for v in versions] == ["v1", "v2"]
+    assert not [run for run in scratch._OPEN if "-merge-" in run.root and run.root not in before_runs]
     assert labels(spark.read.parquet(str(versions[-1]))) == non_roots(first + second)

@@ -72,7 +72,7 @@ def test_partition_functions(spark):
 def test_steps_by_themselves(spark, tmp_path, capsys):
     (tmp_path / "e").write_text("0 1\n1 2\nbad\n2 3\n5 6\n")
     steps.main(["init", str(tmp_path / "e"), str(tmp_path / "edges")], spark)
-    assert capsys.readouterr().out == "output 4\n"
+    assert capsys.readouterr().out == "input 5 output 4 skipped 1\n"
     now = "edges"
     for step in ("sketch-localize", "pa-large-star-routed", "pa-small-star-routed"):
         steps.main([step, str(tmp_path / now), str(tmp_path / step), "-p", "3"], spark)
