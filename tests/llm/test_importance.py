@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import importance
+from graphloom.plans.ranges import ranked
 from graphloom.plans.scratch import Scratch
 
 
@@ -75,7 +76,7 @@ def test_ranks_over_many_ranges(spark):
     rows = spark.range(5000).repartition(7).selectExpr("id AS row", "(id * 7919) % 313 AS score")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = importance.ranked(rows, [F.col("score").desc(), F.col("row").asc()], Scratch(spark, "t")).orderBy("place").collect()
+        out = ranked(rows, [F.col("score").desc(), F.col("row").asc()], Scratch(spark, "t")).orderBy("place").collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [r.place for r in out] == list(range(1, 5001))
