@@ -41,6 +41,8 @@ from graphloom.llm.bitmaps import FEW, Passing, bits_for, parted, set_positions
 from graphloom.llm.text_arrays import BLANKS, byte_values, chunks, gathered, mix, powers_to, span_hashes, utf8, word_spans
 from graphloom.plans.scratch import Scratch, side
 
+#: Rows whose texts a worker rewrites at once.
+SLICE = 512
 #: Words of the runs that minimizers are taken from.
 SEED = 16
 _SECOND = np.uint64(0x7FB5D329728EA185)
@@ -209,7 +211,7 @@ def _stripped(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     part = byte_values(BLANKS)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             rows, at, n = _wanted(batch)
             data, bounds = utf8(batch.column("text"))
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
@@ -331,11 +333,16 @@ def _spans(keyed: DataFrame, span: int, scratch: Scratch) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, n_words, n_removed, kept``, one row a document; ``kept``: the other words, joined by blanks."""
+    """``docs(doc_id, text)`` -> ``doc_id, n_words, n_removed, kept``, one row a document; ``kept``: the other words, joined by blanks.
+
+    The result is a written table.
+    """
     scratch, keyed = Scratch(docs.sparkSession, "repeats"), _keyed(docs)
     spans = scratch.table(_spans(keyed, span, scratch).groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("wanted")), "found", counted=True)
     hits, clear = parted(keyed, ["id", "key"], spans, spans._graphloom_rows, "id", "key")
     # An array of no spans stands for the texts that lose nothing.
     hits = hits.join(side(spans, most=FEW), ["id", "key"], "left").select("id", "text", "wanted")
     clear = clear.select("id", "text", F.lit(None).cast("array<struct<at: bigint, n: bigint>>").alias("wanted"))
-    return clear.unionByName(hits).mapInArrow(_stripped(span), "doc_id long, n_words long, n_removed long, kept string")
+    stripped = clear.unionByName(hits).mapInArrow(_stripped(span), "doc_id long, n_words long, n_removed long, kept string")
+    with small_batches(docs.sparkSession):
+        return scratch.table(stripped, "kept")
