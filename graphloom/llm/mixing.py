@@ -151,7 +151,7 @@ def _sum_before(value: Column | str, order) -> Column:
     return F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _numbered(docs: DataFrame, scratch: Scratch, file: str, row: str) -> tuple[DataFrame, tuple[str, ...]]:
+def _numbered(docs: DataFrame, scratch: Scratch, file: str = "_mix_file", row: str = "_mix_row") -> tuple[DataFrame, tuple[str, ...]]:
     """``docs`` with columns that tell its rows apart, of the names given, the same each time it is read.
 
     Rows of a Parquet table have their file and place; what is made by a plan is written once with numbers.
