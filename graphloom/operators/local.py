@@ -49,25 +49,39 @@ def _ends(batch) -> tuple[np.ndarray, np.ndarray]:
 FOLD = 1 << 20
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold batches into one forest; the state is at most the distinct nodes of the split.
+class Folding:
+    """A forest that takes edges in portions; it holds at most the distinct nodes seen, and edges that wait.
 
     A fold waits until as many edges are gathered as the forest has, so each edge takes part in few folds.
     """
-    tree, waiting, size = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
 
-    def fold() -> tuple[np.ndarray, np.ndarray]:
-        parts = [tree, *waiting]
-        return _ends(forest(*(np.concatenate([part[i] for part in parts]) for i in (0, 1))))
+    def __init__(self) -> None:
+        self._tree, self._waiting, self._size = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self._waiting.append(_ends(batch))
+        self._size += batch.num_rows
+        if self._size >= max(FOLD, len(self._tree[0])):
+            self._fold()
+
+    def _fold(self) -> None:
+        parts = [self._tree, *self._waiting]
+        self._tree, self._waiting, self._size = _ends(forest(*(np.concatenate([part[i] for part in parts]) for i in (0, 1)))), [], 0
 
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Non-root nodes with their roots."""
+        self._fold()
+        u, v = self._tree
+        for i in range(0, len(u), FOLD):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + FOLD]) for x in (u, v)], schema=_LABELS)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold batches into one forest; the state is at most the distinct nodes of the split."""
+    folding = Folding()
     for batch in batches:
-        waiting.append(_ends(batch))
-        size += batch.num_rows
-        if size >= max(FOLD, len(tree[0])):
-            tree, waiting, size = fold(), [], 0
-    u, v = fold()
-    for i in range(0, len(u), FOLD):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + FOLD]) for x in (u, v)], schema=_LABELS)
+        folding.add(batch)
+    yield from folding.rows()
 
 
 def sketch(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Fixpoint plans for connected components: ``(node, component)``, component = least reachable id.
 
 Every half round is one job that writes a shared scratch table and gathers its counters on the way; the next half
-round reads that table, so lineage stays short and a lost executor costs one half round at most.
+round reads that table, so lineage stays short and a lost executor costs one half round at most. A plan decides by these
+counters alone; where the run has a name, they are kept with its tables, and a restarted driver walks the same way over
+the half rounds that are finished and goes on with the first that is not.
 """
 
 from __future__ import annotations
@@ -57,16 +59,22 @@ _ROUTES = ("out", "in", "cc")
 def _routed_step(scratch: Scratch, rows: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame], dict]:
     """Write one half round apart by route: the edges that stay, tables of settled ones, and the counters."""
     seen = Observation()
-    parts = scratch.split(rows.observe(seen, *_counters(*_ROUTES)), name, "route", lambda: {r: seen.get[r] for r in _ROUTES})
+    whole = scratch.table(rows.observe(seen, *_counters(*_ROUTES)), name, partition_by=("route",), found=lambda: seen.get)
+    counts = whole._graphloom_found
+    parts = scratch.parts(whole, "route", {r: counts[r] for r in _ROUTES})
     stay = parts.pop("out", None)
-    return stay, list(parts.values()), seen.get
+    return stay, list(parts.values()), counts
 
 
-def _step(scratch: Scratch, rows: DataFrame, name: str, counters: list) -> tuple[DataFrame, dict]:
-    """Write one half round; its counters come from the same job."""
+def _step(scratch: Scratch, rows: DataFrame, name: str, counters: list, source: Observation | None = None) -> tuple[DataFrame, dict]:
+    """Write one half round; its counters, and those of ``source`` that its rows have passed, come from the same job."""
     seen = Observation()
-    table = scratch.table(rows.observe(seen, *counters), name)
-    return table, seen.get
+    table = scratch.table(rows.observe(seen, *counters), name, found=lambda: seen.get | (source.get if source else {}))
+    return table, table._graphloom_found
+
+
+def _count(scratch: Scratch, edges: DataFrame) -> int:
+    return scratch.once("edges", lambda: {"n": edges.count()})["n"]
 
 
 class NotConverged(RuntimeError):
@@ -98,12 +106,12 @@ def alternating_hub(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFr
     opts.metrics.lap("init_s")
     for i in range(opts.max_rounds):
         splits = Observation()
-        seen = now.observe(splits, F.coalesce(F.sum((F.col("hi") & (F.least("u", "v")["cp"] == 0) & (F.col("u.id") != F.col("v.id"))).cast("bigint")), F.lit(0)).alias("n"))
-        large, a = _step(scratch, stars.hub_large_star(seen, parts), "hub-large", _counters())
+        seen = now.observe(splits, F.coalesce(F.sum((F.col("hi") & (F.least("u", "v")["cp"] == 0) & (F.col("u.id") != F.col("v.id"))).cast("bigint")), F.lit(0)).alias("splits"))
+        large, a = _step(scratch, stars.hub_large_star(seen, parts), "hub-large", _counters(), splits)
         scratch.drop(prior)
         small, b = _step(scratch, stars.hub_small_star(large), "hub-small", _counters())
         scratch.drop(large)
-        changes = a["changes"] + splits.get["n"]
+        changes = a["changes"] + a["splits"]
         opts.metrics.rounds.append(RoundMetrics(i, lout=a["size"], sout=b["size"], lchange=changes, schange=b["changes"]))
         now = prior = small
         if not changes and not b["changes"]:
@@ -115,7 +123,7 @@ def alternating_hub(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFr
 def pa_base(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
     """Partition-aware stars, then a local solve in each partition."""
     now, prior = drop_self_loops(edges), None
-    size = now.count()
+    size = _count(scratch, now)
     p = opts.partitions_for(size)
     opts.metrics.lap("init_s")
     for i in range(opts.max_rounds):
@@ -169,7 +177,7 @@ def _filtered_rounds(edges: DataFrame, size: int, p: PartitionFn, opts: Options,
 def pa_filtered(edges: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
     """:func:`pa_base` in which settled edges leave the loop."""
     now = drop_self_loops(edges)
-    size = now.count()
+    size = _count(scratch, now)
     p = opts.partitions_for(size)
     opts.metrics.lap("init_s")
     return local.cc_computation(_filtered_rounds(now, size, p, opts, scratch), p)

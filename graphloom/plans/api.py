@@ -19,11 +19,16 @@ def connected_components(
     partition_fn: str = "hash",
     max_rounds: int = 60,
     metrics: RunMetrics | None = None,
+    resume: str | None = None,
 ) -> DataFrame:
     """``(node, component)`` of undirected ``edges(u, v)``, component = least id reachable.
 
     Roots are left out unless ``include_roots``; then nodes with only self-loops appear too. Duplicate, reversed and
     self edges, negative ids and empty inputs are fine; rows with a null end are no edges. ``metrics`` is filled.
+
+    ``resume`` names the run: where its driver died, the same call with the same edges goes on after the last half round that
+    was finished, and a finished run gives its labels again. Its tables stay until :func:`release`. Other options under a
+    name that is taken are refused.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
@@ -32,16 +37,20 @@ def connected_components(
     metrics = metrics or RunMetrics("", 0, 0)
     metrics.app, metrics.threshold, metrics.partitions = algorithm, local_threshold, num_partitions or 0
     opts = Options(num_partitions, local_threshold, partition_fn, max_rounds, metrics)
-    scratch = Scratch(spark, "cc")
+    scratch = Scratch(spark, "cc", resume)
+    wanted = {"algorithm": algorithm, "num_partitions": num_partitions, "local_threshold": local_threshold, "partition_fn": partition_fn}
+    if (given := scratch.once("options", lambda: wanted)) != wanted:
+        raise ValueError(f"run {resume!r} was begun with {given}")
     labels = scratch.table(ALGORITHMS[algorithm](clean, opts, scratch), "labels")
     scratch.keep(labels)
-    labels._graphloom_run = scratch
     metrics.lap("compute_s")
-    return with_roots(labels, clean) if include_roots else labels
+    out = with_roots(labels, clean) if include_roots else labels
+    out._graphloom_run = scratch
+    return out
 
 
 def release(labels: DataFrame) -> None:
-    """Delete the labels that :func:`connected_components` has written, once they have been used; roots must not be included."""
+    """Delete the labels that :func:`connected_components` has written, once what it has returned has been used."""
     run = getattr(labels, "_graphloom_run", None)
     if run is not None:
         run.close()

@@ -8,6 +8,7 @@ written to executor-local folders.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.manifest import Manifest
+
 #: A narrow table of more rows is never broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -43,38 +46,70 @@ def _remove_local(path: str) -> None:
 
 
 class Scratch:
-    """Tables of one run in one folder of the shared directory."""
+    """Tables of one run in one folder of the shared directory.
+
+    ``resume`` names a run that a restarted driver goes on with: its folder has that name, a manifest tells the tables
+    that are finished and what their jobs have counted, and these are read instead of written again. Such a run stays
+    until it is closed; two drivers must not share one.
+    """
 
-    def __init__(self, spark: SparkSession, name: str = "run"):
+    def __init__(self, spark: SparkSession, name: str = "run", resume: str | None = None):
+        if resume is not None and not re.fullmatch("[A-Za-z0-9_.-]+", resume):
+            raise ValueError(f"a run's name has letters, digits, '.', '_' and '-' only: {resume!r}")
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_dir(spark)}/graphloom-{name}-{resume or uuid.uuid4().hex[:12]}"
         self._count = 0
         self._paths: list[str] = []
-        _OPEN.append(self)
-
-    def table(self, df: DataFrame, name: str = "t", codec: str = "zstd", partition_by: tuple[str, ...] = (), counted: bool = False) -> DataFrame:
-        """Write ``df`` and read it back; column names must differ. ``counted``: its rows are counted by the same job."""
+        self._manifest = Manifest(spark, self.root) if resume else None
+        if not resume:
+            _OPEN.append(self)
+
+    def once(self, step: str, find: Callable[[], dict]) -> dict:
+        """What ``find`` tells; a resumed run that has committed ``step`` takes it from its manifest."""
+        if self._manifest is None:
+            return find()
+        if step not in self._manifest.done:
+            self._manifest.commit(step, find())
+        return self._manifest.done[step]
+
+    def table(
+        self, df: DataFrame, name: str = "t", codec: str = "zstd", partition_by: tuple[str, ...] = (), counted: bool = False, found: Callable[[], dict] = dict
+    ) -> DataFrame:
+        """Write ``df`` and read it back; column names must differ. ``counted``: its rows are counted by the same job.
+        ``found`` tells, once written, what else that job has counted; it is kept as ``_graphloom_found``."""
         self._count += 1
-        path = f"{self.root}/{self._count:03d}-{name}"
-        seen = Observation()
-        rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df
-        writer = rows.write.mode("overwrite").option("compression", codec)
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        step = f"{self._count:03d}-{name}"
+        path = f"{self.root}/{step}"
+
+        def write() -> dict:
+            seen = Observation()
+            rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df
+            writer = rows.write.mode("overwrite").option("compression", codec)
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+            return {"rows": seen.get["n"] if counted else None, "found": found()}
+
+        facts = self.once(step, write)
         out = self.read(path, df.schema)
-        out._graphloom_rows = seen.get["n"] if counted else None
+        out._graphloom_rows, out._graphloom_found = facts["rows"], facts["found"]
         return out
 
     def read(self, path: str, schema) -> DataFrame:
-        out = self.spark.read.schema(schema).parquet(path)
+        # What a resumed run has used and deleted before stands as an empty table; only finished steps read it.
+        gone = self._manifest is not None and not self._manifest.exists(path)
+        out = self.spark.createDataFrame([], schema) if gone else self.spark.read.schema(schema).parquet(path)
         out._graphloom_path = path
         self._paths.append(path)
         return out
 
     def split(self, df: DataFrame, name: str, by: str, counts: Callable[[], dict[str, int]]) -> dict[str, DataFrame]:
         """Write ``df`` apart by the values of ``by``; ``counts`` tells, once written, the rows of each: value -> table without ``by``."""
-        whole = self.table(df, name, partition_by=(by,))
-        schema = df.drop(by).schema
-        return {value: self.read(f"{whole._graphloom_path}/{by}={value}", schema) for value, n in counts().items() if n}
+        whole = self.table(df, name, partition_by=(by,), found=counts)
+        return self.parts(whole, by, whole._graphloom_found)
+
+    def parts(self, whole: DataFrame, by: str, counts: dict[str, int]) -> dict[str, DataFrame]:
+        """The tables that a table written apart by ``by`` consists of, but for those without rows."""
+        schema = whole.drop(by).schema
+        return {value: self.read(f"{whole._graphloom_path}/{by}={value}", schema) for value, n in counts.items() if n}
 
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table that no later step reads."""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import cli, steps
+from graphloom.functions import table_functions
 from graphloom.functions.partitioner import TABULAR_PRIME, PartitionFn, plain_node, tabular_factor
 from graphloom.operators import edges as E
 from graphloom.operators import local, stars
+from graphloom.plans.algorithms import NotConverged
 from graphloom.plans.api import component_sizes, connected_components
 from graphloom.plans.metrics import RunMetrics
 from graphloom.plans.scratch import Scratch
@@ -254,6 +257,25 @@ class BlockFn:
         return F.pmod(F.floor(node / self.width), F.lit(self.parts).cast("bigint"))
 
 
+@_add("op_local_components", _cc_sql(GRAPHS["part_block100"]))
+def _local_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over blocks of parts, called by SQL."""
+    table_functions.register(spark)
+    graph(spark, sf_dir, GRAPHS["part_block100"]).createOrReplaceTempView("part_block100")
+    return spark.sql("SELECT node, component FROM local_components(TABLE(SELECT u, v, u DIV 100 AS block FROM part_block100) PARTITION BY block)")
+
+
+@_add("cc_resumed", _cc_sql(GRAPHS["supply_web"]))
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that gives up after its first round, gone on with under its name."""
+    edges, name = graph(spark, sf_dir, GRAPHS["supply_web"]), f"resumed-{uuid.uuid4().hex[:12]}"
+    try:
+        connected_components(edges, "pa_filtered", 8, 0, max_rounds=1, resume=name)
+    except NotConverged:
+        pass
+    return connected_components(edges, "pa_filtered", 8, 0, resume=name)
+
+
 @_add("op_text_roundtrip", f"SELECT u::BIGINT node, v::BIGINT component FROM ({GRAPHS['part_supp_all']}) s")
 def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'text').root}/labels"
