@@ -28,10 +28,12 @@ _OPENING = "permission is hereby granted|permission to use|redistribution and us
 _REST = f"(?:(?!{_OPENING})[^\\n])"
 _MARGIN = "[ \\t\\r#*/;-]*"
 #: Notices: lines at a paragraph's head, lines with a year or a second sign, lines after such; on one line with a
-#: licence, up to its opening words. A line that only happens to begin with the word, by wrapping, is none.
+#: licence, up to its opening words. A line that only happens to begin with the word, by wrapping, is none. The last
+#: alternative takes what looks like a notice but opens no licence: it is put back whole, so each line is read once.
 _COPYRIGHT = (
     f"(?:\\n{_MARGIN}\\n{_MARGIN}{_MARK}{_REST}*+|\\n{_MARGIN}{_DATED}{_REST}*+)(?:\\n{_MARGIN}{_MARK}{_REST}*+)*+"
-    f"|(?<![\\p{{L}}\\p{{N}}]){_DATED}{_REST}{{0,300}}+(?={_OPENING})"
+    f"|(?<![\\p{{L}}\\p{{N}}]){_DATED}{_REST}*+(?={_OPENING})"
+    f"|(?<![\\p{{L}}\\p{{N}}])({_DATED}{_REST}*+)"
 )
 _NOTICE = "licen[cs]e|licensing"
 
@@ -39,7 +41,7 @@ _NOTICE = "licen[cs]e|licensing"
 def canonical(text: Column) -> Column:
     """The canonical form: blank-padded words inside, trimmed at the end."""
     lowered = F.concat(F.lit("\n\n"), F.lower(F.coalesce(text, F.lit(""))))
-    words = F.regexp_replace(F.regexp_replace(lowered, _COPYRIGHT, "\n"), "[^\\p{L}\\p{N}]+", " ")
+    words = F.regexp_replace(F.regexp_replace(lowered, _COPYRIGHT, "\n$1"), "[^\\p{L}\\p{N}]+", " ")
     for spelling, usual in SPELLINGS.items():
         words = F.replace(words, F.lit(spelling), F.lit(usual))
     return F.trim(words)

@@ -80,3 +80,18 @@ def test_only_notices_are_dropped(spark):
     rows = [("a\ncopyright holders b", "a copyright holders b"), ("a\ncopyright law b", "a copyright law b"), ("a\n\ncopyright: me\n\nb", "a b"), ("a\n(C) 2020 me\nb", "a b"), ("(c) me " * 100_000, ""), ("(c) me\n" * 100_000 + "x", "x")]
     got = spark.createDataFrame(rows, "text string, want string").select(license_scan.canonical(F.col("text")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
+
+
+@pytest.mark.parametrize("holders", [1, 30, 3000])
+def test_notices_of_any_length_on_one_line(spark, holders):
+    names = ", ".join(f"Holder Number {i}" for i in range(holders))
+    line = " ".join(MIT.replace("Some Body", names).split())
+    docs = spark.createDataFrame([(1, line), (2, line.replace("free of charge", "for a charge"))], "doc_id long, text string")
+    found = {r.doc_id: r.license for r in license_scan.scan(docs, license_scan.known_digests(spark)).collect()}
+    assert found == {1: "MIT", 2: None}
+
+
+def test_marks_that_open_no_licence_stay_and_are_read_once(spark):
+    line = "see copyright 2020 of x, " * 40_000
+    text = spark.createDataFrame([(f"{line}\n{line}",)], "text string").select(license_scan.canonical(F.col("text")).alias("c")).first().c
+    assert text == " ".join(["see copyright 2020 of x"] * 80_000)
