@@ -7,9 +7,10 @@ two terms together, such as an insult and a group's name, can weigh more than ea
 It learns from a bounded sample of labelled documents (about ``train_rows``, by hash of the id). Spark extracts and
 counts the sample's terms; the driver gets the counts of the buckets and, of each row, the few terms that may take part. Terms
 take part if their share among positives differs from that among negatives with a chi-square of at least ``min_chi2``; in
-long texts other terms would add up to noise. So do both terms of a pair, among the ``pair_terms`` most frequent ones, whose
-rate of positives differs with a chi-square of at least ``min_pair_chi2`` from what the two rates make by themselves: terms
-that tell nothing alone, but much together. The broadcast model has a fixed size.
+long texts other terms would add up to noise. So do the terms of every pair in ``pair_rows`` rows or more, but for terms of
+most rows, whose rate of positives the two rates by themselves would make with a chance under exp(-``min_pair_nats``): terms
+that tell nothing alone, but much together. Spark counts the pairs, on at most about ``pair_entries`` terms of the sample.
+The broadcast model has a fixed size.
 
 Defined results: null and empty texts have no terms and score the logistic of w0. Without labels, or with labels of one
 class only, every text scores that class's smoothed share. Several labels of a document: the greatest. Null labels and null
@@ -40,9 +41,9 @@ PREFIXES = (4, 5, 6)
 class Training:
     train_rows: int = 20_000
     min_chi2: float = 12.0
-    min_pair_chi2: float = 80.0
-    pair_terms: int = 512
+    min_pair_nats: float = 30.0
     pair_rows: int = 20
+    pair_entries: int = 8_000_000
     factors: int = 4
     epochs: int = 12
     least_steps: int = 1500
@@ -119,56 +120,99 @@ def informative(seen: np.ndarray, hit: np.ndarray, n: int, positive: int, how: T
     return (chi2 >= how.min_chi2) & (seen >= 3) & (seen < n)
 
 
-def frequent(seen: np.ndarray, n: int, how: Training) -> np.ndarray:
-    """The buckets whose pairs are looked at: the most frequent, but for those of most rows."""
-    usable = np.flatnonzero((seen >= how.pair_rows) & (seen <= 0.6 * n))
-    return usable[np.lexsort((usable, -seen[usable]))[: how.pair_terms]]
-
-
-def telling_pairs(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, seen: np.ndarray, hit: np.ndarray, how: Training) -> np.ndarray:
-    """Buckets that are in a pair whose rate of positives their own rates do not explain."""
-    n, few = len(labels), frequent(seen, len(labels), how)
-    if not len(few):
-        return few
-    place = np.full(BUCKETS, -1)
-    place[few] = np.arange(len(few))
-    both, hits = np.zeros((len(few), len(few)), np.float32), np.zeros((len(few), len(few)), np.float32)
-    for i in range(0, n, 2048):
-        end = min(n, i + 2048)
-        at = place[terms[bounds[i] : bounds[end]]]
-        rows = np.repeat(np.arange(end - i), np.diff(bounds[i : end + 1]))
-        has = np.zeros((end - i, len(few)), np.float32)
-        has[rows[at >= 0], at[at >= 0]] = 1
-        both += has.T @ has
-        bad = has[labels[i:end] > 0]
-        hits += bad.T @ bad
+def telling(both: np.ndarray, hits: np.ndarray, rate: np.ndarray, how: Training) -> np.ndarray:
+    """Whether ``hits`` of ``both`` rows are too far from ``rate``: by Chernoff's bound the chance is under exp(-``min_pair_nats``)."""
+    share, rate = hits / np.maximum(both, 1), np.clip(rate, 1e-9, 1 - 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        more = np.where(share > 0, share * np.log(share / rate), 0.0)
+        less = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0.0)
+    return (both >= how.pair_rows) & (both * (more + less) >= how.min_pair_nats)
+
+
+def _partners(shared, how: Training) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the terms asked for, those with a partner that makes a telling pair. A task holds one term's counts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, base, odds, positive, terms, bounds, rows, starts = shared.value
+        lists = np.split(terms.astype(np.int64), bounds[1:-1])
+        for batch in batches:
+            found = []
+            for a in asked[batch.column("id").to_numpy()]:
+                # Rows are in the order of their labels, positive ones first.
+                own = rows[starts[a] : starts[a + 1]]
+                cut = int(np.searchsorted(own, positive))
+                counts = []
+                for part in (own[:cut], own[cut:]):
+                    count = np.zeros(len(odds), np.int64)
+                    for i in range(0, len(part), 1024):
+                        count += np.bincount(np.concatenate([lists[r] for r in part[i : i + 1024]]), minlength=len(odds))
+                    counts.append(count)
+                near = np.flatnonzero(counts[0] + counts[1] >= how.pair_rows)
+                near = near[near != a]
+                rate = 1 / (1 + np.exp(-np.clip(odds[a] + odds[near] - base, -30, 30)))
+                if telling(counts[0][near] + counts[1][near], counts[0][near], rate, how).any():
+                    found.append(a)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], names=["at"])
+
+    return run
+
+
+def pair_terms(rows: DataFrame, seen: np.ndarray, used: np.ndarray, n: int, how: Training) -> np.ndarray:
+    """Buckets not ``used`` yet that are in a pair whose rate of positives their own rates do not explain.
+
+    Every pair that stands in ``pair_rows`` rows is counted, however rare its terms. ``rows(label, key, terms)`` are thinned
+    out by hash to about ``pair_entries`` terms, so the broadcast has a fixed bound; each task counts the partners of its terms.
+    """
+    spark = rows.sparkSession
+    able = (seen >= how.pair_rows) & (seen <= 0.6 * n)
+    share = min(1.0, how.pair_entries / max(1.0, seen[able].sum()))
+    labels, terms, bounds = gathered(rows.where(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30))), able)
+    if not len(terms):
+        return terms
+    order = np.argsort(-labels, kind="stable")
+    labels, lengths = labels[order], np.diff(bounds)[order]
+    terms = terms[np.repeat(bounds[:-1][order] - np.cumsum(lengths) + lengths, lengths) + np.arange(len(terms))]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    names, terms = np.unique(terms, return_inverse=True)
+    of = np.repeat(np.arange(len(labels)), lengths)
+    counts, hits = np.bincount(terms), np.bincount(terms, labels[of])
     odds = lambda r: np.log(r / (1 - r))
-    base, own = odds((labels.sum() + 0.5) / (n + 1)), odds((hit[few] + 0.5) / (seen[few] + 1))
-    rate = 1 / (1 + np.exp(-np.clip(own[:, None] + own[None, :] - base, -30, 30)))
-    chi2 = (hits - both * rate) ** 2 / np.maximum(both * rate * (1 - rate), 1e-9)
-    telling = (both >= how.pair_rows) & (chi2 >= how.min_pair_chi2)
-    np.fill_diagonal(telling, False)
-    return few[telling.any(axis=1)]
+    asked = np.flatnonzero(~used[names])
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    shared = spark.sparkContext.broadcast((asked, odds((labels.sum() + 0.5) / (len(labels) + 1)), odds((hits + 0.5) / (counts + 1)), int(labels.sum()), terms.astype(np.int32), bounds, of[np.argsort(terms, kind="stable")].astype(np.int32), starts))
+    found = spark.range(0, len(asked), 1, max(1, len(asked) // 256)).mapInArrow(_partners(shared, how), "at int").toArrow().column("at").to_numpy()
+    shared.unpersist()
+    return names[found]
+
+
+def gathered(rows: DataFrame, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, terms and bounds of the sample's rows, with the ``used`` terms alone."""
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            terms, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            keep = used[terms]
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms[keep]))], names=["label", "terms"])
+
+    table = rows.select("label", "terms").mapInArrow(narrow, "label int, terms array<int>").toArrow()
+    lists = pa.concat_arrays(table.column("terms").chunks) if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return table.column("label").to_numpy().astype(float), lists.flatten().to_numpy().astype(np.int64), bounds
 
 
 def fit(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, how: Training = Training()) -> Machine:
-    """AdaGrad on the log-loss, mini-batches in a seeded order."""
+    """AdaGrad on the log-loss over the given terms, mini-batches in a seeded order."""
     n = len(labels)
     positive = int(labels.sum())
     share = (positive + 0.5) / (n + 1)
     flat = Machine(float(np.log(share / (1 - share))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, how.factors), np.float32))
     if not positive or positive == n:
         return flat
-    of = np.repeat(np.arange(n), np.diff(bounds))
-    seen = np.bincount(terms, minlength=BUCKETS).astype(float)
-    hit = np.bincount(terms, labels[of].astype(float), BUCKETS)
-    used = np.union1d(np.flatnonzero(informative(seen, hit, n, positive, how)), telling_pairs(labels, terms, bounds, seen, hit, how))
-    if not len(used):
+    if not len(terms):
         return flat
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    keep = place[terms] >= 0
-    local, bounds = place[terms[keep]], np.concatenate([[0], np.cumsum(keep)])[bounds]
+    used, local = np.unique(terms, return_inverse=True)
     rng = np.random.default_rng(how.seed)
     w, v, w0 = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), how.factors)), flat.base
     gw, gv, g0 = np.full(len(used), 1e-2), np.full(v.shape, 1e-2), 1e-2
@@ -216,28 +260,17 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, how: Training =
     if distinct < rows._graphloom_rows:
         share = min(1.0, 1.2 * how.train_rows / max(1, distinct))
         rows = scratch.table(rows.where(F.pmod("key", F.lit(1 << 30)) <= int(share * (1 << 30))).dropDuplicates(["key"]), "distinct")
-    rows = rows.select("label", "terms")
-    # Spark counts the terms; the driver sees a row a bucket, then the rows' few terms that may take part.
+    # Spark counts the terms; the driver sees a row a bucket, then the rows' terms that may take part.
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("hit")).toArrow()
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     seen, hit, at = np.zeros(BUCKETS), np.zeros(BUCKETS), counts.column("term").to_numpy()
     seen[at], hit[at] = counts.column("seen").to_numpy(), counts.column("hit").to_numpy()
     used = informative(seen, hit, n, positive, how)
-    used[frequent(seen, n, how)] = True
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("terms")
-            terms, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            keep = used[terms]
-            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms[keep]))], names=["label", "terms"])
-
-    rows = rows.mapInArrow(narrow, "label int, terms array<int>").toArrow()
+    if 0 < positive < n:
+        used[pair_terms(rows, seen, used, n, how)] = True
+    machine = fit(*gathered(rows, used), how)
     scratch.close()
-    lists = pa.concat_arrays(rows.column("terms").chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return fit(rows.column("label").to_numpy().astype(float), lists.flatten().to_numpy().astype(np.int64), bounds, how)
+    return machine
 
 
 def _scorer(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
