@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import importance, language_id, license_scan, media, mixing, near_dup, packing, phrases, pii, substring_dedup, toxicity, url_reputation, winnow
-from graphloom.llm.license_texts import LICENSES, SPELLINGS
+from graphloom.llm.license_texts import KNOWN, SPELLINGS, WHOLE_DIGESTS
 from graphloom.llm.mixing import Mix
 from graphloom.llm.url_reputation import Rule
 
@@ -124,23 +124,37 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
+    """The notice rule line by line: a run of marked lines is a notice from its first line with a date or at a paragraph's head."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-
-    def canonical(text: str) -> str:
-        out = f"regexp_replace(regexp_replace(chr(10) || lower(coalesce({text}, '')), '\\n[ \\t#*/;-]*(copyright|\\(c\\)|©)[^\\n]*', chr(10), 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
-        for spelling, usual in SPELLINGS.items():
-            out = f"replace({out}, {quoted(spelling)}, {quoted(usual)})"
-        return f"trim({out})"
-
-    rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in LICENSES.items() for text in texts)
+    margin, mark = "[ \\t\\r#*/;-]*", "(?:copyright|\\(c\\)|©)"
+    dated = f"{mark}[ \\t,:-]*(?:\\(c\\)|©|copyright|[0-9]{{4}})"
+    opening = "(permission is hereby granted|permission to use|redistribution and use)"
+    words = "trim(regexp_replace(string_agg(kept, chr(10) ORDER BY i), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+    words = f"' ' || {words} || ' '"
+    for spelling, usual in SPELLINGS.items():
+        words = f"replace({words}, {quoted(spelling)}, {quoted(usual)})"
+    bodies = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in KNOWN.items() for text in texts)
+    whole = ", ".join(f"({quoted(digest)}, {quoted(name)})" for digest, name in WHOLE_DIGESTS.items())
     return f"""
-WITH known AS (SELECT sha256({canonical("body")}) dg, min(name) lic FROM (VALUES {rows}) t(name, body) GROUP BY 1),
- docs AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, sha256({canonical("text")}) canonical_sha256, text FROM documents),
- ln AS (SELECT r, unnest(string_split(lower(text), chr(10))) ln FROM docs),
- hits AS (SELECT r, count(*) n, array_to_string(list_sort(list(DISTINCT lic)), ',') names FROM ln JOIN known ON dg = sha256({canonical("ln")})
-   WHERE regexp_matches(ln, 'licen[cs]e|licensing') GROUP BY r)
-SELECT docs.doc_id, docs.canonical_sha256, lic license, coalesce(n, 0) n_notices, coalesce(names, '') notices
-FROM docs LEFT JOIN known ON dg = docs.canonical_sha256 LEFT JOIN hits USING (r)"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, lower(coalesce(text, '')) body FROM documents),
+ bodies AS (SELECT 'doc' kind, r, NULL lic, body FROM docs
+   UNION ALL SELECT 'line', r, NULL, ln FROM (SELECT r, unnest(string_split(body, chr(10))) ln FROM docs) WHERE regexp_matches(ln, 'licen[cs]e|licensing')
+   UNION ALL SELECT 'known', NULL, name, lower(t.body) FROM (VALUES {bodies}) t(name, body)),
+ texts AS MATERIALIZED (SELECT row_number() OVER () id, * FROM bodies),
+ cut AS (SELECT id, string_split(body, chr(10)) ls, generate_subscripts(string_split(body, chr(10)), 1) i FROM texts),
+ ln AS (SELECT id, i, ls[i] l, i = 1 OR regexp_full_match(ls[i - 1], '{margin}') AS head,
+   regexp_matches(ls[i], '^{margin}{mark}') AND NOT regexp_matches(ls[i], '^{margin}(?:copyright[a-z]*[ \\t]+(?:holder|owner|notice)|\\(c\\)[ \\t]+you )') marked FROM cut),
+ runs AS (SELECT *, sum(CASE WHEN marked AND NOT before THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) run
+   FROM (SELECT *, coalesce(lag(regexp_matches(l, '{opening}')) OVER (PARTITION BY id ORDER BY i), false) before FROM ln)),
+ said AS (SELECT *, marked AND bool_or(marked AND (head OR regexp_matches(l, '^{margin}{dated}'))) OVER (PARTITION BY id, run ORDER BY i) notice FROM runs),
+ rest AS (SELECT id, i, CASE WHEN NOT notice THEN l WHEN regexp_matches(l, '{opening}') THEN regexp_replace(l, '^.*?{opening}', '\\1') ELSE '' END l FROM said),
+ kept AS (SELECT id, i, regexp_replace(l, '(^|[^\\p{{L}}\\p{{N}}]){dated}.*?{opening}', '\\1 \\2', 'g') kept FROM rest),
+ canon AS (SELECT id, trim({words}) c FROM kept GROUP BY id),
+ dg AS MATERIALIZED (SELECT kind, r, lic, sha256(c) dg FROM texts JOIN canon USING (id) WHERE kind <> 'known' OR c <> ''),
+ known AS (SELECT dg, min(lic) lic FROM (SELECT dg, lic FROM dg WHERE kind = 'known' UNION ALL VALUES {whole}) GROUP BY dg),
+ hits AS (SELECT r, count(*) n, array_to_string(list_sort(list(DISTINCT known.lic)), ',') names FROM dg JOIN known USING (dg) WHERE kind = 'line' GROUP BY r)
+SELECT docs.doc_id, dg.dg canonical_sha256, known.lic license, coalesce(n, 0) n_notices, coalesce(names, '') notices
+FROM docs JOIN dg ON dg.kind = 'doc' AND dg.r = docs.r LEFT JOIN known ON known.dg = dg.dg LEFT JOIN hits ON hits.r = docs.r"""
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
