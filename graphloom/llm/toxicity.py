@@ -157,6 +157,11 @@ def _partners(shared, how: Training) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def _counted(terms: np.ndarray, portion: int = 1 << 20) -> np.ndarray:
+    """Occurrences of each bucket, by portions, as each is widened to eight bytes a term."""
+    return sum((np.bincount(terms[i : i + portion], minlength=BUCKETS) for i in range(0, len(terms), portion)), np.zeros(BUCKETS, np.int64))
+
+
 def pair_terms(rows: DataFrame, seen: np.ndarray, used: np.ndarray, n: int, how: Training) -> np.ndarray:
     """Buckets not ``used`` yet that are in a pair whose rate of positives their own rates do not explain.
 
@@ -169,19 +174,27 @@ def pair_terms(rows: DataFrame, seen: np.ndarray, used: np.ndarray, n: int, how:
     labels, terms, bounds = gathered(rows.where(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30))), able)
     if not len(terms):
         return terms
+    # The driver holds a few arrays of four bytes a term, and each only as long as it is read; positive rows come first.
     order = np.argsort(-labels, kind="stable")
-    labels, lengths = labels[order], np.diff(bounds)[order]
-    terms = terms[np.repeat(bounds[:-1][order] - np.cumsum(lengths) + lengths, lengths) + np.arange(len(terms))]
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    names, terms = np.unique(terms, return_inverse=True)
-    of = np.repeat(np.arange(len(labels)), lengths)
-    counts, hits = np.bincount(terms), np.bincount(terms, labels[of])
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(terms)).take(pa.array(order))
+    labels, lengths, terms = labels[order], np.diff(bounds)[order], lists.flatten().to_numpy()
+    del lists
+    bounds, positive = np.concatenate([[0], np.cumsum(lengths)]), int(labels.sum())
+    counts, hits = (_counted(part) for part in (terms, terms[: bounds[positive]]))
+    names = np.flatnonzero(counts)
+    counts, hits, place = counts[names], hits[names], np.zeros(BUCKETS, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    terms = place[terms]
+    rows_of = np.repeat(np.arange(len(labels), dtype=np.int32), lengths)[np.argsort(terms, kind="stable")]
     odds = lambda r: np.log(r / (1 - r))
     asked = np.flatnonzero(~used[names])
     starts = np.concatenate([[0], np.cumsum(counts)])
-    shared = spark.sparkContext.broadcast((asked, odds((labels.sum() + 0.5) / (len(labels) + 1)), odds((hits + 0.5) / (counts + 1)), int(labels.sum()), terms.astype(np.int32), bounds, of[np.argsort(terms, kind="stable")].astype(np.int32), starts))
+    shared = spark.sparkContext.broadcast((asked, odds((positive + 0.5) / (len(labels) + 1)), odds((hits + 0.5) / (counts + 1)), positive, terms, bounds, rows_of, starts))
+    del terms, rows_of
     found = spark.range(0, len(asked), 1, max(1, len(asked) // 256)).mapInArrow(_partners(shared, how), "at int").toArrow().column("at").to_numpy()
-    shared.unpersist()
+    # The driver's own copy goes too, which ``unpersist`` would leave.
+    shared.destroy()
+    pa.default_memory_pool().release_unused()
     return names[found]
 
 
@@ -199,7 +212,7 @@ def gathered(rows: DataFrame, used: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     table = rows.select("label", "terms").mapInArrow(narrow, "label int, terms array<int>").toArrow()
     lists = pa.concat_arrays(table.column("terms").chunks) if table.num_rows else pa.array([], pa.list_(pa.int32()))
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return table.column("label").to_numpy().astype(float), lists.flatten().to_numpy().astype(np.int64), bounds
+    return table.column("label").to_numpy().astype(float), lists.flatten().to_numpy(), bounds
 
 
 def fit(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, how: Training = Training()) -> Machine:

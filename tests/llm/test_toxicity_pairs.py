@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import queries, toxicity
 from graphloom.llm.toxicity import BUCKETS, Training
@@ -72,3 +73,21 @@ def test_rare_terms_that_tell_nothing_alone(spark, make_docs):
     held = [(i, y) for i, _, y, kind in rows if kind < 2 and zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 60 and np.mean([got[i].predicted == y for i, y in held]) > 0.9
     assert np.mean([r.predicted == y for (_, _, y, _), r in zip(rows, (got[i] for i in range(6000)), strict=True)]) > 0.97
+
+
+def test_the_driver_holds_few_bytes_a_term(spark):
+    """Some two million terms: under 40 bytes of the driver's Python for each."""
+    import tracemalloc
+
+    terms = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.pmod(F.hash("id", i), F.lit(5000)).cast("int")))
+    rows = spark.range(4000).select((F.col("id") % 2).cast("int").alias("label"), F.col("id").alias("key"), terms.alias("terms"))
+    number = rows.agg(F.sum(F.size("terms"))).first()[0]
+    seen = np.zeros(toxicity.BUCKETS)
+    seen[:5000] = 400
+    tracemalloc.start()
+    try:
+        toxicity.pair_terms(rows, seen, np.ones(toxicity.BUCKETS, bool), 4000, toxicity.Training())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert number > 1_800_000 and peak < 40 * number
