@@ -58,8 +58,9 @@ def convert_text(spark: SparkSession, source: str, target: str, mode: str = "DRO
 def label_text(spark: SparkSession, source: str, target: str, limit: int = ONE_TASK) -> int:
     """Text edges to text labels of all nodes, solved in one task where a sketch has at most ``limit`` edges; returns the number of nodes."""
     labels = connected_components(read_edges_text(spark, source), local_threshold=limit, include_roots=True)
-    write_labels_text(labels, target)
-    return labels.count()
+    seen = Observation()
+    write_labels_text(labels.observe(seen, F.count(F.lit(1)).alias("n")), target)
+    return seen.get["n"]
 
 
 def run_step(spark: SparkSession, step: str, source: str, target: str, p: PartitionFn) -> dict[str, int]:

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from graphloom import connected_components
+from graphloom import connected_components, steps
 from graphloom import queries as core
 from graphloom.plans import scratch
 from tests.test_components import GRAPHS, frame, labels, non_roots
@@ -51,3 +51,10 @@ def test_settings_come_back_after_an_error(spark):
         assert spark.conf.get(NAMES[0]) == "2000"
         raise RuntimeError
     assert settings(spark) == before
+
+
+def test_labels_are_counted_as_they_are_written(spark, monkeypatch, tmp_path):
+    """The number of nodes comes from the job that writes them, not from a second run of the join."""
+    frame(spark, [(1, 2), (2, 3), (7, 7)]).selectExpr("concat_ws(' ', u, v) AS value").write.text(str(tmp_path / "e"))
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda self: pytest.fail("a second run"))
+    assert steps.label_text(spark, str(tmp_path / "e"), str(tmp_path / "labels")) == 4
