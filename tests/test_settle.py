@@ -7,7 +7,7 @@ import pytest
 from graphloom import RunMetrics, connected_components
 from graphloom.operators import local
 from graphloom.plans import algorithms
-from tests.test_components import frame, labels, non_roots
+from tests.test_components import frame, labels, non_roots, union_find
 
 RNG = random.Random(5)
 #: Some components whose edges are dealt over all splits.
@@ -31,3 +31,12 @@ def test_settled_edges(spark):
     others = {x for r in rows for x in ((r.v,) if r.route == "leaf" else (r.u, r.v))}
     assert len(leaves) == len(set(leaves)) and not others & set(leaves)
     assert non_roots([(r.u, r.v) for r in rows]) == non_roots(MIXED)
+
+
+@pytest.mark.parametrize("loops", [[], [(5, 5), (0, 0), (1, 1)]])
+def test_roots_are_told_by_labels(spark, loops):
+    """All nodes, and the edges are not exploded for them once more."""
+    edges = [(0, 1), (2, 3), (3, 4), *loops]
+    got = connected_components(frame(spark, edges), include_roots=True)
+    assert labels(got) == union_find(edges)
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()
