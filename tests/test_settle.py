@@ -1,14 +1,17 @@
 """Leaves that are settled before the rounds."""
 
+import os
 import random
 
 import pytest
 
 from graphloom import RunMetrics, connected_components
+from graphloom import queries as core
 from graphloom.operators import local
 from graphloom.plans import algorithms
 from tests.test_components import frame, labels, non_roots, union_find
 
+SF = "/root/testdata/sf0.001"
 RNG = random.Random(5)
 #: Some components whose edges are dealt over all splits.
 MIXED = [(k * 1000 + RNG.randrange(80), k * 1000 + RNG.randrange(80)) for _ in range(500) for k in range(3)] + [(k * 1000 + 900, k * 1000 + 901) for k in range(3)]
@@ -40,3 +43,10 @@ def test_roots_are_told_by_labels(spark, loops):
     got = connected_components(frame(spark, edges), include_roots=True)
     assert labels(got) == union_find(edges)
     assert "ExistingRDD" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_metrics_of_one_round_run_one_round(spark, monkeypatch):
+    seen, run = [], core.connected_components
+    monkeypatch.setattr(core, "connected_components", lambda *args, **options: seen.append(options["metrics"]) or run(*args, **options))
+    assert core.QUERIES["op_round_metrics"](spark, SF).count() == 1 and [len(m.rounds) for m in seen] == [1]
