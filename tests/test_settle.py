@@ -1,4 +1,4 @@
-"""Leaves that are settled before the rounds."""
+"""Leaves that are settled before the rounds, roots told by labels, final solves without a sort, one round of metrics."""
 
 import os
 import random
@@ -7,9 +7,10 @@ import pytest
 
 from graphloom import RunMetrics, connected_components
 from graphloom import queries as core
+from graphloom.functions.partitioner import PartitionFn
 from graphloom.operators import local
 from graphloom.plans import algorithms
-from tests.test_components import frame, labels, non_roots, union_find
+from tests.test_components import exchanges, frame, labels, non_roots, union_find
 
 SF = "/root/testdata/sf0.001"
 RNG = random.Random(5)
@@ -45,6 +46,14 @@ def test_roots_are_told_by_labels(spark, loops):
     assert "ExistingRDD" not in got._jdf.queryExecution().toString()
 
 
+def test_final_solve_does_not_sort(spark):
+    """A partition's edges come together by its number; sorting them all would take memory by the edges."""
+    edges = [(k, k % 4) for k in range(4, 60)]
+    got = local.cc_computation(frame(spark, edges), PartitionFn(4, "mod"))
+    assert labels(got) == non_roots(edges)
+    assert exchanges(got) == 1 and "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_metrics_of_one_round_run_one_round(spark, monkeypatch):
     seen, run = [], core.connected_components
