@@ -59,3 +59,13 @@ def test_metrics_of_one_round_run_one_round(spark, monkeypatch):
     seen, run = [], core.connected_components
     monkeypatch.setattr(core, "connected_components", lambda *args, **options: seen.append(options["metrics"]) or run(*args, **options))
     assert core.QUERIES["op_round_metrics"](spark, SF).count() == 1 and [len(m.rounds) for m in seen] == [1]
+
+
+@pytest.mark.parametrize("algorithm", ["alternating_hub", "alternating"])
+def test_rounds_go_over_a_forest(spark, monkeypatch, algorithm):
+    """More edges than a task takes are folded first, so the first round has about an edge a node, not all of them."""
+    monkeypatch.setattr(algorithms, "TASK_ROWS", 10)
+    metrics = RunMetrics("", 0, 0)
+    got = connected_components(frame(spark, MIXED).repartition(6), algorithm, 3, 0, metrics=metrics)
+    assert labels(got) == non_roots(MIXED)
+    assert 0 < metrics.rounds[0].lout < len(MIXED) / 2
