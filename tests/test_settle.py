@@ -61,7 +61,7 @@ def test_metrics_of_one_round_run_one_round(spark, monkeypatch):
     assert core.QUERIES["op_round_metrics"](spark, SF).count() == 1 and [len(m.rounds) for m in seen] == [1]
 
 
-@pytest.mark.parametrize("algorithm", ["alternating_hub", "alternating"])
+@pytest.mark.parametrize("algorithm", ["alternating_hub", "pa_base", "alternating"])
 def test_rounds_go_over_a_forest(spark, monkeypatch, algorithm):
     """More edges than a task takes are folded first, so the first round has about an edge a node, not all of them."""
     monkeypatch.setattr(algorithms, "TASK_ROWS", 10)
