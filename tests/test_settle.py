@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import RunMetrics, connected_components
 from graphloom import queries as core
@@ -69,3 +70,20 @@ def test_rounds_go_over_a_forest(spark, monkeypatch, algorithm):
     got = connected_components(frame(spark, MIXED).repartition(6), algorithm, 3, 0, metrics=metrics)
     assert labels(got) == non_roots(MIXED)
     assert 0 < metrics.rounds[0].lout < len(MIXED) / 2
+
+
+def test_roots_are_told_in_one_exchange(spark):
+    """The sketch says which edges tell a root, so its trees are read and dealt once; a root's edges stand together."""
+    trees = local.headed_sketch(frame(spark, MIXED).where("u <> v").repartition(6))
+    rows = trees.withColumn("split", F.spark_partition_id()).collect()
+    assert {(r.split, r.v) for r in rows} == {(r.split, r.v) for r in rows if r.head}
+    runs = [(r.split, r.v) for i, r in enumerate(rows) if not i or (r.split, r.v) != (rows[i - 1].split, rows[i - 1].v)]
+    assert len(runs) == len(set(runs))
+    assert exchanges(local.settle(trees)) == exchanges(trees) + 1
+
+
+def test_core_and_leaves_by_heads(spark):
+    """Leaves and core are the same whether the roots are told by heads or made distinct."""
+    trees = local.headed_sketch(frame(spark, MIXED).where("u <> v").repartition(6, "u")).localCheckpoint()
+    by_heads, by_distinct = (sorted(map(tuple, local.settle(t).collect())) for t in (trees, trees.drop("head")))
+    assert by_heads == by_distinct and {r[2] for r in by_heads} == {"leaf", "core"}
