@@ -87,3 +87,22 @@ def test_core_and_leaves_by_heads(spark):
     trees = local.headed_sketch(frame(spark, MIXED).where("u <> v").repartition(6, "u")).localCheckpoint()
     by_heads, by_distinct = (sorted(map(tuple, local.settle(t).collect())) for t in (trees, trees.drop("head")))
     assert by_heads == by_distinct and {r[2] for r in by_heads} == {"leaf", "core"}
+
+
+def test_scattered_neighbourhoods_meet_by_ranges(spark):
+    """Blocks of near ids whose edges are dealt thinly over many splits leave next to no core in two levels, though each sketch has found little."""
+    rng, wanted = random.Random(7), {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    edges = [(k * 100 + rng.randrange(50), 10**6 + k * 100 + rng.randrange(20)) for _ in range(200) for k in range(40)]
+    nodes = {x for e in edges for x in e}
+    given = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        first = local.settle(local.headed_sketch(spark.sparkContext.parallelize(edges, 20).toDF("u long, v long"))).localCheckpoint()
+        second = local.settle(first.where("route = 'core'")).collect()
+    finally:
+        for name, value in given.items():
+            spark.conf.set(name, value)
+    rows = [*first.where("route = 'leaf'").collect(), *second]
+    assert sum(r.route == "core" for r in second) < 0.1 * len(nodes)
+    assert non_roots([(r.u, r.v) for r in rows]) == non_roots(edges)
