@@ -3,6 +3,8 @@
 import random
 import time
 
+import pytest
+
 from graphloom import RunMetrics, connected_components
 from graphloom.operators import local
 from graphloom.plans import algorithms, scratch
@@ -50,3 +52,13 @@ def test_core_tells_its_roots(spark):
     core = first.where("route = 'core'")
     assert {r.v for r in core.collect()} == {r.v for r in core.where("head").collect()} and not first.where("route = 'leaf' AND head").count()
     assert exchanges(local.settle(core)) == 1
+
+
+@pytest.mark.parametrize("algorithm", ["alternating_hub", "alternating", "pa_base"])
+def test_star_rounds_see_no_leaves(spark, monkeypatch, algorithm):
+    """More edges than a task takes lose their leaves first: the first round has far less than an edge a node."""
+    monkeypatch.setattr(algorithms, "TASK_ROWS", 10)
+    metrics = RunMetrics("", 0, 0)
+    got = connected_components(frame(spark, MIXED).repartition(6), algorithm, 3, 0, metrics=metrics)
+    assert labels(got) == non_roots(MIXED)
+    assert sum(r.lout for r in metrics.rounds[:1]) < len(non_roots(MIXED)) / 2
