@@ -62,3 +62,13 @@ def test_star_rounds_see_no_leaves(spark, monkeypatch, algorithm):
     got = connected_components(frame(spark, MIXED).repartition(6), algorithm, 3, 0, metrics=metrics)
     assert labels(got) == non_roots(MIXED)
     assert sum(r.lout for r in metrics.rounds[:1]) < len(non_roots(MIXED)) / 2
+
+
+@pytest.mark.parametrize("every_edge", [False, True])
+def test_filtered_rounds_see_no_leaves(spark, monkeypatch, every_edge):
+    """The filtered rounds do so too, unless every edge is asked for."""
+    monkeypatch.setattr(algorithms, "TASK_ROWS", 10)
+    metrics = RunMetrics("", 0, 0)
+    got = connected_components(frame(spark, MIXED).repartition(6), "pa_filtered", 3, 0, metrics=metrics, every_edge=every_edge)
+    assert labels(got) == non_roots(MIXED)
+    assert (sum(r.lout + r.lcc + r.lin for r in metrics.rounds[:1]) < len(non_roots(MIXED)) / 2) != every_edge
